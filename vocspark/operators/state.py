@@ -174,7 +174,7 @@ def initial_states(df: DataFrame, now: Column) -> DataFrame:
         "state": F.when(fresh, F.lit(DEFAULT_STATE)).otherwise(F.col("state"))})
 
 
-def state_history(changes: DataFrame, order_col: str = "ord", slice_unit: str = "day") -> DataFrame:
+def state_history(changes: DataFrame, order_col: str = "ord", slice_unit: str = "hour") -> DataFrame:
     """(feedback_id, old_state, new_state, notes, updated_by, at, next_at), one row per real transition.
 
     An item with very many changes must not become one task.  Its time line is cut into slices;
