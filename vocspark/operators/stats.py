@@ -122,7 +122,7 @@ def source_counts(df: DataFrame) -> DataFrame:
 
 def state_analytics(history: DataFrame) -> DataFrame:
     """Per entered state: how many entries, and the mean seconds until the next change."""
-    seconds = F.unix_micros("next_at") - F.unix_micros("at")
+    seconds = F.unix_micros(F.col("next_at").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))
     return history.groupBy(F.col("new_state").alias("state")).agg(
         F.count(F.lit(1)).alias("entries"), F.count("next_at").alias("left_again"),
         F.round(F.sum(seconds) / F.count("next_at") / 1_000_000, 0).alias("mean_seconds"))

@@ -24,11 +24,12 @@ def ingest_stream(spark: SparkSession, landed: str, schema: str, to_feedback: Ca
     """Landed JSON files → feedback table, adding only what is new.
 
     ``to_feedback`` maps raw records to feedback rows.  Copies that arrive within ``delay`` are
-    dropped by the stream's own state; each micro-batch is then checked against the stored table.
+    dropped by the stream's own state; the watermark runs on arrival, so an old item that arrives
+    late is not lost.  Each micro-batch is then checked against the stored table.
     """
     rows = to_feedback(spark.readStream.schema(schema).json(landed))
-    fresh = (rows.withColumn("event_time", F.coalesce("created_ts", F.current_timestamp()))
-             .withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["feedback_id"]).drop("event_time"))
+    fresh = (rows.withColumn("arrived_at", F.current_timestamp())
+             .withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark(["feedback_id"]).drop("arrived_at"))
 
     def add_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
