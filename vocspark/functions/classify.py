@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vocspark.functions.common import col, contains_any, let
 from vocspark.schema import PRIORITIES
-from vocspark.taxonomy import Group, Taxonomy, literal_strings
+from vocspark.taxonomy import Group, Taxonomy, constant, literal_strings
 
 # Ordered impact rules of the collectors, each with the words that trigger it.
 POST_IMPACT_RULES = [
@@ -56,7 +56,9 @@ def matched_keywords(text: Column | str, keywords: Sequence[str]) -> Column:
 
 def ordered_rule(lowered: Column, rules, default: str) -> Column:
     """Name of the first rule with a word contained in the lower-case text."""
-    return F.coalesce(*[F.when(contains_any(lowered, ws), F.lit(name)) for name, ws in rules], F.lit(default))
+    table = constant([{"name": name, "words": list(words)} for name, words in rules])
+    hits = F.filter(table, lambda r: F.exists(r["words"], lambda w: F.contains(lowered, w)))
+    return F.coalesce(F.get(hits, F.lit(0))["name"], F.lit(default))
 
 
 def post_impact(text: Column | str) -> Column:
@@ -76,8 +78,8 @@ def issue_impact(text: Column | str, labels: Column | str) -> Column:
     return F.coalesce(by_label, by_text)
 
 
-def _lowered(keywords: Sequence[str]) -> Column:
-    return literal_strings([k.lower() for k in keywords])
+def _lower_all(keywords: Sequence[str]) -> list[str]:
+    return [k.lower() for k in keywords]
 
 
 def _hits(t: Column, keywords: Column) -> Column:
@@ -85,23 +87,20 @@ def _hits(t: Column, keywords: Column) -> Column:
 
 
 def _legacy(t: Column, tax: Taxonomy) -> Column:
-    return ordered_rule(t, [(g.name, [k.lower() for k in g.keywords]) for g in tax.legacy_categories],
+    return ordered_rule(t, [(g.name, _lower_all(g.keywords)) for g in tax.legacy_categories],
                         tax.default_category)
 
 
 def _impact(t: Column, groups: Sequence[Group]) -> Column:
     scored = F.transform(
-        F.array(*[F.struct(F.lit(-i).alias("rank"), F.lit(g.id).alias("id"), _lowered(g.keywords).alias("keywords"))
-                  for i, g in enumerate(groups)]),
+        constant([{"rank": -i, "id": g.id, "keywords": _lower_all(g.keywords)} for i, g in enumerate(groups)]),
         lambda g: F.struct(_hits(t, g["keywords"]).alias("hits"), g["rank"].alias("rank"), g["id"].alias("id")))
     return let(F.array_max(scored), lambda b: F.when(b["hits"] > 0, b["id"]).otherwise(F.lit("FEEDBACK")))
 
 
 def _domains(t: Column, groups: Sequence[Group]) -> Column:
-    table = F.array(*[F.struct(
-        F.lit(i).alias("rank"), F.lit(g.name).alias("domain"), F.lit(g.id).alias("domain_id"),
-        F.lit(g.color).alias("color"), literal_strings(g.keywords).alias("keywords"))
-        for i, g in enumerate(groups)])
+    table = constant([{"rank": i, "domain": g.name, "domain_id": g.id, "color": g.color,
+                       "keywords": list(g.keywords)} for i, g in enumerate(groups)])
     scored = F.transform(table, lambda g: let(
         F.filter(g["keywords"], lambda k: F.contains(t, F.lower(k))),
         lambda m: F.struct(
@@ -136,7 +135,7 @@ def _audience(t: Column, tax: Taxonomy, source: Column, scenario: Column, organi
         "ISV": points(partner & partner_text, 3) + points(vendor, 2) + points(contains_any(t, rules.saas_terms), 3),
     }
     ballots = F.array(*[F.struct(
-        (_hits(t, _lowered(tax.audiences.get(name, ()))) + score).alias("score"),
+        (_hits(t, literal_strings(_lower_all(tax.audiences.get(name, ())))) + score).alias("score"),
         F.lit(-i).alias("rank"), F.lit(name).alias("name")) for i, (name, score) in enumerate(votes.items())])
     return let(F.array_max(ballots), lambda b: F.when(b["score"] > 0, b["name"]).otherwise(F.lit("Customer")))
 
@@ -145,11 +144,9 @@ def _best_subcategory(t: Column, tax: Taxonomy, audience: Column, source: Column
     rules = tax.rules
     bonus = F.when((audience == "Developer") & source.isin(list(rules.developer_bonus_sources))
                    | (audience == "Customer") & source.isin(list(rules.customer_bonus_sources)), 1).otherwise(0)
-    table = F.array(*[F.struct(
-        F.lit(-i).alias("rank"), F.lit(s.category).alias("category"), F.lit(s.name).alias("subcategory"),
-        F.lit(s.audience).alias("audience"), F.lit(s.priority).alias("priority"),
-        F.lit(s.feature_area).alias("feature_area"), _lowered(s.keywords).alias("keywords"))
-        for i, s in enumerate(tax.subcategories)])
+    table = constant([{
+        "rank": -i, "category": s.category, "subcategory": s.name, "audience": s.audience, "priority": s.priority,
+        "feature_area": s.feature_area, "keywords": _lower_all(s.keywords)} for i, s in enumerate(tax.subcategories)])
     scored = F.transform(table, lambda s: let(_hits(t, s["keywords"]), lambda h: F.struct(
         (h + F.when((s["audience"] == audience) | (s["audience"] == "All"), 2).otherwise(0) + bonus).alias("score"),
         s["rank"].alias("rank"), h.alias("hits"), F.size(s["keywords"]).alias("size"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vocspark.functions.common import NON_WORD, SPACE, col, contains_any, let, strip_space, truncate
 from vocspark.functions.text import title_case
-from vocspark.taxonomy import literal_strings
+from vocspark.taxonomy import constant, literal_strings
 
 # Openings that rule out a title, openings that cost points, filler words, limits.
 NO_TITLE_OPENINGS = ["hey", "hi", "hello", "i ", "we ", "the ", "a ", "an "]
@@ -69,8 +69,7 @@ def _title(t: Column, max_length: int) -> Column:
 
 
 def _from_topics(t: Column, profile: GistProfile, max_length: int) -> Column:
-    groups = F.array(*[F.struct(F.lit(name).alias("name"), literal_strings(words).alias("keywords"))
-                       for name, words in profile.groups.items()])
+    groups = constant([{"name": name, "keywords": list(words)} for name, words in profile.groups.items()])
 
     def with_found(x: Column) -> Column:
         found = F.filter(groups, lambda g: F.exists(g["keywords"], lambda k: F.contains(x["lower"], k)))

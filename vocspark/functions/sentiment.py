@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vocspark.functions.common import col, let
 from vocspark.functions.text import words
-from vocspark.taxonomy import literal_strings
+from vocspark.taxonomy import literal_strings, sql_literal
 
 MAX_LEXICON = 20_000
 BUCKETS = 256
@@ -57,13 +57,12 @@ DEFAULT_LEXICON = Lexicon(
 
 
 def _table(lexicon: Lexicon) -> Column:
-    buckets: list[list[Column]] = [[] for _ in range(BUCKETS)]
+    buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
     for word, (polarity, subjectivity) in lexicon.entries.items():
-        buckets[zlib.crc32(word.encode()) % BUCKETS] += [F.lit(word), F.struct(
-            F.lit(round(polarity * 1000)).cast("long").alias("p"),
-            F.lit(round(subjectivity * 1000)).cast("long").alias("s"))]
-    kind = "map<string,struct<p:bigint,s:bigint>>"
-    return F.array(*[(F.create_map(*b) if b else F.create_map()).cast(kind) for b in buckets])
+        value = f"struct({round(polarity * 1000)}L AS p, {round(subjectivity * 1000)}L AS s)"
+        buckets[zlib.crc32(word.encode()) % BUCKETS].append(f"{sql_literal(word)}, {value}")
+    maps = ", ".join(f"cast(map({', '.join(b)}) AS map<string,struct<p:bigint,s:bigint>>)" for b in buckets)
+    return F.expr(f"array({maps})")
 
 
 def sentiment(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:

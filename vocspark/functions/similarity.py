@@ -48,8 +48,11 @@ class ProbeSet:
             for c, n in Counter(t).items():
                 self.histogram[i, self.chars[c]] = n
 
-    def matches(self, text: str) -> list[tuple[int, float]]:
-        """(probe index, score) for every probe from which ``text`` reaches the threshold."""
+    def matches(self, text: str, before: int | None = None) -> list[tuple[int, float]]:
+        """(probe index, score) for every probe from which ``text`` reaches the threshold.
+
+        ``before`` restricts the probes to those of a smaller index.
+        """
         word_set = set(text.split())
         shared = np.zeros(len(self.texts), dtype=np.int64)
         for w in word_set:
@@ -59,7 +62,7 @@ class ProbeSet:
         boost = WORD_WEIGHT * shared / np.maximum(np.maximum(self.word_counts, len(word_set)), 1)
         total = self.lengths + len(text)
         need = (self.threshold - boost - SLACK) * total / 2
-        near = np.flatnonzero(np.minimum(self.lengths, len(text)) >= need)
+        near = np.flatnonzero(np.minimum(self.lengths, len(text))[:before] >= need[:before])
         if not near.size:
             return []
         own = np.zeros(len(self.chars), dtype=np.int32)

@@ -27,8 +27,9 @@ from vocspark.operators.similarity import item_text
 from vocspark.session import scratch_path
 from vocspark.sources.tables import spread_small
 
-# A batch of probes is broadcast, so both its rows and its characters are bounded.
-BATCH_ROWS, BATCH_CHARS = 1_000, 8_000_000
+# A batch of probes is broadcast, so both its rows and its characters are bounded.  The first batch
+# is small: its leaders often cover most of the table, and what they cover is never a probe.
+FIRST_BATCH_ROWS, BATCH_GROWTH, BATCH_ROWS, BATCH_CHARS = 32, 4, 1_024, 8_000_000
 TOP_CLUSTERS, TOP_SUMMARIES, SUMMARY_KEYWORDS = 10, 5, 5
 
 
@@ -131,23 +132,23 @@ def _scan_in_rounds(nodes: DataFrame, threshold: float, autojunk: bool) -> DataF
     folder = scratch_path(spark, "memberships")
     scan_input = spread_small(nodes.select("node", "form"))
     done, last = spark.createDataFrame([], MEMBER_TYPE), None
-    round_no = 0
-    while batch := _next_batch(nodes, done, last):
+    round_no, rows = 0, FIRST_BATCH_ROWS
+    while batch := _next_batch(nodes, done, last, rows):
         probes = _uncovered_in_batch(spark, batch, threshold, autojunk)
         last = batch[-1]["first_ord"]
         _matches(scan_input, probes, threshold, autojunk).write.parquet(f"{folder}/round={round_no}")
         done = spark.read.schema(MEMBER_TYPE).parquet(*[f"{folder}/round={r}" for r in range(round_no + 1)])
-        round_no += 1
+        round_no, rows = round_no + 1, min(rows * BATCH_GROWTH, BATCH_ROWS)
     return done
 
 
-def _next_batch(nodes: DataFrame, done: DataFrame, last) -> list:
+def _next_batch(nodes: DataFrame, done: DataFrame, last, rows: int) -> list:
     """The next undecided nodes in order, within both bounds; at least one if any is left."""
     open_nodes = nodes if last is None else nodes.filter(
         F.col("first_ord") > F.struct(F.lit(last["o"]).alias("o"), F.lit(last["k"]).alias("k")))
     open_nodes = open_nodes.join(done.select("node").distinct(), "node", "left_anti")
     heads = (open_nodes.select("node", "first_ord", F.length("form").alias("size"))
-             .orderBy("first_ord").limit(BATCH_ROWS).collect())
+             .orderBy("first_ord").limit(rows).collect())
     chosen, chars = [], 0
     for row in heads:
         chars += row["size"]
@@ -165,10 +166,8 @@ def _uncovered_in_batch(spark, batch: list, threshold: float, autojunk: bool) ->
     place = {node: i for i, (node, _) in enumerate(texts)}
     frame = spark.createDataFrame(texts, "node string, form string").repartition(spark.sparkContext.defaultParallelism)
     covers: dict[int, list[int]] = {}
-    for edge in _matches(frame, texts, threshold, autojunk).select("leader_node", "node").collect():
-        i, j = place[edge["leader_node"]], place[edge["node"]]
-        if i < j:
-            covers.setdefault(i, []).append(j)
+    for edge in _matches(frame, texts, threshold, autojunk, earlier_only=True).select("leader_node", "node").collect():
+        covers.setdefault(place[edge["leader_node"]], []).append(place[edge["node"]])
     covered, probes = set(), []
     for i, text in enumerate(texts):
         if i not in covered:
@@ -177,15 +176,18 @@ def _uncovered_in_batch(spark, batch: list, threshold: float, autojunk: bool) ->
     return probes
 
 
-def _matches(nodes: DataFrame, probes: list[tuple[str, str]], threshold: float, autojunk: bool) -> DataFrame:
+def _matches(nodes: DataFrame, probes: list[tuple[str, str]], threshold: float, autojunk: bool,
+             earlier_only: bool = False) -> DataFrame:
+    """Memberships of ``nodes`` in the clusters of the probes; ``earlier_only``: of probes listed before the node."""
     shared = nodes.sparkSession.sparkContext.broadcast(probes)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [n for n, _ in shared.value]
         probe_set = ProbeSet([t for _, t in shared.value], threshold, autojunk)
+        place = {name: i for i, name in enumerate(names)} if earlier_only else {}
         for batch in batches:
             found = [(names[i], node, value) for node, form in zip(batch["node"], batch["form"], strict=True)
-                     for i, value in probe_set.matches(form)]
+                     for i, value in probe_set.matches(form, place.get(node))]
             yield pd.DataFrame(found, columns=["leader_node", "node", "similarity"])
 
     return nodes.select("node", "form").mapInPandas(scan, MEMBER_TYPE)

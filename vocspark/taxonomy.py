@@ -185,6 +185,24 @@ def default_taxonomy() -> Taxonomy:
     )
 
 
+def sql_literal(value) -> str:
+    """A Python value (text, number, truth value, list, mapping as struct) as a SQL constant."""
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(map(sql_literal, value)) + ")"
+    if isinstance(value, Mapping):
+        return "named_struct(" + ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in value.items()) + ")"
+    return repr(value)
+
+
+def constant(value) -> Column:
+    """A constant column from one parsed expression; a call per element would dominate planning."""
+    return F.expr(sql_literal(value))
+
+
 def literal_strings(values: Sequence[str]) -> Column:
     """A constant array<string>; typed also when empty."""
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    return F.expr(f"cast({sql_literal(list(values))} AS array<string>)")
