@@ -1,7 +1,7 @@
-"""Keyword classification as single expressions: no join, no shuffle, no Python.
+"""Keyword classification as single expressions: no join and no shuffle.
 
-A taxonomy becomes a constant array of structs in the plan; one pass of higher-order functions
-counts the contained keywords, and the first maximum wins through a struct comparison.
+The keywords of a taxonomy are looked up once per text; what follows is arithmetic on the few hits.
+Each taxonomy is a constant array of structs, and the first maximum wins by struct comparison.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocspark.functions.common import col, contains_any, let
+from vocspark.functions.keywords import KeywordIndex, among
 from vocspark.schema import PRIORITIES
 from vocspark.taxonomy import Group, Taxonomy, constant, literal_strings
 
@@ -78,33 +79,42 @@ def issue_impact(text: Column | str, labels: Column | str) -> Column:
     return F.coalesce(by_label, by_text)
 
 
-def _lower_all(keywords: Sequence[str]) -> list[str]:
-    return [k.lower() for k in keywords]
+def _rule_numbers(table_of: Sequence[tuple[str, list[int]]], hits: Column, default: str) -> Column:
+    """Name of the first row with one of its keyword numbers among the hits."""
+    table = constant([{"name": name, "numbers": numbers} for name, numbers in table_of if numbers])
+    found = F.filter(table, lambda r: F.arrays_overlap(r["numbers"], hits))
+    return F.coalesce(F.get(found, F.lit(0))["name"], F.lit(default))
 
 
-def _hits(t: Column, keywords: Column) -> Column:
-    return F.size(F.filter(keywords, lambda k: F.contains(t, k)))
+def _legacy(hits: Column, tax: Taxonomy, index: KeywordIndex) -> Column:
+    return _rule_numbers([(g.name, index.numbers(g.keywords)) for g in tax.legacy_categories], hits, tax.default_category)
 
 
-def _legacy(t: Column, tax: Taxonomy) -> Column:
-    return ordered_rule(t, [(g.name, _lower_all(g.keywords)) for g in tax.legacy_categories],
-                        tax.default_category)
+def _count(hits: Column, numbers: Column) -> Column:
+    return F.size(F.array_intersect(numbers, hits))
 
 
-def _impact(t: Column, groups: Sequence[Group]) -> Column:
+def _impact(hits: Column, groups: Sequence[Group], index: KeywordIndex) -> Column:
     scored = F.transform(
-        constant([{"rank": -i, "id": g.id, "keywords": _lower_all(g.keywords)} for i, g in enumerate(groups)]),
-        lambda g: F.struct(_hits(t, g["keywords"]).alias("hits"), g["rank"].alias("rank"), g["id"].alias("id")))
+        constant([{"rank": -i, "id": g.id, "numbers": _list(index, g)} for i, g in enumerate(groups)]),
+        lambda g: F.struct(_count(hits, g["numbers"]).alias("hits"), g["rank"].alias("rank"), g["id"].alias("id")))
     return let(F.array_max(scored), lambda b: F.when(b["hits"] > 0, b["id"]).otherwise(F.lit("FEEDBACK")))
 
 
-def _domains(t: Column, groups: Sequence[Group]) -> Column:
-    table = constant([{"rank": i, "domain": g.name, "domain_id": g.id, "color": g.color,
-                       "keywords": list(g.keywords)} for i, g in enumerate(groups)])
+def _list(index: KeywordIndex, group) -> list[int]:
+    """Keyword numbers of a group; −1, which is never hit, keeps an empty list typed."""
+    return index.numbers(group.keywords) or [-1]
+
+
+def _domains(hits: Column, groups: Sequence[Group], index: KeywordIndex) -> Column:
+    table = constant([{
+        "rank": i, "domain": g.name, "domain_id": g.id, "color": g.color, "size": len(g.keywords),
+        "keywords": [{"n": n, "word": w} for n, w in zip(index.numbers(g.keywords), g.keywords, strict=True)]}
+        for i, g in enumerate(groups) if g.keywords])
     scored = F.transform(table, lambda g: let(
-        F.filter(g["keywords"], lambda k: F.contains(t, F.lower(k))),
+        F.transform(F.filter(g["keywords"], lambda k: F.array_contains(hits, k["n"])), lambda k: k["word"]),
         lambda m: F.struct(
-            (-F.round(F.least(F.size(m) / F.size(g["keywords"]), F.lit(1.0)), 2)).alias("key"),
+            (-F.round(F.least(F.size(m) / g["size"], F.lit(1.0)), 2)).alias("key"),
             g["rank"].alias("rank"), g["domain"].alias("domain"), g["domain_id"].alias("domain_id"),
             F.size(m).alias("score"), m.alias("matched_keywords"), g["color"].alias("color"))))
     found = F.array_sort(F.filter(scored, lambda d: d["score"] > 0))
@@ -113,66 +123,77 @@ def _domains(t: Column, groups: Sequence[Group]) -> Column:
         d["score"].alias("score"), d["matched_keywords"].alias("matched_keywords"), d["color"].alias("color")))
 
 
-def _audience(t: Column, tax: Taxonomy, source: Column, scenario: Column, organization: Column) -> Column:
-    rules = tax.rules
-    zero = F.lit(0.0)
+def _audience(x: Column, tax: Taxonomy, index: KeywordIndex) -> Column:
+    """Vote over keyword hits, source, scenario and organization; Developer, Customer, ISV win ties in that order."""
+    rules, hits, source, scenario, organization = tax.rules, x["hits"], x["source"], x["scenario"], x["organization"]
 
     def points(condition: Column, value: float) -> Column:
-        return F.when(condition, F.lit(value)).otherwise(zero)
+        return F.when(condition, F.lit(value)).otherwise(F.lit(0.0))
 
-    partner = scenario == "partner"
-    partner_text = contains_any(t, rules.partner_terms)
+    def mentions(words) -> Column:
+        return among(hits, index.numbers(words)) > 0
+
+    partner, partner_text = scenario == "partner", mentions(rules.partner_terms)
     vendor = contains_any(organization, rules.vendor_orgs)
     in_dev = source.isin(list(rules.developer_sources))
     in_cust = source.isin(list(rules.customer_sources)) & ~in_dev
     votes = {
-        "Developer": points(contains_any(t, rules.portal_terms), 5) + points(in_dev, 3)
+        "Developer": points(mentions(rules.portal_terms), 5) + points(in_dev, 3)
         + points(partner & ~partner_text, 2) + points(scenario == "internal", 2)
         + points(~vendor & contains_any(organization, rules.developer_orgs), 2),
         "Customer": points(in_cust, 1)
         + points(source.isin(list(rules.mixed_sources)) & ~in_dev & ~in_cust, 0.5)
         + points(scenario == "customer", 2),
-        "ISV": points(partner & partner_text, 3) + points(vendor, 2) + points(contains_any(t, rules.saas_terms), 3),
+        "ISV": points(partner & partner_text, 3) + points(vendor, 2) + points(mentions(rules.saas_terms), 3),
     }
     ballots = F.array(*[F.struct(
-        (_hits(t, literal_strings(_lower_all(tax.audiences.get(name, ())))) + score).alias("score"),
+        (among(hits, index.numbers(tax.audiences.get(name, ()))) + score).alias("score"),
         F.lit(-i).alias("rank"), F.lit(name).alias("name")) for i, (name, score) in enumerate(votes.items())])
     return let(F.array_max(ballots), lambda b: F.when(b["score"] > 0, b["name"]).otherwise(F.lit("Customer")))
 
 
-def _best_subcategory(t: Column, tax: Taxonomy, audience: Column, source: Column) -> Column:
-    rules = tax.rules
+def _best_subcategory(v: Column, tax: Taxonomy, index: KeywordIndex) -> Column:
+    rules, audience, source = tax.rules, v["audience"], v["source"]
     bonus = F.when((audience == "Developer") & source.isin(list(rules.developer_bonus_sources))
                    | (audience == "Customer") & source.isin(list(rules.customer_bonus_sources)), 1).otherwise(0)
     table = constant([{
         "rank": -i, "category": s.category, "subcategory": s.name, "audience": s.audience, "priority": s.priority,
-        "feature_area": s.feature_area, "keywords": _lower_all(s.keywords)} for i, s in enumerate(tax.subcategories)])
-    scored = F.transform(table, lambda s: let(_hits(t, s["keywords"]), lambda h: F.struct(
+        "feature_area": s.feature_area, "size": len(s.keywords), "numbers": _list(index, s)}
+        for i, s in enumerate(tax.subcategories)])
+    scored = F.transform(table, lambda s: let(_count(v["hits"], s["numbers"]), lambda h: F.struct(
         (h + F.when((s["audience"] == audience) | (s["audience"] == "All"), 2).otherwise(0) + bonus).alias("score"),
-        s["rank"].alias("rank"), h.alias("hits"), F.size(s["keywords"]).alias("size"),
-        s["category"].alias("category"), s["subcategory"].alias("subcategory"),
-        s["priority"].alias("priority"), s["feature_area"].alias("feature_area"))))
+        s["rank"].alias("rank"), h.alias("hits"), s["size"].alias("size"), s["category"].alias("category"),
+        s["subcategory"].alias("subcategory"), s["priority"].alias("priority"), s["feature_area"].alias("feature_area"))))
     return F.array_max(scored)
 
 
+def _lower(c: Column | str) -> Column:
+    return F.lower(F.coalesce(col(c), F.lit("")))
+
+
+def keyword_hits(text: Column | str, tax: Taxonomy, engine: str = "jvm") -> Column:
+    """Numbers of all taxonomy keywords in the text: the only part that reads the text."""
+    return KeywordIndex.of(tax).hits(_lower(text), engine)
+
+
 def classification(text: Column | str, tax: Taxonomy, source="source", scenario="scenario",
-                   organization="organization") -> Column:
-    """Struct with the complete classification of one record."""
-    def lowered(c):
-        return F.lower(F.coalesce(col(c), F.lit("")))
+                   organization="organization", hits: Column | None = None) -> Column:
+    """Struct with the complete classification of one record.
 
-    ctx = F.struct(F.lower(F.coalesce(col(text), F.lit(""))).alias("t"), lowered(source).alias("source"),
-                   lowered(scenario).alias("scenario"), lowered(organization).alias("organization"))
+    ``hits`` takes keyword numbers found before by :func:`keyword_hits`; all rules then work on
+    those few numbers.
+    """
+    index = KeywordIndex.of(tax)
+    ctx = F.struct((keyword_hits(text, tax) if hits is None else hits).alias("hits"), _lower(source).alias("source"),
+                   _lower(scenario).alias("scenario"), _lower(organization).alias("organization"))
 
     def full(x: Column) -> Column:
-        voted = F.struct(x["t"].alias("t"), x["source"].alias("source"), _audience(
-            x["t"], tax, x["source"], x["scenario"], x["organization"]).alias("audience"))
+        voted = F.struct(x["hits"].alias("hits"), x["source"].alias("source"), _audience(x, tax, index).alias("audience"))
         return let(voted, lambda v: let(F.struct(
-            v["audience"].alias("audience"),
-            _best_subcategory(v["t"], tax, v["audience"], v["source"]).alias("best"),
-            _domains(v["t"], tax.domains).alias("domains"),
-            _impact(v["t"], tax.impact_types).alias("impact"),
-            _legacy(v["t"], tax).alias("legacy")), _assemble))
+            v["audience"].alias("audience"), _best_subcategory(v, tax, index).alias("best"),
+            _domains(v["hits"], tax.domains, index).alias("domains"),
+            _impact(v["hits"], tax.impact_types, index).alias("impact"),
+            _legacy(v["hits"], tax, index).alias("legacy")), _assemble))
 
     none = F.lit(None).cast("string")
     empty = F.struct(
@@ -208,34 +229,35 @@ CLASSIFIED = ["category", "enhanced_category", "subcategory", "audience", "prior
 
 
 def classify(df: DataFrame, tax: Taxonomy, text: Column | str = "feedback", source="source",
-             scenario="scenario", organization="organization") -> DataFrame:
+             scenario="scenario", organization="organization", engine: str = "auto") -> DataFrame:
     """Add (or replace) the ten classification columns."""
-    staged = df.withColumn("_class", classification(text, tax, source, scenario, organization))
-    return staged.withColumns({c: F.col(f"_class.{c}") for c in CLASSIFIED}).drop("_class")
+    staged = df.withColumn("_hits", keyword_hits(text, tax, engine))
+    staged = staged.withColumn("_class", classification(text, tax, source, scenario, organization, F.col("_hits")))
+    return staged.withColumns({c: F.col(f"_class.{c}") for c in CLASSIFIED}).drop("_class", "_hits")
 
 
 def legacy_category(text: Column | str, tax: Taxonomy) -> Column:
-    return let(F.lower(F.coalesce(col(text), F.lit(""))), lambda t: _legacy(t, tax))
+    index = KeywordIndex([w for g in tax.legacy_categories for w in g.keywords])
+    return let(index.hits(_lower(text), "jvm"), lambda h: _legacy(h, tax, index))
 
 
 def impact_type(text: Column | str, tax: Taxonomy) -> Column:
-    return let(F.lower(F.coalesce(col(text), F.lit(""))), lambda t: _impact(t, tax.impact_types))
+    index = KeywordIndex([w for g in tax.impact_types for w in g.keywords])
+    return let(index.hits(_lower(text), "jvm"), lambda h: _impact(h, tax.impact_types, index))
 
 
 def domains(text: Column | str, tax: Taxonomy) -> Column:
     """Domains with at least one keyword, by confidence and then taxonomy order."""
-    return let(F.lower(F.coalesce(col(text), F.lit(""))), lambda t: _domains(t, tax.domains))
+    index = KeywordIndex([w for g in tax.domains for w in g.keywords])
+    return let(index.hits(_lower(text), "jvm"), lambda h: _domains(h, tax.domains, index))
 
 
 def audience(text: Column | str, tax: Taxonomy, source="source", scenario="scenario",
              organization="organization") -> Column:
-    def lowered(c):
-        return F.lower(F.coalesce(col(c), F.lit("")))
-
-    ctx = F.struct(lowered(text).alias("t"), lowered(source).alias("s"), lowered(scenario).alias("c"),
-                   lowered(organization).alias("o"))
-    return F.when(is_blank(col(text)), F.lit("Customer")).otherwise(
-        let(ctx, lambda x: _audience(x["t"], tax, x["s"], x["c"], x["o"])))
+    index = KeywordIndex.of(tax)
+    ctx = F.struct(index.hits(_lower(text), "jvm").alias("hits"), _lower(source).alias("source"),
+                   _lower(scenario).alias("scenario"), _lower(organization).alias("organization"))
+    return F.when(is_blank(col(text)), F.lit("Customer")).otherwise(let(ctx, lambda x: _audience(x, tax, index)))
 
 
 def standard_audience(c: Column | str) -> Column:

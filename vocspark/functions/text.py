@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vocspark.functions.common import (
-    NON_WORD, NON_WORD_NON_SPACE, SPACE, col, collapse_space, let, strip_space)
+    NON_WORD, NON_WORD_NON_SPACE, SPACE, col, collapse_space, contains_any, let)
 
 # Markup patterns that must act as stated, applied one after the other.
-# Each row is (text that must be present for the pattern to matter, pattern, replacement);
+# Each row is (text that must be present for the pattern to matter, pattern, replacement); a list
+# names lower-case texts of which one must be present, DOTTED asks for a dot between two letters.
 # S and N in a pattern stand for Unicode white space outside and inside a negated class.
 # Letter runs in front of a dot are possessive and start at a word edge, so no pattern
 # re-reads a long word; an open "{...}" head is taken from its first character.
+DOTTED = r"[a-zA-Z]\.[a-zA-Z]"
 MARKUP_PATTERNS = [
     ("{", r"(?<![a-zA-Z0-9.#\-_,\s])[a-zA-Z0-9.#\-_,\s]*\{[^}]*\}", ""),
     ("MsoNormal", r"p\.MsoNormal[^}]*\}?", ""),
@@ -23,7 +25,7 @@ MARKUP_PATTERNS = [
     ("MsoChpDefault", r"\.MsoChpDefault[^}]*\}?", ""),
     ("WordSection", r"div\.WordSection\d+[^}]*\}?", ""),
     (":", r"(?i)(?<![a-z])[a-z]++:S*p\.[a-z]+,?S*li\.[a-z]+,?S*div\.[a-z]+S*\{?", ""),
-    (".", r"(?<![a-zA-Z])[a-zA-Z]++\.[a-zA-Z]+(?:S*,S*[a-zA-Z]++\.[a-zA-Z]+)*+S*\{?", ""),
+    (DOTTED, r"(?<![a-zA-Z])[a-zA-Z]++\.[a-zA-Z]+(?:S*,S*[a-zA-Z]++\.[a-zA-Z]+)*+S*\{?", ""),
     (":", r"(?<![a-zA-Z\-])[a-zA-Z\-]++:[^;]{1,50};", ""),
     ("margin:", r"margin:[^;]+;?", ""),
     ("font-", r"font-[^;]+;?", ""),
@@ -39,7 +41,7 @@ MARKUP_PATTERNS = [
     ("color:", r"color:[^;]+;", ""),
     (":", r"(?<![a-zA-Z])[a-zA-Z]++:S*[^;{}N]+(?:[;{}]|S)*", ""),
     ("{", r"\{[^}]*\}", ""),
-    (".", r"(?<![a-zA-Z])[a-zA-Z]++\.[a-zA-Z]+(?:,|S)*", ""),
+    (DOTTED, r"(?<![a-zA-Z])[a-zA-Z]++\.[a-zA-Z]+(?:,|S)*", ""),
     (":", r"(?<![a-zA-Z\-])[a-zA-Z\-]++:S*[^;]+;", ""),
 ]
 # Patterns for mail noise, applied to the text once it is a single line.
@@ -48,7 +50,8 @@ MAIL_PATTERNS = [
     (":", r"(?is)^(?:From|To|Sent|Subject|Cc):.*", ""),
     ("@", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[email-removed]"),
     ("[", r"(?i)\[EXTERNAL\]S*", ""),
-    ("", r"(?is)(?:Best regards|Thanks|-----Original Message-----).*", ""),
+    (["best regards", "thanks", "-----original message-----"],
+     r"(?is)(?:Best regards|Thanks|-----Original Message-----).*", ""),
 ]
 PUNCTUATION_RUN = r"[.,;:!?]{3,}"
 CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
@@ -67,11 +70,13 @@ def _apply(patterns, c: Column) -> Column:
     return c
 
 
-def _guarded(c: Column, needle: str, pattern: str, replacement: str) -> Column:
-    if not needle:
-        return F.regexp_replace(c, pattern, replacement)
-    return let(c, lambda t: F.when(
-        F.contains(t, F.lit(needle)), F.regexp_replace(t, pattern, replacement)).otherwise(t))
+def _guarded(c: Column, needle: str | list[str], pattern: str, replacement: str) -> Column:
+    def present(t: Column) -> Column:
+        if needle == DOTTED:
+            return F.rlike(t, F.lit(DOTTED))
+        return let(F.lower(t), lambda low: contains_any(low, needle)) if isinstance(needle, list) else F.contains(t, F.lit(needle))
+
+    return let(c, lambda t: F.when(present(t), F.regexp_replace(t, pattern, replacement)).otherwise(t))
 
 
 def _expand(pattern: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocspark.functions.classify import classification
+from vocspark.functions.classify import classification, keyword_hits
 from vocspark.functions.common import blank_to_null
 from vocspark.operators.filters import uncurated
 from vocspark.operators.state import SHARED_FIELDS
@@ -22,7 +22,8 @@ def recategorize_preserving(feedback: DataFrame, states: DataFrame, tax: Taxonom
     """
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce(content, F.lit("")))
     s = states.select("feedback_id", *[blank_to_null(c).alias(f"s_{c}") for c in SHARED_FIELDS])
-    rows = feedback.filter(uncurated()).withColumn("_new", classification(text, tax))
+    rows = feedback.filter(uncurated()).withColumn("_hits", keyword_hits(text, tax, "auto"))
+    rows = rows.withColumn("_new", classification(text, tax, hits=F.col("_hits"))).drop("_hits")
     rows = rows.join(s, "feedback_id", "left")
     kept = F.lit(False)
     for c in SHARED_FIELDS:
@@ -38,7 +39,9 @@ def recategorize_preserving(feedback: DataFrame, states: DataFrame, tax: Taxonom
 def recategorize_all(feedback: DataFrame, tax: Taxonomy, at: Column, content: str = "feedback") -> DataFrame:
     """All rows; the classes of un-curated ones are renewed from their content, domains stay."""
     renew = uncurated()
-    fresh = feedback.withColumn("_new", F.when(renew, classification(F.coalesce(content, F.lit("")), tax)))
+    text = F.coalesce(content, F.lit(""))
+    fresh = feedback.withColumn("_hits", keyword_hits(F.when(renew, text), tax, "auto"))
+    fresh = fresh.withColumn("_new", F.when(renew, classification(text, tax, hits=F.col("_hits")))).drop("_hits")
     values = {c: F.when(renew, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in AUTO_FIELDS}
     values["recategorized_at"] = F.when(renew, at).otherwise(F.col("recategorized_at"))
     return fresh.withColumns(values).drop("_new")
