@@ -14,9 +14,9 @@ WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 IN = WS[1:-1]
 # The cleaning rules in the form of the linear-time engine: no look-behind, no possessive runs.
 _MARKUP_SQL = [
-    (r"[a-zA-Z0-9.#\-_,\s]*\{[^}]*\}", ""), (r"p\.MsoNormal[^}]*\}?", ""), (r"li\.MsoNormal[^}]*\}?", ""),
-    (r"div\.MsoNormal[^}]*\}?", ""), (r"span\.EmailStyle\d+[^}]*\}?", ""), (r"\.MsoChpDefault[^}]*\}?", ""),
-    (r"div\.WordSection\d+[^}]*\}?", ""),
+    (rf"[a-zA-Z0-9.#\-_,{IN}]*\{{[^}}]*\}}", ""), (r"p\.MsoNormal[^}]*\}?", ""), (r"li\.MsoNormal[^}]*\}?", ""),
+    (r"div\.MsoNormal[^}]*\}?", ""), (r"span\.EmailStyle\p{Nd}+[^}]*\}?", ""), (r"\.MsoChpDefault[^}]*\}?", ""),
+    (r"div\.WordSection\p{Nd}+[^}]*\}?", ""),
     (rf"(?i)[a-z]+:{WS}*p\.[a-z]+,?{WS}*li\.[a-z]+,?{WS}*div\.[a-z]+{WS}*\{{?", ""),
     (rf"[a-zA-Z]+\.[a-zA-Z]+(?:{WS}*,{WS}*[a-zA-Z]+\.[a-zA-Z]+)*{WS}*\{{?", ""),
     (r"[a-zA-Z\-]+:[^;]{1,50};", ""), (r"margin:[^;]+;?", ""), (r"font-[^;]+;?", ""), (r"color:[^;]+;?", ""),

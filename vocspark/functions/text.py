@@ -17,13 +17,13 @@ from vocspark.functions.common import (
 # re-reads a long word; an open "{...}" head is taken from its first character.
 DOTTED = r"[a-zA-Z]\.[a-zA-Z]"
 MARKUP_PATTERNS = [
-    ("{", r"(?<![a-zA-Z0-9.#\-_,\s])[a-zA-Z0-9.#\-_,\s]*\{[^}]*\}", ""),
+    ("{", r"(?<![a-zA-Z0-9.#\-_,N])[a-zA-Z0-9.#\-_,N]*\{[^}]*\}", ""),
     ("MsoNormal", r"p\.MsoNormal[^}]*\}?", ""),
     ("MsoNormal", r"li\.MsoNormal[^}]*\}?", ""),
     ("MsoNormal", r"div\.MsoNormal[^}]*\}?", ""),
-    ("EmailStyle", r"span\.EmailStyle\d+[^}]*\}?", ""),
+    ("EmailStyle", r"span\.EmailStyle\p{Nd}+[^}]*\}?", ""),
     ("MsoChpDefault", r"\.MsoChpDefault[^}]*\}?", ""),
-    ("WordSection", r"div\.WordSection\d+[^}]*\}?", ""),
+    ("WordSection", r"div\.WordSection\p{Nd}+[^}]*\}?", ""),
     (":", r"(?i)(?<![a-z])[a-z]++:S*p\.[a-z]+,?S*li\.[a-z]+,?S*div\.[a-z]+S*\{?", ""),
     (DOTTED, r"(?<![a-zA-Z])[a-zA-Z]++\.[a-zA-Z]+(?:S*,S*[a-zA-Z]++\.[a-zA-Z]+)*+S*\{?", ""),
     (":", r"(?<![a-zA-Z\-])[a-zA-Z\-]++:[^;]{1,50};", ""),
