@@ -94,6 +94,11 @@ def subcategories_by_area(spark, folder):
             .withColumn("subcategories", F.array_join("subcategories", ",")))
 
 
+@query("domain_counts", classified_sql("SELECT coalesce(primary_domain, 'General') AS primary_domain, count(*) AS n FROM v GROUP BY 1"))
+def domain_counts(spark, folder):
+    return stats.domain_counts(classified(spark, folder))
+
+
 @query("top_keywords", f"""WITH w AS (SELECT unnest(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' ')) AS word FROM documents)
 SELECT word, count(*) AS n FROM w WHERE length(word) >= 3 AND NOT list_contains({STOP_WORDS}, word) GROUP BY 1 ORDER BY n DESC, word LIMIT 20""")
 def top_keywords(spark, folder):

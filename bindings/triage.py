@@ -275,3 +275,24 @@ def recategorize_skip_curated(spark, folder):
  count(*) AS total_processed FROM fb LEFT JOIN labels USING (doc_id)""")
 def recategorize_counters(spark, folder):
     return recategorize.skip_counters(_with_flags(spark, folder))
+
+
+@query("table_write_back", f"""WITH {NET_SQL}, {STORED_SQL} SELECT feedback_id, coalesce(net.state, fd.state) AS state, coalesce(net.notes, fd.notes) AS notes,
+ coalesce(net.domain, fd.primary_domain) AS primary_domain, coalesce(net.updated_by, fd.updated_by) AS updated_by FROM fd LEFT JOIN net USING (feedback_id)""")
+def table_write_back(spark, folder):
+    return state.write_back(stored(spark, folder), changes(spark, folder)).select(
+        "feedback_id", "state", "notes", "primary_domain", "updated_by")
+
+
+@query("state_lookup", f"""WITH {CHANGES_SQL}, n AS (SELECT * REPLACE (CASE WHEN ord % 13 = 0 THEN 'BOGUS' ELSE state END AS state) FROM chg)
+SELECT state, CASE state WHEN 'NEW' THEN 'New' WHEN 'TRIAGED' THEN 'Triaged' WHEN 'CLOSED' THEN 'Closed' WHEN 'IRRELEVANT' THEN 'Irrelevant' END AS state_name, count(*) AS n FROM n GROUP BY 1""")
+def state_lookup(spark, folder):
+    log = changes(spark, folder).withColumn("state", F.when(F.col("ord") % 13 == 0, "BOGUS").otherwise(F.col("state")))
+    return state.with_state_info(log).groupBy("state", "state_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("domain_names", """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Login' WHEN 1 THEN 'Looks' WHEN 2 THEN 'Rules' WHEN 3 THEN 'First Steps' WHEN 4 THEN 'OTHER' END AS name FROM documents""")
+def domain_names(spark, folder):
+    codes = F.array(*[F.lit(c) for c in ("LOGIN", "LOOKS", "RULES", "START", "OTHER")])
+    code = F.get(codes, (F.col("doc_id") % 6).cast("int"))
+    return read_table(spark, folder, "documents").select("doc_id", state.domain_name(code, TAXONOMY).alias("name"))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocspark.functions.common import col, contains_any, let
+from vocspark.functions.common import col, contains_any, let, with_once
 from vocspark.functions.keywords import KeywordIndex, among
 from vocspark.schema import PRIORITIES
 from vocspark.taxonomy import Group, Taxonomy, constant, literal_strings
@@ -232,7 +232,7 @@ def classify(df: DataFrame, tax: Taxonomy, text: Column | str = "feedback", sour
              scenario="scenario", organization="organization", engine: str = "auto") -> DataFrame:
     """Add (or replace) the ten classification columns."""
     staged = df.withColumn("_hits", keyword_hits(text, tax, engine))
-    staged = staged.withColumn("_class", classification(text, tax, source, scenario, organization, F.col("_hits")))
+    staged = with_once(staged, "_class", classification(text, tax, source, scenario, organization, F.col("_hits")))
     return staged.withColumns({c: F.col(f"_class.{c}") for c in CLASSIFIED}).drop("_class", "_hits")
 
 

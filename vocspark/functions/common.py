@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode classes, written out so the JVM's ASCII defaults for \w and \s play no role.
@@ -56,3 +56,12 @@ def contains_any(text: Column, words) -> Column:
     """True if any of the literal words occurs in ``text``."""
     from vocspark.taxonomy import literal_strings
     return F.exists(literal_strings(list(words)), lambda w: F.contains(text, w))
+
+
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is evaluated exactly once per row.
+
+    A filter on an ordinary computed column is pushed below the projection and takes a copy of the
+    expression along.  As the output of a generator the column stays where it is.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from vocspark.functions.common import blank_to_null, col, let
 
-# Absolute spellings in the order they are tried.
-FORUM_FORMATS = ["M-d-yyyy h:mm a", "M-d-yyyy", "MMM d, yyyy h:mm a", "d-M-yyyy h:mm a"]
+# Absolute spellings in the order they are tried, each with the shape of its texts.
+# A text of another shape is not handed to the parser, where every failure costs an exception.
+NUMERIC, CLOCK = r"\d{1,2}-\d{1,2}-\d{4}", r" \d{1,2}:\d{2} [A-Za-z]{2}$"
+FORUM_FORMATS = [
+    ("M-d-yyyy h:mm a", "^" + NUMERIC + CLOCK),
+    ("M-d-yyyy", "^" + NUMERIC + "$"),
+    ("MMM d, yyyy h:mm a", r"^[A-Za-z]{3} \d{1,2}, \d{4}" + CLOCK),
+    ("d-M-yyyy h:mm a", "^" + NUMERIC + CLOCK),
+]
 
 
 def date_time_fragments(date_text: Column | str, time_text: Column | str) -> Column:
@@ -36,7 +43,7 @@ def forum_timestamp(c: Column | str, as_of: Column) -> Column:
         ago = F.when(F.contains(low, F.lit("ago")), F.timestamp_micros(F.unix_micros(as_of) - n * unit * F.lit(1_000_000).cast("long")))
         return F.coalesce(spoken, ago)
 
-    absolute = [F.try_to_timestamp(raw, F.lit(fmt)) for fmt in FORUM_FORMATS]
+    absolute = [F.when(F.rlike(raw, F.lit(shape)), F.try_to_timestamp(raw, F.lit(fmt))) for fmt, shape in FORUM_FORMATS]
     return F.coalesce(*absolute, let(F.lower(raw), parse), as_of)
 
 

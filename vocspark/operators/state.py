@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocspark.functions.common import blank_to_null
-from vocspark.schema import DEFAULT_STATE, STATES, SYSTEM_ACTOR
+from vocspark.schema import DEFAULT_STATE, STATE_DESCRIPTIONS, STATES, SYSTEM_ACTOR
+from vocspark.taxonomy import Taxonomy, constant
 
 UNKNOWN_ACTOR = "unknown_user"
 SHARED_FIELDS = ["primary_domain", "category", "subcategory", "feature_area"]
@@ -62,6 +63,35 @@ def write_domains_through(feedback: DataFrame, changes: DataFrame, order_col: st
             .withColumn("primary_domain", F.coalesce("_domain", "primary_domain")).drop("_domain"))
 
 
+def write_back(table: DataFrame, changes: DataFrame, order_col: str = "ord", actor: str | None = None) -> DataFrame:
+    """A feedback table that carries its own state columns, after the changes.
+
+    Only rows already in the table change; one join serves any number of changes.
+    """
+    net = collapse_changes(changes, order_col, actor)
+    net = net.select("feedback_id", *[F.col(c).alias(f"c_{c}") for c in net.columns if c != "feedback_id"])
+    pairs = {"state": "c_state", "notes": "c_notes", "primary_domain": "c_domain", "updated_by": "c_updated_by",
+             "last_updated": "c_last_updated"}
+    joined = table.join(net, "feedback_id", "left")
+    return joined.withColumns({c: F.coalesce(new, c) for c, new in pairs.items()}).drop(*pairs.values())
+
+
+def with_state_info(df: DataFrame, column: str = "state") -> DataFrame:
+    """Display name, description and default flag of the state; an unknown state has none."""
+    entry = F.get(F.filter(constant([
+        {"key": k, "name": n, "text": STATE_DESCRIPTIONS[k], "is_default": k == DEFAULT_STATE} for k, n in STATES.items()]),
+        lambda e: e["key"] == F.col(column)), F.lit(0))
+    return df.withColumns({"state_name": entry["name"], "state_description": entry["text"],
+                           "state_is_default": entry["is_default"]})
+
+
+def domain_name(code: Column | str, tax: Taxonomy) -> Column:
+    """Display name of a domain code; text that is no code stays as it is."""
+    code = F.col(code) if isinstance(code, str) else code
+    table = constant([{"id": g.id, "name": g.name} for g in tax.domains])
+    return F.coalesce(F.get(F.filter(table, lambda d: d["id"] == code), F.lit(0))["name"], code)
+
+
 def states_with_fallback(states: DataFrame, feedback: DataFrame, keep_blank_ids: bool = False) -> DataFrame:
     """State rows; classification left open there is taken from the feedback row."""
     f = feedback.select("feedback_id", *[F.col(c).alias(f"f_{c}") for c in SHARED_FIELDS])
