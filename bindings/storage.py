@@ -109,7 +109,17 @@ def add_missing_columns(spark, folder):
     return tables.add_missing_columns(old, STATE_SCHEMA).select("feedback_id", "state", "category", "updated_by")
 
 
-@query("sync_flow")
+SYNC_SIG_SQL = f"""regexp_replace(lower(left(CASE WHEN title = '' THEN feedback ELSE title END, 100)), '^{WS}+|{WS}+$', '', 'g') || '|' ||
+ regexp_replace(lower(left(feedback, 200)), '^{WS}+|{WS}+$', '', 'g')"""
+STORED_SIG_SQL = SYNC_SIG_SQL.replace("CASE WHEN title = '' THEN feedback ELSE title END", "title")
+
+
+@query("sync_flow", f"""WITH {FEEDBACK_SQL}, {STATES_SQL}, old AS (SELECT fb.* FROM fb JOIN labels USING (doc_id)),
+cand AS (SELECT fb.*, {SYNC_SIG_SQL} AS sig FROM fb WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
+fresh AS (SELECT * FROM cand WHERE sig NOT IN (SELECT {STORED_SIG_SQL} FROM old) QUALIFY row_number() OVER (PARTITION BY sig ORDER BY doc_id) = 1),
+al AS (SELECT feedback_id, title, 'ISV' AS audience FROM old UNION ALL
+ SELECT feedback_id, left(CASE WHEN title = '' THEN feedback ELSE title END, 100), 'Developer' FROM fresh)
+SELECT al.feedback_id, title, audience, coalesce(nullif(state, ''), 'NEW') AS state, nullif(primary_domain, '') AS primary_domain, updated_by FROM al LEFT JOIN st USING (feedback_id)""")
 def sync_flow(spark, folder):
     """The whole sync: insert what is new, back-fill, carry domains over."""
     rows = feedback(spark, folder).withColumns({

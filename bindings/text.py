@@ -6,7 +6,7 @@ from bindings.base import FEEDBACK_SQL, feedback
 from bindings.fixture import GIST, LEXICON
 from bindings.registry import query, quoted, sql_list, sql_values
 from vocspark.functions import actor, classify, common, dates, ids, sentiment, text
-from vocspark.functions.gist import gist
+from vocspark.functions.gist import CHATTY_OPENINGS, FILLER_WORDS, NO_TITLE_OPENINGS, gist
 from vocspark.sinks import tables
 from vocspark.sources.tables import read_table, spread_small
 
@@ -92,7 +92,48 @@ def sentiment_scores(spark, folder):
     return feedback(spark, folder).select("doc_id", sentiment.sentiment("feedback", LEXICON).alias("r")).select("doc_id", "r.*")
 
 
-@query("gist")
+STRIP = f"'^{WS}+|{WS}+$'"
+
+
+def _contained(text, words):
+    return " + ".join(f"CASE WHEN contains({text}, {quoted(w)}) THEN 1 ELSE 0 END" for w in words)
+
+
+def _starts(text, openings):
+    return "(" + " OR ".join(f"starts_with({text}, {quoted(o)})" for o in openings) + ")"
+
+
+def _sentence_score():
+    """Points of a sentence ``x``: two per keyword of a topic found in the whole text, one per bonus term."""
+    topics = " + ".join(f"CASE WHEN list_contains(topics, {quoted(n)}) THEN {_contained('lower(x)', ws)} ELSE 0 END" for n, ws in GIST.groups.items())
+    chatty = f"CASE WHEN {_starts('lower(x)', CHATTY_OPENINGS)} THEN 2 ELSE 0 END"
+    return f"CASE WHEN length(x) > 150 THEN 0 ELSE 2 * ({topics}) + {_contained('lower(x)', GIST.bonus_terms)} - {chatty} END"
+
+
+def _titled(words):
+    return f"array_to_string(list_transform({words}, lambda w: upper(w[1]) || w[2:]), ' ')"
+
+
+GIST_SQL = f"""WITH a AS (SELECT doc_id, regexp_replace(text, {STRIP}, '', 'g') AS t FROM documents),
+b AS (SELECT doc_id, t, lower(t) AS low, regexp_replace(regexp_extract(t, '^([^.\\n!?]+)[.\\n!?]', 1), {STRIP}, '', 'g') AS head,
+ list_filter([{', '.join(f"CASE WHEN {' OR '.join(f'contains(lower(t), {quoted(w)})' for w in ws)} THEN {quoted(n)} END" for n, ws in GIST.groups.items())}], lambda x: x IS NOT NULL) AS topics,
+ list_filter(list_transform(string_split_regex(t, '[.!?]+'), lambda x: regexp_replace(x, {STRIP}, '', 'g')), lambda x: length(x) > 10)[1:3] AS sentences,
+ string_split(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' ') AS tokens FROM a),
+c AS (SELECT *, list_transform(sentences, lambda x: {_sentence_score()}) AS scores FROM b),
+d AS (SELECT *, list_max(scores) AS top, list_position(scores, list_max(scores)) AS best,
+ {' || '.join(f"coalesce((SELECT list(w ORDER BY p) FROM (SELECT w, min(i) AS p FROM (SELECT unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i) WHERE list_contains({sql_list(terms)}, w) GROUP BY w)), [])" for terms in GIST.key_terms)} AS terms,
+ list_filter(string_split_regex(t, '{WS}+'), lambda w: length(regexp_replace(lower(w), '[^\\p{{L}}\\p{{N}}_]', '', 'g')) > 2
+  AND NOT list_contains({sql_list(FILLER_WORDS)}, regexp_replace(lower(w), '[^\\p{{L}}\\p{{N}}_]', '', 'g')))[1:12] AS kept FROM c),
+e AS (SELECT *, CASE WHEN len(topics) = 1 THEN {_titled("string_split(replace(topics[1], '-', ' '), ' ')")} || ' - ' || {_titled('terms[1:3]')}
+  ELSE {_titled('terms[1:4]')} || ' - ' || array_to_string(list_transform(topics[1:2], lambda n: array_to_string(list_transform(string_split(n, '-'), lambda w: upper(w[1]) || w[2:]), '-')), ' & ') END AS line,
+ array_to_string(kept, ' ') AS words FROM d)
+SELECT doc_id, CASE WHEN t = '' THEN 'Empty feedback' WHEN length(head) > 10 AND length(head) < 150 AND NOT {_starts('lower(head)', NO_TITLE_OPENINGS)} THEN head
+ WHEN top > 0 THEN sentences[best] WHEN len(topics) > 0 AND len(terms) > 0 AND length(line) <= 150 THEN line
+ WHEN words <> '' THEN CASE WHEN length(words) > 150 THEN left(words, 147) || '...' ELSE words END
+ WHEN length(t) > 150 THEN left(t, 147) || '...' ELSE t END AS gist FROM e"""
+
+
+@query("gist", GIST_SQL)
 def gists(spark, folder):
     return feedback(spark, folder).select("doc_id", gist("feedback", GIST).alias("gist"))
 
