@@ -70,6 +70,20 @@ def test_rank_filters_run_below_the_shuffle(spark):
     assert text.count("WindowGroupLimit") == 2
 
 
+def test_large_limits_split_a_source_first(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "GROUP_LIMIT", 3)
+    df = spark.range(500).select(F.col("id").alias("feedback_id"), (F.col("id") % 3 == 0).cast("string").alias("source"),
+                                 (F.col("id") % 50).cast("string").alias("created"))
+    got = {(r["source"], r["feedback_id"]) for r in dedup.limit_per_source(df, 7).collect()}
+    want = set()
+    for flag in ("true", "false"):
+        rows = [i for i in range(500) if (i % 3 == 0) == (flag == "true")]
+        rows.sort(key=lambda i: i)
+        rows.sort(key=lambda i: str(i % 50), reverse=True)
+        want |= {(flag, i) for i in rows[:7]}
+    assert got == want
+
+
 def expected(texts, threshold, autojunk=False):
     rows = [(f"i{n:03d}", t) for n, t in enumerate(texts)]
     return plain.repeats(rows, threshold, lambda a, b: score(a, b, autojunk)), len(rows)

@@ -221,6 +221,14 @@ def test_triage_stream(spark, tmp_path):
     assert run() == {"a": ("TRIAGED", "m"), "b": ("NEW", "n")}
 
 
+def test_collect_limits_each_source(spark):
+    a = spark.range(5).select(F.lit("A").alias("source"), F.col("id").cast("string").alias("url"), F.lit("2024").alias("created"))
+    b = a.withColumn("source", F.lit("B")).limit(1)
+    got = sorted((r["source"], r["url"]) for r in flows.collect(a, b, limit=2).collect())
+    assert got == [("A", "0"), ("A", "1"), ("B", "0")]
+    assert flows.collect(a, b).count() == 6
+
+
 def test_union_fills_unknown_columns(spark):
     a, b = spark.createDataFrame([("x",)], "source string"), spark.createDataFrame([("y", "t")], "source string, tag string")
     assert sorted((r["source"], r["tag"]) for r in records.union_sources(a, b).collect()) == [("x", None), ("y", "t")]

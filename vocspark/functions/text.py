@@ -9,47 +9,48 @@ from pyspark.sql import types as T
 from vocspark.functions.common import (
     NON_WORD, NON_WORD_NON_SPACE, SPACE, col, collapse_space, contains_any, let)
 
+WS, IN = SPACE, SPACE[1:-1]
+
 # Markup patterns that must act as stated, applied one after the other.
 # Each row is (text that must be present for the pattern to matter, pattern, replacement); a list
 # names lower-case texts of which one must be present, DOTTED asks for a dot between two letters.
-# S and N in a pattern stand for Unicode white space outside and inside a negated class.
 # Letter runs in front of a dot are possessive and start at a word edge, so no pattern
 # re-reads a long word; an open "{...}" head is taken from its first character.
 DOTTED = r"[a-zA-Z]\.[a-zA-Z]"
 MARKUP_PATTERNS = [
-    ("{", r"(?<![a-zA-Z0-9.#\-_,N])[a-zA-Z0-9.#\-_,N]*\{[^}]*\}", ""),
+    ("{", rf"(?<![a-zA-Z0-9.#\-_,{IN}])[a-zA-Z0-9.#\-_,{IN}]*\{{[^}}]*\}}", ""),
     ("MsoNormal", r"p\.MsoNormal[^}]*\}?", ""),
     ("MsoNormal", r"li\.MsoNormal[^}]*\}?", ""),
     ("MsoNormal", r"div\.MsoNormal[^}]*\}?", ""),
     ("EmailStyle", r"span\.EmailStyle\p{Nd}+[^}]*\}?", ""),
     ("MsoChpDefault", r"\.MsoChpDefault[^}]*\}?", ""),
     ("WordSection", r"div\.WordSection\p{Nd}+[^}]*\}?", ""),
-    (":", r"(?i)(?<![a-z])[a-z]++:S*p\.[a-z]+,?S*li\.[a-z]+,?S*div\.[a-z]+S*\{?", ""),
-    (DOTTED, r"(?<![a-zA-Z])[a-zA-Z]++\.[a-zA-Z]+(?:S*,S*[a-zA-Z]++\.[a-zA-Z]+)*+S*\{?", ""),
+    (":", rf"(?i)(?<![a-z])[a-z]++:{WS}*p\.[a-z]+,?{WS}*li\.[a-z]+,?{WS}*div\.[a-z]+{WS}*\{{?", ""),
+    (DOTTED, rf"(?<![a-zA-Z])[a-zA-Z]++\.[a-zA-Z]+(?:{WS}*,{WS}*[a-zA-Z]++\.[a-zA-Z]+)*+{WS}*\{{?", ""),
     (":", r"(?<![a-zA-Z\-])[a-zA-Z\-]++:[^;]{1,50};", ""),
     ("margin:", r"margin:[^;]+;?", ""),
     ("font-", r"font-[^;]+;?", ""),
     ("color:", r"color:[^;]+;?", ""),
-    ("MsoNormal", r"p\.x?_?MsoNormal,?S*li\.x?_?MsoNormal,?S*div\.x?_?MsoNormal", ""),
-    ("x_MsoN", r"p\.x_MsoNormal,?S*li\.x_MsoN[^,N]*", ""),
-    ("MsoNormal", r"[a-zA-Z._]+MsoNormal[^,N]*,?S*", ""),
+    ("MsoNormal", rf"p\.x?_?MsoNormal,?{WS}*li\.x?_?MsoNormal,?{WS}*div\.x?_?MsoNormal", ""),
+    ("x_MsoN", rf"p\.x_MsoNormal,?{WS}*li\.x_MsoN[^,{IN}]*", ""),
+    ("MsoNormal", rf"[a-zA-Z._]+MsoNormal[^,{IN}]*,?{WS}*", ""),
     ("&", r"&[a-zA-Z0-9#]+;", " "),
     ("<", r"<[^>]+>", ""),
     ("font-family:", r"font-family:[^;]+;", ""),
     ("font-size:", r"font-size:[^;]+;", ""),
     ("margin:", r"margin:[^;]+;", ""),
     ("color:", r"color:[^;]+;", ""),
-    (":", r"(?<![a-zA-Z])[a-zA-Z]++:S*[^;{}N]+(?:[;{}]|S)*", ""),
+    (":", rf"(?<![a-zA-Z])[a-zA-Z]++:{WS}*[^;{{}}{IN}]+[;{{}}{IN}]*", ""),
     ("{", r"\{[^}]*\}", ""),
-    (DOTTED, r"(?<![a-zA-Z])[a-zA-Z]++\.[a-zA-Z]+(?:,|S)*", ""),
-    (":", r"(?<![a-zA-Z\-])[a-zA-Z\-]++:S*[^;]+;", ""),
+    (DOTTED, rf"(?<![a-zA-Z])[a-zA-Z]++\.[a-zA-Z]+[,{IN}]*", ""),
+    (":", rf"(?<![a-zA-Z\-])[a-zA-Z\-]++:{WS}*[^;]+;", ""),
 ]
 # Patterns for mail noise, applied to the text once it is a single line.
 MAIL_PATTERNS = [
-    (":", r"(?i)(?<![\p{L}\p{N}_])Description:S*", ""),
+    (":", rf"(?i)(?<![\p{{L}}\p{{N}}_])Description:{WS}*", ""),
     (":", r"(?is)^(?:From|To|Sent|Subject|Cc):.*", ""),
     ("@", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[email-removed]"),
-    ("[", r"(?i)\[EXTERNAL\]S*", ""),
+    ("[", rf"(?i)\[EXTERNAL\]{WS}*", ""),
     (["best regards", "thanks", "-----original message-----"],
      r"(?is)(?:Best regards|Thanks|-----Original Message-----).*", ""),
 ]
@@ -66,7 +67,7 @@ STOP_WORDS = (
 
 def _apply(patterns, c: Column) -> Column:
     for needle, pattern, replacement in patterns:
-        c = _guarded(c, needle, _expand(pattern), replacement)
+        c = _guarded(c, needle, pattern, replacement)
     return c
 
 
@@ -79,25 +80,6 @@ def _guarded(c: Column, needle: str | list[str], pattern: str, replacement: str)
     return let(c, lambda t: F.when(present(t), F.regexp_replace(t, pattern, replacement)).otherwise(t))
 
 
-def _expand(pattern: str) -> str:
-    out, i = [], 0
-    while i < len(pattern):
-        two = pattern[i:i + 2]
-        if two[0] == "\\":
-            out.append(two)
-            i += 2
-        elif two in ("S*", "S)"):
-            out.append(SPACE + two[1])
-            i += 2
-        elif two == "N]":
-            out.append(SPACE[1:-1] + "]")
-            i += 2
-        else:
-            out.append(two[0])
-            i += 1
-    return "".join(out)
-
-
 def clean_text(c: Column | str) -> Column:
     """Strip style sheets, tags, entities, mail headers, addresses and sign-offs; null → ''.
 

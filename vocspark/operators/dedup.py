@@ -13,6 +13,10 @@ from vocspark.functions.ids import content_signature
 from vocspark.session import cut_lineage
 
 
+# Largest rank the optimizer pushes below a shuffle, and parts of a source for ranks above it.
+GROUP_LIMIT, SOURCE_PARTS = 1_000, 64
+
+
 def _signature(title: str, content: str) -> Column:
     return F.sha2(content_signature(title, content), 256)
 
@@ -100,9 +104,18 @@ def latest_per_title(df: DataFrame, order_col: str, title: str = "title", create
 
 def limit_per_source(df: DataFrame, limit: int, source: str = "source", created: str = "created",
                      key: str = "feedback_id") -> DataFrame:
-    """The newest ``limit`` rows of every source, ties by key."""
-    newest = Window.partitionBy(source).orderBy(F.col(created).desc_nulls_last(), F.col(key).asc())
-    return (df.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= limit).drop("_rank"))
+    """The newest ``limit`` rows of every source, ties by key.
+
+    Small limits run below the shuffle.  Larger ones the optimizer leaves above it, so a source is
+    then split over many tasks first: a row beyond the limit of its part is beyond the limit.
+    """
+    def newest(rows: DataFrame, *group: Column | str) -> DataFrame:
+        order = Window.partitionBy(*group).orderBy(F.col(created).desc_nulls_last(), F.col(key).asc())
+        return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit).drop("_rank")
+
+    if limit > GROUP_LIMIT:
+        df = newest(df, source, F.pmod(F.xxhash64(key), F.lit(SOURCE_PARTS)))
+    return newest(df, source)
 
 
 def stored_ids(df: DataFrame, key: str = "feedback_id") -> DataFrame:

@@ -99,7 +99,7 @@ def facet_options(df: DataFrame, facets=tuple(OPTION_FACETS)) -> DataFrame:
             .filter(F.col("value").isNotNull()))
     fixed = [("state", s) for s in STATES] + [("priority", p) for p in PRIORITIES]
     vocabulary = df.sparkSession.createDataFrame(fixed, "facet string, value string")
-    return seen.distinct().unionByName(vocabulary).distinct()
+    return seen.unionByName(vocabulary).distinct()
 
 
 def subcategories_by_area(df: DataFrame) -> DataFrame:

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from vocspark.functions.classify import classify, standard_audience
 from vocspark.functions.common import blank_to_null
+from vocspark.functions.dates import iso_timestamp
 from vocspark.functions.gist import GistProfile, gist
 from vocspark.functions.ids import TITLE_CHARS, feedback_id_from_record
-from vocspark.functions.dates import iso_timestamp
 from vocspark.functions.sentiment import DEFAULT_LEXICON, Lexicon, with_sentiment
-from vocspark.operators.dedup import backfill_keywords, insert_counters, insert_keys
+from vocspark.operators.dedup import backfill_keywords, insert_counters, insert_keys, limit_per_source
 from vocspark.operators.filters import FilterSpec, page, page_summary
 from vocspark.operators.state import initial_states, overlay_states, sync_domains
 from vocspark.operators.stats import facet_options
 from vocspark.schema import FEEDBACK_SCHEMA
+from vocspark.session import cut_lineage
 from vocspark.sinks.tables import add_missing_columns
+from vocspark.sources.records import union_sources
 from vocspark.taxonomy import Taxonomy
 
 
@@ -78,10 +80,21 @@ def stored_form(df: DataFrame) -> DataFrame:
     return df.withColumns({"title": F.substring(title, 1, TITLE_CHARS), "audience": standard_audience("audience")})
 
 
+def collect(*frames: DataFrame, limit: int | None = None) -> DataFrame:
+    """All sources under one set of columns, optionally the newest ``limit`` rows of each."""
+    rows = union_sources(*frames)
+    return rows if limit is None else limit_per_source(rows, limit, key="url")
+
+
 def sync(batch: DataFrame, stored: DataFrame, states: DataFrame, order_col: str,
-         original_id: str | None = None) -> SyncResult:
-    """Add what is new, back-fill keywords, carry human decisions over."""
+         original_id: str | None = None, materialize: bool = True) -> SyncResult:
+    """Add what is new, back-fill keywords, carry human decisions over.
+
+    The batch is read several times.  ``materialize`` keeps the enrichment behind it from running
+    each time; switch it off for a batch that already is a table.
+    """
     rows = stored_form(batch)
+    rows = cut_lineage(rows) if materialize else rows
     keys = insert_keys(rows, stored, order_col, content="feedback")
     new_rows = rows.join(keys.select(F.col("ord").alias(order_col)), order_col, "left_semi")
     filled = backfill_keywords(stored, rows, order_col)

@@ -16,7 +16,7 @@ from vocspark.operators.dedup import rows_to_insert
 from vocspark.operators.state import upsert_states
 from vocspark.plans.flows import stored_form
 from vocspark.schema import CHANGE_SCHEMA, FEEDBACK_SCHEMA, STATE_SCHEMA
-from vocspark.sinks.tables import _exists, project
+from vocspark.sinks.tables import project
 
 
 def ingest_stream(spark: SparkSession, landed: str, schema: str, to_feedback: Callable[[DataFrame], DataFrame],
@@ -33,12 +33,13 @@ def ingest_stream(spark: SparkSession, landed: str, schema: str, to_feedback: Ca
 
     def add_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        target = f"{table}/batch={batch_id}"
-        earlier = [f"{table}/batch={b}" for b in range(batch_id) if _exists(session, f"{table}/batch={b}")]
+        earlier = [f"{table}/batch={b}" for b in _numbers(session, table, "batch") if b < batch_id]
         stored = session.read.schema(FEEDBACK_SCHEMA).parquet(*earlier) if earlier else session.createDataFrame([], FEEDBACK_SCHEMA)
-        ordered = stored_form(project(batch)).withColumn("ord", F.struct("created", "feedback_id"))
+        # one run of the stateful plan per batch, however often the rows are read below
+        ordered = stored_form(project(batch)).withColumn("ord", F.struct("created", "feedback_id")).persist()
         new_rows = rows_to_insert(ordered, stored, "ord", content="feedback")
-        project(new_rows).write.mode("overwrite").parquet(target)
+        project(new_rows).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        ordered.unpersist()
 
     return (fresh.writeStream.foreachBatch(add_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -56,12 +57,16 @@ def triage_stream(spark: SparkSession, landed: str, snapshots: str, checkpoint:
             .trigger(availableNow=True).start())
 
 
+def _numbers(spark: SparkSession, folder: str, label: str) -> list[int]:
+    """Numbers of the sub-folders ``label=<number>``, ascending."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{label}=*")
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or []
+    return sorted(int(str(s.getPath().getName()).split("=")[1]) for s in found)
+
+
 def read_states(spark: SparkSession, snapshots: str, before: int | None = None) -> DataFrame:
     """The newest state snapshot, optionally of a version under ``before``."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{snapshots}/version=*")
-    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or []
-    versions = sorted(int(str(s.getPath().getName()).split("=")[1]) for s in found)
-    usable = [v for v in versions if before is None or v < before]
+    usable = [v for v in _numbers(spark, snapshots, "version") if before is None or v < before]
     if not usable:
         return spark.createDataFrame([], STATE_SCHEMA)
     return spark.read.schema(STATE_SCHEMA).parquet(f"{snapshots}/version={usable[-1]}")
