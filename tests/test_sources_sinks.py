@@ -114,6 +114,14 @@ def test_enrich_fills_every_column(spark):
     assert not [c for c in FEEDBACK_SCHEMA.names if c not in r.asDict()]
 
 
+def test_work_item_titles_carry_no_sentiment(spark):
+    raw = json_frame(spark, records.WORK_ITEM_SCHEMA, {"id": 1, "fields": {"System.Title": "terrible bad", "System.Description": "good"}},
+                     {"id": 2, "fields": {"System.Title": "terrible bad"}})
+    rows = flows.enrich(records.work_item_feedback(records.work_items(raw)), default_taxonomy(), now())
+    assert [r["sentiment"] for r in rows.orderBy("title").collect()] == ["Positive", "Negative"]
+    assert "sentiment_text" not in rows.columns
+
+
 def test_enrich_is_one_narrow_stage(spark):
     plan = collected(spark, "x")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan

@@ -153,7 +153,7 @@ def work_item_feedback(items: DataFrame, keywords=(), project: str = "core") ->
     rows = rows.withColumn("feedback", F.concat_ws("\n\n", "_title", blank_to_null("_body")))
     return rows.select(
         F.concat(F.lit("[ADO-"), F.col("id").cast("string"), F.lit("] "), F.col("_title")).alias("title"),
-        "feedback", F.col("feedback").alias("content"),
+        "feedback", F.col("feedback").alias("content"), first_filled("_body", "_title").alias("sentiment_text"),
         matched_keywords("feedback", keywords).alias("matched_keywords"), "url", F.lit("Azure DevOps").alias("source"),
         F.lit("Internal").alias("scenario"), F.lit(f"ADO/{project}").alias("organization"),
         F.col("created_by").alias("customer"), "created", F.lit(DEFAULT_STATUS).alias("status"),
@@ -167,8 +167,8 @@ def task_feedback(items: DataFrame, parent_id: int, order_col: str = "id", keywo
         {"_title": clean_text("title"), "_body": clean_text("description")})
     rows = rows.withColumn("feedback", _text("_title", "_body"))
     return rows.select(
-        "feedback", matched_keywords("feedback", keywords).alias("matched_keywords"), "url",
-        F.lit("Development Tasks").alias("area"), F.lit("Azure DevOps").alias("source"),
+        "feedback", F.col("_body").alias("sentiment_text"),
+        matched_keywords("feedback", keywords).alias("matched_keywords"), "url", F.lit("Development Tasks").alias("area"), F.lit("Azure DevOps").alias("source"),
         task_impact("feedback").alias("impact_type"), F.lit("Internal").alias("scenario"),
         F.lit("Development Team").alias("customer"), F.lit(f"ChildOf:{parent_id}").alias("tag"), "created",
         F.lit(f"ADO/{project}").alias("organization"), F.lit(DEFAULT_STATUS).alias("status"))
