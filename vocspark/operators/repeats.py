@@ -161,17 +161,20 @@ def _next_batch(nodes: DataFrame, done: DataFrame, last, rows: int) -> list:
 
 
 def _uncovered_in_batch(spark, batch: list, threshold: float, autojunk: bool) -> list[tuple[str, str]]:
-    """Nodes of the batch that no earlier node of the batch covers; pairs are scored on the executors."""
-    texts = [(r["node"], r["form"]) for r in batch]
-    place = {node: i for i, (node, _) in enumerate(texts)}
-    frame = spark.createDataFrame(texts, "node string, form string").repartition(spark.sparkContext.defaultParallelism)
+    """Nodes of the batch that no earlier node of the batch covers; pairs are scored on the executors.
+
+    What comes back are pairs of positions, at most half the square of the batch bound.
+    """
+    numbered = [(str(i), r["form"]) for i, r in enumerate(batch)]
+    frame = spark.createDataFrame(numbered, "node string, form string").repartition(spark.sparkContext.defaultParallelism)
     covers: dict[int, list[int]] = {}
-    for edge in _matches(frame, texts, threshold, autojunk, earlier_only=True).select("leader_node", "node").collect():
-        covers.setdefault(place[edge["leader_node"]], []).append(place[edge["node"]])
+    for edge in _matches(frame, numbered, threshold, autojunk, earlier_only=True).select(
+            F.col("leader_node").cast("int").alias("i"), F.col("node").cast("int").alias("j")).collect():
+        covers.setdefault(edge["i"], []).append(edge["j"])
     covered, probes = set(), []
-    for i, text in enumerate(texts):
+    for i, row in enumerate(batch):
         if i not in covered:
-            probes.append(text)
+            probes.append((row["node"], row["form"]))
             covered.update(covers.get(i, ()))
     return probes
 
