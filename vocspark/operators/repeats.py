@@ -24,7 +24,7 @@ from vocspark.functions.common import truncate
 from vocspark.functions.similarity import REPEAT_AT, ProbeSet
 from vocspark.functions.text import compare_form, request_keywords
 from vocspark.operators.similarity import item_text
-from vocspark.session import scratch_path
+from vocspark.session import scratch_path, ship_package
 from vocspark.sources.tables import spread_small
 
 # A batch of probes is broadcast, so both its rows and its characters are bounded.  The first batch
@@ -182,6 +182,7 @@ def _uncovered_in_batch(spark, batch: list, threshold: float, autojunk: bool) ->
 def _matches(nodes: DataFrame, probes: list[tuple[str, str]], threshold: float, autojunk: bool,
              earlier_only: bool = False) -> DataFrame:
     """Memberships of ``nodes`` in the clusters of the probes; ``earlier_only``: of probes listed before the node."""
+    ship_package(nodes.sparkSession)
     shared = nodes.sparkSession.sparkContext.broadcast(probes)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vocspark.functions.common import col, first_filled, truncate
 from vocspark.functions.similarity import SIMILAR_AT, SLACK, WORD_WEIGHT, score
 from vocspark.functions.text import compare_form
+from vocspark.session import ship_package
 from vocspark.taxonomy import literal_strings
 
 PREVIEW_CHARS = 100
@@ -27,6 +28,7 @@ def find_similar(df: DataFrame, probe: str, threshold: float = SIMILAR_AT, exclu
     shared words, which no qualifying row can fail.
     """
     spark = df.sparkSession
+    ship_package(spark)
     probe_form = spark.range(1).select(compare_form(F.lit(probe)).alias("c")).first()["c"]
     if not probe_form:
         return df.withColumns({"similarity": F.lit(0.0), "preview": F.lit("")}).limit(0)

@@ -1,7 +1,9 @@
-"""Session helpers: where iterative operators may keep intermediate tables."""
+"""Session helpers: folders for intermediate tables, and the package for Python workers."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -41,3 +43,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for one table written by an operator."""
     return f"{checkpoint_root(spark).rstrip('/')}/vocspark-{uuid.uuid4().hex}/{label}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver runs from; once per context.
+
+    Spark serves the archive to the executors.  A package that already came as an archive, for
+    instance with ``--py-files``, is left alone.
+    """
+    context, folder = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_vocspark_shipped", False) or not os.path.isdir(folder):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="vocspark-package-"), "vocspark")
+    context.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(folder), os.path.basename(folder)))
+    context._vocspark_shipped = True
