@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from bindings.base import FEEDBACK_SQL, classification_sql, classified, feedback
+from bindings.base import FEEDBACK_SQL, classification_sql, feedback
 from bindings.fixture import TAXONOMY
 from bindings.registry import query
 from vocspark.operators import recategorize, state, stats

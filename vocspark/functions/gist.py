@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vocspark.functions.common import NON_WORD, SPACE, col, contains_any, let, strip_space, truncate
+from vocspark.functions.common import NON_WORD, SPACE, col, let, strip_space, truncate
 from vocspark.functions.text import title_case
 from vocspark.taxonomy import constant, literal_strings
 

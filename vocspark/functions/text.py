@@ -14,8 +14,8 @@ WS, IN = SPACE, SPACE[1:-1]
 # Markup patterns that must act as stated, applied one after the other.
 # Each row is (text that must be present for the pattern to matter, pattern, replacement); a list
 # names lower-case texts of which one must be present, DOTTED asks for a dot between two letters.
-# Letter runs in front of a dot are possessive and start at a word edge, so no pattern
-# re-reads a long word; an open "{...}" head is taken from its first character.
+# Runs of letters start at their edge (or where the last match ended) and are possessive where that
+# changes nothing, so no pattern reads a long run again from each of its characters.
 DOTTED = r"[a-zA-Z]\.[a-zA-Z]"
 MARKUP_PATTERNS = [
     ("{", rf"(?<![a-zA-Z0-9.#\-_,{IN}])[a-zA-Z0-9.#\-_,{IN}]*\{{[^}}]*\}}", ""),
@@ -33,7 +33,7 @@ MARKUP_PATTERNS = [
     ("color:", r"color:[^;]+;?", ""),
     ("MsoNormal", rf"p\.x?_?MsoNormal,?{WS}*li\.x?_?MsoNormal,?{WS}*div\.x?_?MsoNormal", ""),
     ("x_MsoN", rf"p\.x_MsoNormal,?{WS}*li\.x_MsoN[^,{IN}]*", ""),
-    ("MsoNormal", rf"[a-zA-Z._]+MsoNormal[^,{IN}]*,?{WS}*", ""),
+    ("MsoNormal", rf"(?<![a-zA-Z._])[a-zA-Z._]+MsoNormal[^,{IN}]*,?{WS}*", ""),
     ("&", r"&[a-zA-Z0-9#]+;", " "),
     ("<", r"<[^>]+>", ""),
     ("font-family:", r"font-family:[^;]+;", ""),
@@ -49,7 +49,7 @@ MARKUP_PATTERNS = [
 MAIL_PATTERNS = [
     (":", rf"(?i)(?<![\p{{L}}\p{{N}}_])Description:{WS}*", ""),
     (":", r"(?is)^(?:From|To|Sent|Subject|Cc):.*", ""),
-    ("@", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[email-removed]"),
+    ("@", r"(?:(?<![a-zA-Z0-9._%+-])|\G)[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[email-removed]"),
     ("[", rf"(?i)\[EXTERNAL\]{WS}*", ""),
     (["best regards", "thanks", "-----original message-----"],
      r"(?is)(?:Best regards|Thanks|-----Original Message-----).*", ""),
