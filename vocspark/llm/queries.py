@@ -1,7 +1,7 @@
 """All queries of this subpackage; its modules register them on import."""
 
 from vocspark.llm import (  # noqa: F401
-    bpe, license_scan, minhash, mixing, quality, token_files, toxicity, vectors, warc)
+    bpe, context_mixing, license_scan, minhash, mixing, quality, token_files, toxicity, vectors, warc)
 from vocspark.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
