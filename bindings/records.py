@@ -70,7 +70,7 @@ def raw_discussions(spark, folder):
         "category", F.when(F.col("number") % 5 != 0, F.struct(F.concat(F.lit("cat"), (F.col("number") % 3).cast("string")).alias("name")))).drop("number")
 
 
-@query("discussions_source", f"""WITH {ISSUE_SQL} SELECT 'https://h/' || doc_id AS url, CASE WHEN doc_id % 5 = 0 THEN 'Workloads' ELSE 'cat' || (doc_id % 3) END AS area,
+@query("discussions_source", f"""WITH {ISSUE_SQL} SELECT 'https://h/' || doc_id AS url, CASE WHEN doc_id % 5 = 0 THEN 'General' ELSE 'cat' || (doc_id % 3) END AS area,
  {_rule_sql('t', C.POST_IMPACT_RULES, 'Feedback')} AS impact_type, CASE WHEN doc_id % 8 = 0 THEN 'Anonymous' ELSE customer END AS customer, length(feedback) AS n FROM i""")
 def discussions_source(spark, folder):
     return records.discussions(raw_discussions(spark, folder), KEYWORDS).select(
@@ -102,13 +102,14 @@ ITEM_SQL = f"""{FEEDBACK_SQL}, w AS (SELECT doc_id AS id, title, CASE WHEN doc_i
  CASE WHEN doc_id % 3 < 2 THEN customer ELSE 'Unassigned' END AS created_by, created,
  trim(regexp_replace(regexp_replace(CASE doc_id % 5 WHEN 0 THEN '<div><p>' || feedback || '</p> <br> </div>' WHEN 1 THEN feedback ELSE '' END, '<[^>]+>', '', 'g'),
   '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+', ' ', 'g'), ' ') AS d FROM fb),
-wi AS (SELECT id, title, type, state, created_by, created, CASE WHEN d = '' THEN 'No description available' WHEN length(d) > 500 THEN left(d, 500) || '...' ELSE d END AS description FROM w)"""
+wi AS (SELECT id, title, type, state, created_by, created, CASE WHEN d = '' THEN 'No description available' ELSE d END AS description,
+ CASE WHEN d = '' THEN 'No description available' WHEN length(d) > 500 THEN left(d, 500) || '...' ELSE d END AS preview FROM w)"""
 
 
-@query("workitems_flatten", f"WITH {ITEM_SQL} SELECT id, type, title, description, state, created_by, created FROM wi")
+@query("workitems_flatten", f"WITH {ITEM_SQL} SELECT id, type, title, description, preview, state, created_by, created FROM wi")
 def workitems_flatten(spark, folder):
     return records.work_items(raw_work_items(spark, folder)).select(
-        "id", "type", "title", "description", "state", "created_by", "created")
+        "id", "type", "title", "description", "preview", "state", "created_by", "created")
 
 
 @query("workitem_feedback", f"""WITH {ITEM_SQL}, c AS (SELECT id, {clean_sql('title')} AS ct, CASE WHEN description = 'No description available' THEN '' ELSE {clean_sql('description')} END AS cd FROM wi)

@@ -31,8 +31,8 @@ def stored_batch(spark, folder):
         "matched_keywords", F.when(F.col("toxic") == 1, F.array(F.lit("old"))))
 
 
-ID_SQL = f"regexp_replace(left(sha256(left({norm_sql('feedback')}, 500)), 32), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
-SIG_SQL = f"regexp_replace(lower(left(title, 100)), '^{WS}+|{WS}+$', '', 'g') || '|' || regexp_replace(lower(left(feedback, 200)), '^{WS}+|{WS}+$', '', 'g')"
+ID_SQL = f"regexp_replace(left(sha256({norm_sql('feedback')}), 32), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
+SIG_SQL = f"regexp_replace(lower(title), '^{WS}+|{WS}+$', '', 'g') || '|' || regexp_replace(lower(feedback), '^{WS}+|{WS}+$', '', 'g')"
 BATCH_SQL = f"""{FEEDBACK_SQL}, ba AS (SELECT doc_id, {ID_SQL} AS feedback_id, {SIG_SQL} AS sig, feedback,
  array_to_string(list_filter({sql_list(KEYWORDS)}, lambda k: contains(lower(feedback), lower(k))), ',') AS kw FROM fb),
 sb AS (SELECT ba.*, toxic FROM ba JOIN labels USING (doc_id)),
@@ -109,8 +109,8 @@ def add_missing_columns(spark, folder):
     return tables.add_missing_columns(old, STATE_SCHEMA).select("feedback_id", "state", "category", "updated_by")
 
 
-SYNC_SIG_SQL = f"""regexp_replace(lower(left(CASE WHEN title = '' THEN feedback ELSE title END, 100)), '^{WS}+|{WS}+$', '', 'g') || '|' ||
- regexp_replace(lower(left(feedback, 200)), '^{WS}+|{WS}+$', '', 'g')"""
+SYNC_SIG_SQL = f"""regexp_replace(lower(CASE WHEN title = '' THEN feedback ELSE title END), '^{WS}+|{WS}+$', '', 'g') || '|' ||
+ regexp_replace(lower(feedback), '^{WS}+|{WS}+$', '', 'g')"""
 STORED_SIG_SQL = SYNC_SIG_SQL.replace("CASE WHEN title = '' THEN feedback ELSE title END", "title")
 
 
@@ -118,7 +118,7 @@ STORED_SIG_SQL = SYNC_SIG_SQL.replace("CASE WHEN title = '' THEN feedback ELSE t
 cand AS (SELECT fb.*, {SYNC_SIG_SQL} AS sig FROM fb WHERE doc_id NOT IN (SELECT doc_id FROM labels)),
 fresh AS (SELECT * FROM cand WHERE sig NOT IN (SELECT {STORED_SIG_SQL} FROM old) QUALIFY row_number() OVER (PARTITION BY sig ORDER BY doc_id) = 1),
 al AS (SELECT feedback_id, title, 'ISV' AS audience FROM old UNION ALL
- SELECT feedback_id, left(CASE WHEN title = '' THEN feedback ELSE title END, 100), 'Developer' FROM fresh)
+ SELECT feedback_id, CASE WHEN title = '' THEN feedback ELSE title END, 'Developer' FROM fresh)
 SELECT al.feedback_id, title, audience, coalesce(nullif(state, ''), 'NEW') AS state, nullif(primary_domain, '') AS primary_domain, updated_by FROM al LEFT JOIN st USING (feedback_id)""")
 def sync_flow(spark, folder):
     """The whole sync: insert what is new, back-fill, carry domains over."""

@@ -55,24 +55,42 @@ def norm_sql(expr):
     return f"regexp_replace({collapsed}, '[^\\p{{L}}\\p{{N}}_{IN}]', '', 'g')"
 
 
-def id_sql(title, content):
-    digest = f"""sha256(concat_ws('|', nullif({norm_sql(title)}, ''), nullif(left({norm_sql(content)}, 500), ''),
+def id_sql(title, content, size=None):
+    part = norm_sql(content) if size is None else f"left({norm_sql(content)}, {size})"
+    digest = f"""sha256(concat_ws('|', nullif({norm_sql(title)}, ''), nullif({part}, ''),
  nullif(lower(source), ''), nullif(lower(customer), ''), nullif(left(created, 10), '')))"""
     return f"regexp_replace(left({digest}, 32), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
 
 
-@query("feedback_id", f"WITH {FEEDBACK_SQL} SELECT doc_id, {id_sql('left(feedback, 100)', 'feedback')} AS feedback_id FROM fb")
-def feedback_id(spark, folder):
+def _identified(spark, folder, lengths):
     rows = feedback(spark, folder).withColumns({"title": F.lit(""), "content": F.lit(None).cast("string")})
-    return rows.select("doc_id", ids.feedback_id_from_record().alias("feedback_id"))
+    return rows.select("doc_id", ids.feedback_id_from_record(lengths=lengths).alias("feedback_id"))
+
+
+@query("feedback_id", f"WITH {FEEDBACK_SQL} SELECT doc_id, {id_sql('feedback', 'feedback')} AS feedback_id FROM fb")
+def feedback_id(spark, folder):
+    return _identified(spark, folder, ids.WHOLE)
+
 
+@query("feedback_id_short", f"WITH {FEEDBACK_SQL} SELECT doc_id, {id_sql('left(feedback, 100)', 'feedback', 500)} AS feedback_id FROM fb")
+def feedback_id_short(spark, folder):
+    return _identified(spark, folder, ids.SHORT)
 
-@query("content_signature", f"""WITH {FEEDBACK_SQL} SELECT doc_id,
- regexp_replace(lower(left(title, 100)), '^{WS}+|{WS}+$', '', 'g') || '|' || regexp_replace(lower(left(feedback, 200)), '^{WS}+|{WS}+$', '', 'g') AS signature FROM fb""")
+
+def signature_sql(title, content):
+    return f"regexp_replace(lower({title}), '^{WS}+|{WS}+$', '', 'g') || '|' || regexp_replace(lower({content}), '^{WS}+|{WS}+$', '', 'g')"
+
+
+@query("content_signature", f"WITH {FEEDBACK_SQL} SELECT doc_id, {signature_sql('title', 'feedback')} AS signature FROM fb")
 def content_signature(spark, folder):
     return feedback(spark, folder).select("doc_id", ids.content_signature("title", "feedback").alias("signature"))
 
 
+@query("content_signature_short", f"""WITH {FEEDBACK_SQL} SELECT doc_id, {signature_sql('left(title, 100)', 'left(feedback, 200)')} AS signature FROM fb""")
+def content_signature_short(spark, folder):
+    return feedback(spark, folder).select("doc_id", ids.content_signature("title", "feedback", ids.SHORT).alias("signature"))
+
+
 def _tables_for_sentiment():
     entries = [(w, round(p * 1000), round(s * 1000)) for w, (p, s) in LEXICON.entries.items()]
     boost = [(w, round(f * 100)) for w, f in LEXICON.boosters.items()]

@@ -49,7 +49,7 @@ def test_issues_and_discussions(spark):
     talk = json_frame(spark, records.DISCUSSION_SCHEMA, {"owner": "o", "title": "Idea", "body": "improve", "html_url": "u"},
                       {"owner": "o", "title": "x", "user": {"login": "ann"}, "category": {"name": "Q&A"}})
     got = [tuple(r) for r in records.discussions(talk, []).select("area", "customer", "impact_type", "organization").collect()]
-    assert got == [("Workloads", "Anonymous", "Feature Request", "GitHub/o"), ("Q&A", "ann", "Feedback", "GitHub/o")]
+    assert got == [("General", "Anonymous", "Feature Request", "GitHub/o"), ("Q&A", "ann", "Feedback", "GitHub/o")]
 
 
 def test_repositories(spark):
@@ -72,7 +72,7 @@ def work(spark):
 
 def test_work_items(spark):
     rows = {r["id"]: r for r in records.work_items(work(spark), "https://h").collect()}
-    assert rows[1]["created_by"] == "Ann" and len(rows[1]["description"]) == 503 and rows[1]["description"].endswith("...")
+    assert rows[1]["created_by"] == "Ann" and len(rows[1]["description"]) == 999 and len(rows[1]["preview"]) == 503 and rows[1]["preview"].endswith("...")
     assert (rows[2]["description"], rows[2]["created_by"]) == ("seen", "Unknown")
     assert (rows[3]["title"], rows[3]["type"], rows[3]["description"], rows[3]["created_by"]) == ("No Title", "Unknown", records.NO_DESCRIPTION, "Unassigned")
     assert [tuple(r) for r in records.child_ids(work(spark)).collect()] == [(1, 2)]

@@ -177,3 +177,22 @@ def test_statistics(spark):
     assert ("state", "IRRELEVANT") in options and ("state", "NEW") in options and not any(v in ("", None) for _, v in options)
     assert stats.subcategories_by_area(df).first()["subcategories"] == ["x1", "y1"]
     assert {r["source"]: r["n"] for r in stats.source_counts(df.na.fill("?", ["source"])).collect()} == {"S1": 2, "S2": 1, "?": 1, "TOTAL": 4}
+
+
+def test_history_keeps_changes_without_time_or_id(spark):
+    rows = [("a", "NEW", None, 1), ("a", "DONE", None, 2), (None, "NEW", "2024-01-01 00:00:00", 1), (None, "DONE", "2024-01-01 05:00:00", 2)]
+    df = spark.createDataFrame(rows, "feedback_id string, state string, at string, ord int").select(
+        "feedback_id", "state", F.col("at").cast("timestamp").alias("at"), "ord", F.lit("").alias("notes"), F.lit("u").alias("updated_by"))
+    got = sorted((str(r.feedback_id), str(r.old_state), r.new_state) for r in state.state_history(df).collect())
+    assert got == [("None", "NEW", "DONE"), ("None", "None", "NEW"), ("a", "NEW", "DONE"), ("a", "None", "NEW")]
+
+
+def test_of_several_category_edits_the_last_counts(spark):
+    edits = spark.createDataFrame([("i", "One", "s", "f", None, 1), ("i", "Two", "s", "f", "D", 2), (None, "x", "s", "f", None, 3)],
+                                  "feedback_id string, category_name string, subcategory_name string, feature_area string, domain_code string, ord int")
+    feedback = spark.createDataFrame([("i", *["old"] * 5, False)], "feedback_id string, category string, subcategory string, feature_area string, "
+                                     "primary_domain string, enhanced_category string, user_modified boolean")
+    states = spark.createDataFrame([("i", "NEW", "", *["old"] * 4, None, "u")], "feedback_id string, state string, notes string, category string, "
+                                   "subcategory string, feature_area string, primary_domain string, last_updated timestamp, updated_by string")
+    f, s = state.apply_category_edits(feedback, states, edits, F.lit(None).cast("timestamp"))
+    assert [(r.category, r.primary_domain) for r in f.collect()] == [("Two", "D")] and [r.category for r in s.collect()] == ["Two"]

@@ -1,5 +1,6 @@
 """Cleaning, identifiers, gist, sentiment, dates and tokens against plain statements."""
 
+import hashlib
 import random
 
 import pytest
@@ -52,13 +53,34 @@ def test_clean_text_is_linear_in_long_runs(spark):
     assert got[3].startswith("[email-removed][email-removed]") and all(len(g) > 100 or g == "" for g in got)
 
 
-def test_identifier_matches_plain_statement(spark):
-    rows = [("Title!", "Some  content, here", "Reddit", "Ann", "2024-02-03T23:30:00Z"), (None, "x" * 900, None, "", None),
-            ("", "", "", "", ""), ("Ünïcode—title", "çà va? 1² ok_", "GitHub", None, "2024-02-03T01:00:00+05:00"),
-            ("t", " ".join(["!?"] * 1500) + "end", "s", "a", "Yesterday at 5"), ("t", "w " * 3000, "s", "a", "2024-13-45")]
-    df = spark.createDataFrame(rows, "t string, c string, s string, a string, d string")
+def hashed(key):
+    digest = hashlib.sha256(key.encode()).hexdigest()
+    return "-".join((digest[:8], digest[8:12], digest[12:16], digest[16:20], digest[20:32]))
+
+
+# Records, and the key that is hashed for each.
+IDENTIFIED = [
+    (("Title!", "Some  content, here", "Reddit", "Ann", "2024-02-03T23:30:00Z"), "title|some content here|reddit|ann|2024-02-03"),
+    ((None, "x y", None, "", None), "x y"),
+    (("", "", "", "", ""), ""),
+    (("Ünïcode—title", "çà va? 1² ok_", "GitHub", None, "2024-02-03T01:00:00+05:00"), "ünïcodetitle|çà va 1² ok_|github|2024-02-03"),
+    (("t", "!? " * 1500 + "end", "s", "a", "Yesterday at 5"), "t|" + " " * 1500 + "end|s|a|Yesterday "),
+]
+
+
+def test_identifier_keys(spark):
+    df = spark.createDataFrame([r for r, _ in IDENTIFIED], "t string, c string, s string, a string, d string")
     got = [r[0] for r in df.select(ids.feedback_id("t", "c", "s", "a", "d")).collect()]
-    assert got == [plain.identifier(*r) for r in rows]
+    assert got == [hashed(key) for _, key in IDENTIFIED]
+
+
+def test_keys_read_whole_texts_unless_told_otherwise(spark):
+    df = spark.createDataFrame([("t", "w" * 900 + end) for end in "ab"], "t string, c string")
+    long_, short, sig, sig_short = ({r[0] for r in df.select(c).collect()} for c in (
+        ids.feedback_id("t", "c", F.lit("s")), ids.feedback_id("t", "c", F.lit("s"), lengths=ids.SHORT),
+        ids.content_signature("t", "c"), ids.content_signature("t", "c", ids.SHORT)))
+    assert long_ == {hashed("t|" + "w" * 900 + end + "|s") for end in "ab"} and short == {hashed("t|" + "w" * 500 + "|s")}
+    assert len(sig) == 2 and sig_short == {"t|" + "w" * 200}
 
 
 def test_identifier_ignores_case_spacing_and_punctuation(spark):
@@ -67,27 +89,30 @@ def test_identifier_ignores_case_spacing_and_punctuation(spark):
     assert len(set(got)) == 1
 
 
-def test_identifier_on_documents(spark):
-    docs = read_table(spark, DATA, "documents").select("text", "source")
-    got = docs.select("text", "source", ids.feedback_id(F.lit("t"), "text", "source").alias("i")).collect()
-    assert all(r["i"] == plain.identifier("t", r["text"], r["source"], None, None) for r in got)
-
-
 def test_record_identifier_takes_first_filled_fields(spark):
     rows = [(None, None, "f" * 150, "s", "c", "2024-01-01"), ("T", "C", "F", "s", None, None)]
     df = spark.createDataFrame(rows, "title string, content string, feedback string, source string, customer string, created string")
     got = [r[0] for r in df.select(ids.feedback_id_from_record()).collect()]
-    assert got == [plain.identifier("f" * 100, "f" * 150, "s", "c", "2024-01-01"), plain.identifier("T", "C", "s", None, None)]
+    assert got == [hashed("f" * 150 + "|" + "f" * 150 + "|s|c|2024-01-01"), hashed("t|c|s")]
 
 
-def test_gist_matches_plain_statement(spark):
+GISTS = [
+    (None, "No content"), ("", "No content"), ("  ", "Empty feedback"), ("Exports fail every night. The rest is not", "Exports fail every night"),
+    ("A first sentence is taken. The rest is not", "first sentence taken. rest not"),
+    ("a b c", "a b c"), ("x" * 400, "x" * 147 + "..."), ("no topics at all in the of it", "topics all"),
+]
+
+
+def test_gists(spark):
+    got = column(spark, [v for v, _ in GISTS], lambda c: gist.gist(c, GIST))
+    assert [(v, g) for (v, w), g in zip(GISTS, got, strict=True) if g != w] == []
+
+
+def test_gists_of_documents_are_short_and_from_the_text(spark):
     docs = [r["text"] for r in read_table(spark, DATA, "documents").collect()]
-    extra = [None, "", "  ", "Short.", "hey there, the thing nsten is bad. And shly too, anha! ok", "the multi-tenant une thing thwho",
-             "no topics at all in the of it", "a b c", "x" * 400, "I am here with zust problems. So it goes on and on", "éier that und with los",
-             "The first one is nsten here and ción. We are happy about that"]
-    values = docs + extra
-    got = column(spark, values, lambda c: gist.gist(c, GIST))
-    assert [(v, g) for v, g in zip(values, got, strict=True) if g != plain.gist(v, GIST)] == []
+    for value, got in zip(docs, column(spark, docs, lambda c: gist.gist(c, GIST)), strict=True):
+        assert 0 < len(got) <= 150
+        assert got in ("No content", "Empty feedback") or got[:5].lower() in " ".join(value.split()).lower() or " - " in got
 
 
 def test_title_case(spark):
@@ -160,3 +185,20 @@ def test_small_helpers(spark):
 
 def test_request_keywords(spark):
     assert column(spark, ["The API is slow, slow; and it-will crash!"], text.request_keywords) == [["api", "slow", "slow", "crash"]]
+
+
+def test_forum_dates_are_local_times(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        as_of = F.lit("2024-06-15 12:30:00").cast("timestamp")
+        df = spark.createDataFrame([("Yesterday at 3:00 PM",), ("today at 9:05 am",), ("today at noon",)], "c string")
+        got = [r[0] for r in df.select(F.date_format(dates.forum_timestamp("c", as_of), "yyyy-MM-dd HH:mm")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == ["2024-06-14 15:00", "2024-06-15 09:05", "2024-06-15 00:00"]
+
+
+def test_iso_needs_a_full_date(spark):
+    values = ["12:30", "2024", "2024-05", "T10:00", "2024-05-06", "2024-05-06T07:08", "2024-05-06 07:08:09.5Z", "2024-05-06T07:08:09+02:00", "2024-13-45", None]
+    got = column(spark, values, lambda c: F.date_format(dates.iso_timestamp(c), "yyyy-MM-dd HH:mm:ss"))
+    assert got == [None] * 4 + ["2024-05-06 00:00:00", "2024-05-06 07:08:00", "2024-05-06 07:08:09", "2024-05-06 05:08:09", None, None]

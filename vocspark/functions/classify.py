@@ -229,7 +229,7 @@ CLASSIFIED = ["category", "enhanced_category", "subcategory", "audience", "prior
 
 
 def classify(df: DataFrame, tax: Taxonomy, text: Column | str = "feedback", source="source",
-             scenario="scenario", organization="organization", engine: str = "auto") -> DataFrame:
+             scenario="scenario", organization="organization", engine: str = "jvm") -> DataFrame:
     """Add (or replace) the ten classification columns."""
     staged = df.withColumn("_hits", keyword_hits(text, tax, engine))
     staged = with_once(staged, "_class", classification(text, tax, source, scenario, organization, F.col("_hits")))

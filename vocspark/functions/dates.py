@@ -18,6 +18,9 @@ FORUM_FORMATS = [
 ]
 
 
+ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}(:?\d{2})?)?)?$"
+
+
 def date_time_fragments(date_text: Column | str, time_text: Column | str) -> Column:
     """Digits and dashes of one text, clock characters of the other; null without a date part."""
     date = blank_to_null(F.trim(F.regexp_extract(col(date_text), r"([\d\-]+)", 1)))
@@ -30,13 +33,12 @@ def forum_timestamp(c: Column | str, as_of: Column) -> Column:
     raw = col(c)
 
     def parse(low: Column) -> Column:
-        clock = F.try_to_timestamp(F.concat(
-            F.lit("1970-1-1 "), F.regexp_replace(F.regexp_extract(low, r"(\d{1,2}:\d{2}\s*(?:am|pm))", 1), r"\s*(am|pm)", " $1")),
-            F.lit("yyyy-M-d h:mm a"))
         day = F.when(F.contains(low, F.lit("yesterday at")), F.date_sub(as_of, 1)).when(
-            F.contains(low, F.lit("today at")), F.to_date(as_of)).cast("timestamp")
-        seconds = F.coalesce(F.unix_timestamp(clock), F.lit(0))
-        spoken = F.timestamp_seconds(F.unix_timestamp(day) + seconds)
+            F.contains(low, F.lit("today at")), F.to_date(as_of))
+        # A clock time belongs to the day in the session's zone, so both are read as one local time.
+        clock = F.regexp_replace(F.regexp_extract(low, r"(\d{1,2}:\d{2}\s*(?:am|pm))", 1), r"\s*(am|pm)", " $1")
+        spoken = F.coalesce(
+            F.try_to_timestamp(F.concat(day.cast("string"), F.lit(" "), clock), F.lit("yyyy-MM-dd h:mm a")), day.cast("timestamp"))
         n = F.regexp_extract(low, r"(\d+)", 1).try_cast("int")
         unit = F.when(F.contains(low, F.lit("minute")), 60).when(F.contains(low, F.lit("hour")), 3600).when(
             F.contains(low, F.lit("day")), 86400)
@@ -48,8 +50,11 @@ def forum_timestamp(c: Column | str, as_of: Column) -> Column:
 
 
 def iso_timestamp(c: Column | str) -> Column:
-    """ISO date or date-time with optional offset; anything else is null."""
-    return col(c).try_cast("timestamp")
+    """ISO date or date-time with optional offset; anything else is null.
+
+    The shape is checked first: a cast alone takes a bare clock time for today and a bare year for its first day.
+    """
+    return F.when(F.rlike(F.trim(col(c)), F.lit(ISO_SHAPE)), col(c).try_cast("timestamp"))
 
 
 def epoch_to_iso(c: Column | str) -> Column:

@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vocspark.functions.common import blank_to_null, col, first_filled, let, strip_space
 from vocspark.functions.text import normalize_for_id
 
-# How much of the texts goes into keys.
-ID_CONTENT_CHARS = 500
-TITLE_CHARS = 100
-SIGNATURE_CHARS = 200
+@dataclass(frozen=True)
+class KeyLengths:
+    """How many characters of the texts go into keys; None is the whole text.
+
+    ``content`` is for identifiers, ``signature`` for the content part of signatures, ``title`` for both.
+    """
+    title: int | None = None
+    content: int | None = None
+    signature: int | None = None
+
+
+WHOLE = KeyLengths()
+# The short keys under which older stored tables were written.
+SHORT = KeyLengths(title=100, content=500, signature=200)
+
+
+def _opening(c: Column, size: int | None) -> Column:
+    return c if size is None else F.substring(c, 1, size)
 
 
-def _id_content(content) -> Column:
-    """First characters of the normalised content, read from the opening of the text if that suffices."""
+def _id_content(content, size: int | None) -> Column:
+    """Normalised content; of a short key the first characters, read from the opening of the text if that suffices."""
     raw = F.coalesce(col(content), F.lit(""))
-    opening = normalize_for_id(F.substring(raw, 1, 4 * ID_CONTENT_CHARS))
-    return let(opening, lambda n: F.substring(
-        F.when(F.length(n) > ID_CONTENT_CHARS, n).otherwise(normalize_for_id(raw)), 1, ID_CONTENT_CHARS))
+    if size is None:
+        return normalize_for_id(raw)
+    opening = normalize_for_id(F.substring(raw, 1, 4 * size))
+    return let(opening, lambda n: F.substring(F.when(F.length(n) > size, n).otherwise(normalize_for_id(raw)), 1, size))
 
 
-def feedback_id(title, content, source, author=None, created=None) -> Column:
+def feedback_id(title, content, source, author=None, created=None, lengths: KeyLengths = WHOLE) -> Column:
     """SHA-256 over the filled parts, written as 8-4-4-4-12 hex digits.
 
     ``created`` is the text as received; its first ten characters are the calendar date in its
@@ -32,7 +49,7 @@ def feedback_id(title, content, source, author=None, created=None) -> Column:
         return F.lit(None).cast("string") if c is None else F.lower(col(c))
 
     date = F.lit(None).cast("string") if created is None else F.substring(col(created), 1, 10)
-    parts = [normalize_for_id(title), _id_content(content),
+    parts = [normalize_for_id(title), _id_content(content, lengths.content),
              lowered(source), lowered(author), date]
     digest = F.sha2(F.concat_ws("|", *[blank_to_null(p) for p in parts]), 256)
     return F.regexp_replace(F.substring(digest, 1, 32),
@@ -40,15 +57,15 @@ def feedback_id(title, content, source, author=None, created=None) -> Column:
 
 
 def feedback_id_from_record(title="title", content="content", feedback="feedback", source="source",
-                            customer="customer", created="created") -> Column:
-    """Identifier of a collected record: title, else the first 100 characters of the feedback."""
-    return feedback_id(first_filled(title, F.substring(col(feedback), 1, TITLE_CHARS)),
-                       first_filled(content, feedback), source, customer, created)
+                            customer="customer", created="created", lengths: KeyLengths = WHOLE) -> Column:
+    """Identifier of a collected record: title, else the feedback."""
+    return feedback_id(first_filled(title, _opening(col(feedback), lengths.title)),
+                       first_filled(content, feedback), source, customer, created, lengths)
 
 
-def content_signature(title, content) -> Column:
-    """Key for duplicates that got another identifier: trimmed lower-case title and opening."""
+def content_signature(title, content, lengths: KeyLengths = WHOLE) -> Column:
+    """Key for duplicates that got another identifier: trimmed lower-case title and content."""
     def part(c, n):
-        return strip_space(F.lower(F.substring(F.coalesce(col(c), F.lit("")), 1, n)))
+        return strip_space(F.lower(_opening(F.coalesce(col(c), F.lit("")), n)))
 
-    return F.concat(part(title, TITLE_CHARS), F.lit("|"), part(content, SIGNATURE_CHARS))
+    return F.concat(part(title, lengths.title), F.lit("|"), part(content, lengths.signature))

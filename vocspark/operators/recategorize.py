@@ -22,7 +22,7 @@ def recategorize_preserving(feedback: DataFrame, states: DataFrame, tax: Taxonom
     """
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce(content, F.lit("")))
     s = states.select("feedback_id", *[blank_to_null(c).alias(f"s_{c}") for c in SHARED_FIELDS])
-    rows = feedback.filter(uncurated()).withColumn("_hits", keyword_hits(text, tax, "auto"))
+    rows = feedback.filter(uncurated()).withColumn("_hits", keyword_hits(text, tax))
     rows = rows.withColumn("_new", classification(text, tax, hits=F.col("_hits"))).drop("_hits")
     rows = rows.join(s, "feedback_id", "left")
     kept = F.lit(False)
@@ -40,7 +40,7 @@ def recategorize_all(feedback: DataFrame, tax: Taxonomy, at: Column, content: st
     """All rows; the classes of un-curated ones are renewed from their content, domains stay."""
     renew = uncurated()
     text = F.coalesce(content, F.lit(""))
-    fresh = feedback.withColumn("_hits", keyword_hits(F.when(renew, text), tax, "auto"))
+    fresh = feedback.withColumn("_hits", keyword_hits(F.when(renew, text), tax))
     fresh = fresh.withColumn("_new", F.when(renew, classification(text, tax, hits=F.col("_hits")))).drop("_hits")
     values = {c: F.when(renew, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in AUTO_FIELDS}
     values["recategorized_at"] = F.when(renew, at).otherwise(F.col("recategorized_at"))

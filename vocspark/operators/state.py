@@ -150,11 +150,17 @@ def apply_field_edits(feedback: DataFrame, states: DataFrame, edits: DataFrame,
 
 
 def apply_category_edits(feedback: DataFrame, states: DataFrame, edits: DataFrame, at: Column,
-                         by: str = "user") -> tuple[DataFrame, DataFrame]:
+                         by: str = "user", order_col: str = "ord") -> tuple[DataFrame, DataFrame]:
     """Set category, subcategory and area (blank = none) and mark the item as curated.
 
-    One edit per feedback_id.  A null ``domain_code`` leaves the domain alone, a blank one clears it.
+    Of several edits of one feedback_id the last by ``order_col`` counts; edits without an id are ignored.
+    A null ``domain_code`` leaves the domain alone, a blank one clears it.
     """
+    edits = edits.filter(F.col("feedback_id").isNotNull())
+    order = F.col(order_col) if order_col in edits.columns else F.lit(0)
+    fields = F.struct("category_name", "subcategory_name", "feature_area", "domain_code")
+    edits = edits.groupBy("feedback_id").agg(F.max(F.struct(order.alias("o"), F.to_json(fields).alias("tie"), fields.alias("f"))).alias("m")).select(
+        "feedback_id", "m.f.*")
     e = edits.select(
         "feedback_id", *[blank_to_null(F.trim(src)).alias(f"e_{dst}") for src, dst in (
             ("category_name", "category"), ("subcategory_name", "subcategory"), ("feature_area", "feature_area"),
@@ -238,7 +244,10 @@ def _neighbour(df: DataFrame, column: str, name: str, forward: bool) -> DataFram
              .withColumn("_outside", step("_edge").over(across)).drop("_edge"))
     near = df.withColumn("_near", step(column).over(inside)).withColumn(
         "_at_edge", step(F.lit(1)).over(inside).isNull())
-    return (near.join(edges, ["feedback_id", "_slice"])
+    # Changes without a time or an id have a slice of their own, first in order; a plain equality would lose them.
+    edges = edges.select(F.col("feedback_id").alias("_edge_id"), F.col("_slice").alias("_edge_slice"), "_outside")
+    same = F.col("feedback_id").eqNullSafe(F.col("_edge_id")) & F.col("_slice").eqNullSafe(F.col("_edge_slice"))
+    return (near.join(edges, same).drop("_edge_id", "_edge_slice")
             .withColumn(name, F.when(F.col("_at_edge"), F.col("_outside")).otherwise(F.col("_near")))
             .drop("_near", "_at_edge", "_outside"))
 

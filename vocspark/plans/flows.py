@@ -11,7 +11,7 @@ from vocspark.functions.classify import classify, standard_audience
 from vocspark.functions.common import blank_to_null
 from vocspark.functions.dates import iso_timestamp
 from vocspark.functions.gist import GistProfile, gist
-from vocspark.functions.ids import TITLE_CHARS, feedback_id_from_record
+from vocspark.functions.ids import feedback_id_from_record
 from vocspark.functions.sentiment import DEFAULT_LEXICON, Lexicon, with_sentiment
 from vocspark.operators.dedup import backfill_keywords, insert_counters, insert_keys, limit_per_source
 from vocspark.operators.filters import FilterSpec, page, page_summary
@@ -77,9 +77,9 @@ class SyncResult:
 
 
 def stored_form(df: DataFrame) -> DataFrame:
-    """Collected rows as they are stored: filled title, standard audience."""
+    """Collected rows as they are stored: filled whole title, standard audience."""
     title = F.coalesce(blank_to_null("title"), blank_to_null("feedback_gist"), blank_to_null("feedback"), F.lit(""))
-    return df.withColumns({"title": F.substring(title, 1, TITLE_CHARS), "audience": standard_audience("audience")})
+    return df.withColumns({"title": title, "audience": standard_audience("audience")})
 
 
 def collect(*frames: DataFrame, limit: int | None = None) -> DataFrame:

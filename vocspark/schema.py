@@ -69,4 +69,3 @@ DEFAULT_STATE = "NEW"
 PRIORITIES = {"critical": (4, 1), "high": (3, 7), "medium": (2, 14), "low": (1, 30)}
 DEFAULT_STATUS = "New"
 SYSTEM_ACTOR = "System"
-MAX_ITEMS_PER_SOURCE = 500

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocspark.functions.classify import issue_impact, matched_keywords, post_impact, task_impact
-from vocspark.functions.common import blank_to_null, collapse_space, first_filled, truncate
+from vocspark.functions.common import blank_to_null, collapse_space, first_filled, truncate, with_once
 from vocspark.functions.dates import epoch_to_iso
 from vocspark.functions.text import clean_text
 from vocspark.operators.dedup import latest_per_title
@@ -25,12 +25,13 @@ ISSUE_SCHEMA = ("owner string, repo string, number long, title string, body stri
                 "pull_request struct<url:string>")
 WORK_ITEM_SCHEMA = ("id long, fields map<string,string>, relations array<struct<rel:string,url:string>>")
 
-# Description fields in the order they are tried, texts for missing parts, limits.
+# Description fields in the order they are tried, texts for missing parts.
 DESCRIPTION_FIELDS = ["System.Description", "Microsoft.VSTS.Common.AcceptanceCriteria",
                       "Microsoft.VSTS.Common.ReproSteps", "System.History", "Microsoft.VSTS.TCM.Steps"]
 CHILD_LINK = "System.LinkTypes.Hierarchy-Forward"
 NO_DESCRIPTION = "No description available"
-DESCRIPTION_CHARS, RECENT_DAYS = 500, 365
+# Length of the preview column; the description itself is never cut.
+PREVIEW_CHARS = 500
 
 
 def _text(title, body) -> Column:
@@ -43,13 +44,13 @@ def flair_text(rich="link_flair_richtext", plain="link_flair_text") -> Column:
     return F.when(F.size(rich) > 0, F.array_join(parts, ", ")).otherwise(F.coalesce(plain, F.lit("")))
 
 
-def posts(raw: DataFrame, keywords, community: str, site: str = "https://www.reddit.com") -> DataFrame:
-    """Forum posts with at least one tracked keyword."""
+def posts(raw: DataFrame, keywords, community: str, site: str = "https://www.reddit.com", area: str = "General") -> DataFrame:
+    """Forum posts with at least one tracked keyword, which is searched for once a post."""
     text = _text("title", "selftext")
-    rows = raw.withColumn("feedback", text).withColumn("matched_keywords", matched_keywords("feedback", keywords))
+    rows = with_once(raw.withColumn("feedback", text), "matched_keywords", matched_keywords("feedback", keywords))
     return rows.filter(F.size("matched_keywords") > 0).select(
         "feedback", "matched_keywords", F.concat(F.lit(site), "permalink").alias("url"),
-        F.lit("Workloads").alias("area"), F.lit("Reddit").alias("source"),
+        F.lit(area).alias("area"), F.lit("Reddit").alias("source"),
         post_impact(F.concat_ws(" ", "title", "selftext")).alias("impact_type"),
         F.lit("Customer").alias("scenario"), F.coalesce(blank_to_null("author"), F.lit("N/A")).alias("customer"),
         flair_text().alias("tag"), epoch_to_iso("created_utc").alias("created"),
@@ -57,12 +58,12 @@ def posts(raw: DataFrame, keywords, community: str, site: str = "https://www.red
         F.to_json(F.struct(*raw.columns)).alias("raw"))
 
 
-def discussions(raw: DataFrame, keywords) -> DataFrame:
+def discussions(raw: DataFrame, keywords, area: str = "General") -> DataFrame:
     """Discussions of code repositories; all are kept, with or without a tracked keyword."""
     rows = raw.withColumn("feedback", _text("title", "body"))
     return rows.select(
         "feedback", matched_keywords("feedback", keywords).alias("matched_keywords"), F.col("html_url").alias("url"),
-        F.coalesce("category.name", F.lit("Workloads")).alias("area"), F.lit("GitHub Discussions").alias("source"),
+        F.coalesce("category.name", F.lit(area)).alias("area"), F.lit("GitHub Discussions").alias("source"),
         post_impact("feedback").alias("impact_type"), F.lit("Partner").alias("scenario"),
         F.coalesce("user.login", F.lit("Anonymous")).alias("customer"), F.lit("").alias("tag"),
         F.col("created_at").alias("created"), F.concat(F.lit("GitHub/"), "owner").alias("organization"),
@@ -108,13 +109,14 @@ def user_name(value: Column) -> Column:
             .when(F.startswith(value, F.lit("{")), F.coalesce(shown, F.lit("Unknown"))).otherwise(value))
 
 
-def work_items(raw: DataFrame, site: str = "") -> DataFrame:
-    """Flatten the field map of work items, with a tag-free description of bounded length."""
+def work_items(raw: DataFrame, site: str = "", preview_chars: int = PREVIEW_CHARS) -> DataFrame:
+    """Flatten the field map of work items, with the whole tag-free description and a short ``preview`` for display."""
     described = first_filled(*[F.try_element_at("fields", F.lit(f)) for f in DESCRIPTION_FIELDS])
     flat = collapse_space(F.regexp_replace(described, "<[^>]+>", ""))
     return raw.select(
         "id", _field("System.WorkItemType", "Unknown").alias("type"), _field("System.Title", "No Title").alias("title"),
-        first_filled(truncate(flat, DESCRIPTION_CHARS), F.lit(NO_DESCRIPTION)).alias("description"),
+        first_filled(flat, F.lit(NO_DESCRIPTION)).alias("description"),
+        first_filled(truncate(flat, preview_chars), F.lit(NO_DESCRIPTION)).alias("preview"),
         _field("System.State", "Unknown").alias("state"),
         user_name(F.try_element_at("fields", F.lit("System.AssignedTo"))).alias("assigned_to"),
         user_name(F.try_element_at("fields", F.lit("System.CreatedBy"))).alias("created_by"),
@@ -130,20 +132,20 @@ def child_ids(parents: DataFrame) -> DataFrame:
     return links.filter(is_child & last.rlike(r"^\d+$")).select("parent_id", last.cast("long").alias("child_id"))
 
 
-def recent_items(items: DataFrame, as_of: Column, limit: int, created: str = "created") -> DataFrame:
-    """Newest items of the year before ``as_of``."""
+def recent_items(items: DataFrame, as_of: Column, limit: int, created: str = "created", days: int = 365) -> DataFrame:
+    """Newest items of the ``days`` before ``as_of``."""
     at = F.col(created).try_cast("timestamp")
-    since = as_of - F.expr(f"INTERVAL {RECENT_DAYS} DAYS")
+    since = as_of - F.expr(f"INTERVAL {days} DAYS")
     return items.filter(at >= since).orderBy(at.desc(), F.col("id").asc()).limit(limit)
 
 
 def children_or_recent(items: DataFrame, parent_id: int, as_of: Column, limit: int) -> DataFrame:
-    """The linked children of one parent; if it has none, the recent items."""
+    """All linked children of one parent; if it has none, at most ``limit`` recent items."""
     ids = child_ids(items.filter(F.col("id") == parent_id)).select(F.col("child_id").alias("id")).distinct()
     if ids.isEmpty():
         flat = items.withColumn("created", F.try_element_at("fields", F.lit("System.CreatedDate")))
         return recent_items(flat, as_of, limit).drop("created")
-    return items.join(ids, "id", "left_semi").orderBy("id").limit(limit)
+    return items.join(ids, "id", "left_semi").orderBy("id")
 
 
 def work_item_feedback(items: DataFrame, keywords=(), project: str = "core") -> DataFrame:
