@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 # Work on raw text in pieces of about this many bytes, so that NumPy's temporaries stay small.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -154,6 +155,47 @@ def hashed_words(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarr
         yield first, span_hashes(data, starts, ends), np.searchsorted(starts, cuts)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that copies of long texts stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def save_bits(numbers: DataFrame, column: str, bits: int, folder: str) -> str:
+    """A bitmap of 2**bits places with the given numbers set, as one file; its size does not depend on the input."""
+    make_folder(folder)
+    place = f"{folder}/bits"
+
+    def save(batches):
+        marks = np.zeros(1 << bits, dtype=bool)
+        for batch in batches:
+            marks[batch.column(column).to_numpy()] = True
+        files, path = store(place)
+        with files.open_output_stream(path, compression=None) as out:
+            out.write(np.packbits(marks).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([place])], names=["place"])
+
+    found = with_column_batches(numbers.select(column).distinct().coalesce(1), [column], "place string", save).first()
+    return found["place"] if found else ""
+
+
+@lru_cache(maxsize=2)
+def load_bits(place: str) -> np.ndarray:
+    """The packed bytes of a bitmap."""
+    if not place:
+        return np.zeros(0, dtype=np.uint8)
+    files, path = store(place)
+    with files.open_input_file(path) as f:
+        return np.frombuffer(f.read(), dtype=np.uint8)
+
+
+def bits_set(packed: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    if not len(packed):
+        return np.zeros(len(numbers), dtype=bool)
+    return (packed[numbers >> 3] >> (7 - (numbers & 7))) & 1 == 1
+
+
 def add_columns(df: DataFrame, inputs: list[str], added: str, work: Callable) -> DataFrame:
     """``df`` with the columns of the DDL string ``added``, computed in Arrow batches.
 
@@ -169,7 +211,7 @@ def add_columns(df: DataFrame, inputs: list[str], added: str, work: Callable) ->
     types = [pa.large_binary() if f.dataType.typeName() == "binary" else None for f in fresh]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             new = [x if t is None or isinstance(x, pa.Array) else pa.array(x, pa.binary())
                    for x, t in zip(work(*[batch.column(n) for n in given]), types)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + new, names=kept + names)

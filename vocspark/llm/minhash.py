@@ -6,11 +6,12 @@ and a text without words is empty and linked with nothing.  Two documents are li
 1. Every set gets 128 registers: the smallest exponential value of its shingles under a register's hash, on an
    exponential scale (base 1.02), truncated to 12 bits.  The registers of a union are the larger of both.
 2. Equal sets are one class, represented by its smallest id, so exact copies are never compared.
-3. Four registers are a band.  Inside a band's bucket every member is first paired with the smallest id only.
-4. A pair goes on unless the likelihood of its registers (larger, smaller, equal, given both set sizes) rules 0.75 out.
-5. What is left is confirmed on the full sets, and components are built.
-6. A bucket that still holds several components is searched again: members outside its largest component are paired
-   with all members of other components.  No bucket is capped, and a bucket within one component makes no pair.
+3. Four registers are a band.  Classes that share a band's bucket, directly or in a chain, are a family; a bucket is tied
+   together by one row for each member, so a bucket of any size makes no pairs of rows.
+4. A family is dealt into blocks, and a task gets one pair of blocks.  It keeps the pairs whose registers (larger,
+   smaller, equal, given both set sizes) do not rule 0.75 out by their joint likelihood, confirms those on the full sets unless both
+   are connected already, and gives only the links that connect something: fewer than the rows it has read.
+5. Components of these links and of the copies give the result.  No bucket, family or pair is capped or dropped.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**32 = 5e-6, higher ones less; every reported link is exact.
 
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocspark.llm.common import (
-    add_columns, hashed_words, materialise, mix64, table, text_bytes, with_column_batches)
+    add_columns, bits_set, fresh_folder, hashed_words, load_bits, materialise, mix64, save_bits, sliced, table, text_bytes,
+    with_column_batches)
 from vocspark.llm.components import components
 from vocspark.llm.registry import query
 
@@ -39,6 +41,11 @@ TOP = 4095
 SHIFT = 200.0
 # A candidate is dropped if 0.75 or more is this many times less likely (natural logarithm) than the best estimate.
 DOUBT = 14.0
+# A block of a family has about so many classes, and about so many shingles, at most.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
+WANTED_BITS = 26
+# So many ids or fewer are broadcast to drop documents; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 _MULTIPLIERS = (mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _PLACE = mix64(np.arange(101, 101 + SHINGLE_WORDS, dtype=np.uint64)) | np.uint64(1)
 _GRID = np.linspace(0.0, 1.0, 101)
@@ -125,7 +132,7 @@ def _registers(column) -> np.ndarray:
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
-    """(key, id, n): one row for each band of each class."""
+    """(key, id): one row for each band of each class."""
     bands = REGISTERS // BAND
 
     def task(batches):
@@ -136,58 +143,114 @@ def band_keys(classes: DataFrame) -> DataFrame:
                 packed = (packed << np.uint64(12)) | rows[:, :, k]
             keys = mix64(packed + (np.arange(bands, dtype=np.uint64) << np.uint64(56)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), bands)),
-                 pa.array(np.repeat(batch.column("n").to_numpy(), bands))], names=["key", "id", "n"])
-
-    return with_column_batches(classes, ["id", "n", "sketch"], "key bigint, id bigint, n bigint", task)
-
-
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sketches leave a link open."""
-    one = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b")
-
-    def task(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                open_ = possible(_registers(part.column("sa")), _registers(part.column("sb")),
-                                 part.column("na").to_numpy(), part.column("nb").to_numpy())
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(open_))
-
-    return with_column_batches(both, ["a", "b", "na", "nb", "sa", "sb"], "a bigint, b bigint", task)
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough; only texts that stand in a pair are read into sets."""
-    pairs = materialise(pairs, "near-pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-
-    def work(column):
-        texts = text_bytes(column)
-        out = [b""] * len(texts)
-        for i, shingles in shingle_sets(texts):
-            out[i] = shingles.tobytes()
-        return [out]
+                [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), bands))], names=["key", "id"])
+
+    return with_column_batches(classes, ["id", "sketch"], "key bigint, id bigint", task)
+
+
+class _Union(dict):
+    """Disjoint sets of row numbers."""
+
+    def root(self, x: int) -> int:
+        while self.setdefault(x, x) != x:
+            self[x] = self[self[x]]
+            x = self[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self[self.root(x)] = self.root(y)
+
+
+def linked(one: np.ndarray, two: np.ndarray) -> bool:
+    """Are two sorted sets similar enough?  Decided on the full sets."""
+    if not len(one) or not len(two):
+        return False
+    if len(one) > len(two):
+        one, two = two, one
+    places = np.minimum(np.searchsorted(two, one), len(two) - 1)
+    common = int((two[places] == one).sum())
+    return OF * common >= SHARE * (len(one) + len(two) - common)
+
+
+def block_links(first: list[int], second: list[int], sets: list[np.ndarray], registers: np.ndarray) -> list[tuple[int, int]]:
+    """Confirmed links between two blocks of rows (or within one) that connect something not connected before."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    same, union, out = first == second, _Union(), []
+    second_rows = np.array(second, dtype=np.int64)
+    pairs = []
+    for k, i in enumerate(first):
+        others = second_rows[k + 1:] if same else second_rows
+        fits = OF * np.minimum(sizes[i], sizes[others]) >= SHARE * np.maximum(sizes[i], sizes[others])
+        others = others[fits]
+        if len(others):
+            open_ = others[possible(np.broadcast_to(registers[i], (len(others), REGISTERS)), registers[others],
+                                    np.full(len(others), sizes[i]), sizes[others])]
+            if len(open_):
+                pairs.append(np.stack((np.full(len(open_), i), open_, (registers[i] == registers[open_]).sum(axis=1))))
+    if not pairs:
+        return out
+    # The most similar pairs come first; they connect most rows, and connected pairs need no confirmation.
+    table_ = np.concatenate(pairs, axis=1)
+    for i, j in zip(*table_[:2, np.argsort(-table_[2], kind="stable")].tolist()):
+        if union.root(i) != union.root(j) and linked(sets[i], sets[j]):
+            union.join(i, j)
+            out.append((i, j))
+    return out
+
+
+def _grouped(batches, keys: list[str], columns: list[str]):
+    """Consecutive rows of equal keys, also across batches: (key, lists of the columns)."""
+    now, held = None, [[] for _ in columns]
+    for batch in batches:
+        values = [batch.column(c).to_pylist() for c in columns]
+        for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in keys))):
+            if key != now:
+                if now is not None:
+                    yield now, held
+                now, held = key, [[] for _ in columns]
+            for into, v in zip(held, values):
+                into.append(v[k])
+    if now is not None:
+        yield now, held
+
+
+def family_links(families: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): confirmed links that connect the classes of each family; ``families`` has (id, family)."""
+    sized = families.join(classes.select("id", "n"), "id")
+    blocks = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    places = families.join(blocks, "family").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    places = places.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "id", "family", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine")
+
+    # Texts are never shuffled: a bitmap of fixed size passes the wanted documents, and few others, to the join.
+    bit = F.pmod(F.xxhash64("id"), F.lit(1 << WANTED_BITS).cast("long"))
+    place = save_bits(families.select(bit.alias("bit")), "bit", WANTED_BITS, fresh_folder(docs.sparkSession, "near-wanted"))
+
+    def build(batches):
+        for batch in sliced(batches):
+            batch = batch.filter(pa.array(bits_set(load_bits(place), batch.column("bit").to_numpy())))
+            texts = text_bytes(batch.column("text"))
+            sets, registers = [b""] * len(texts), [b""] * len(texts)
+            for i, shingles in shingle_sets(texts):
+                sets[i], registers[i] = shingles.tobytes(), sketch(shingles).tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(sets, pa.binary()), pa.array(registers, pa.binary())], names=["id", "shingles", "sketch"])
 
-    sets = materialise(add_columns(docs.join(wanted, "doc_id", "left_semi"), ["text"], "shingles binary", work)
-                       .select("doc_id", "shingles"), "near-sets")
-    both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b"))
+    some = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").withColumn("bit", bit)
+    sets = with_column_batches(some, ["id", "bit", "text"], "id bigint, shingles binary, sketch binary", build)
+    dealt = places.join(sets, "id").repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
 
     def task(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                one, two = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-                places = np.minimum(np.searchsorted(two, one), max(len(two) - 1, 0))
-                common = int((two[places] == one).sum()) if len(two) else 0
-                keep.append(common > 0 and OF * common >= SHARE * (len(one) + len(two) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(
-                pa.array(keep, pa.bool_()))
+        for (_, lo, hi), (mine, ids, shingles, registers) in _grouped(
+                batches, ["family", "lo", "hi"], ["mine", "id", "shingles", "sketch"]):
+            first, second = ([k for k, m in enumerate(mine) if m == side] for side in (lo, hi))
+            found = block_links(first, second, [np.frombuffer(x, dtype=np.uint64) for x in shingles],
+                                np.frombuffer(b"".join(registers), dtype="<u2").reshape(-1, REGISTERS))
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in a], pa.int64()), pa.array([ids[k] for k in b], pa.int64())], names=["a", "b"])
 
-    return with_column_batches(both, ["a", "b", "sa", "sb"], "a bigint, b bigint", task).distinct()
+    return with_column_batches(dealt, ["family", "lo", "hi", "mine", "id", "shingles", "sketch"], "a bigint, b bigint", task)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -203,28 +266,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     rows = band_keys(classes)
     shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo")
-    buckets = materialise(rows.join(shared, "key"), "near-buckets")
-    similar_size = f"{OF} * least({{0}}, {{1}}) >= {SHARE} * greatest({{0}}, {{1}})"
-    stars = materialise(buckets.where("id > lo").select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct(), "near-stars")
-    links = materialise(_confirmed(_likely(stars, classes), docs), "near-links")
-    first = materialise(components(links, "a", "b"), "near-first")
-
-    inside = buckets.join(first, "id", "left").select(
-        "key", "id", "n", F.coalesce("component_id", "id").alias("c"))
-    inside = materialise(inside, "near-inside")
-    # Only buckets that still hold several components count; their largest component is not searched within.
-    open_ = inside.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    several = materialise(inside.join(open_, "key"), "near-open")
-    sizes = several.groupBy("key", "c").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
-    outside = several.join(largest, "key").where("c <> main").select(
-        "key", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("c").alias("ci"))
-    pairs = several.join(outside, "key").where(
-        (F.col("c") != F.col("ci")) & F.expr(similar_size.format("n", "ni"))).select(
-        F.greatest("id", "i").alias("a"), F.least("id", "i").alias("b")).distinct()
-    more = materialise(_confirmed(_likely(pairs.join(stars, ["a", "b"], "left_anti"), classes), docs), "near-more")
-
-    found = components(links.union(more).union(copies), "a", "b")
+    ties = rows.join(shared, "key").where("id > lo").select("id", "lo").distinct()
+    families = components(ties, "id", "lo").withColumnRenamed("component_id", "family")
+    links = family_links(families, classes, docs)
+    found = components(links.union(copies), "a", "b")
     out = marked.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
@@ -234,7 +279,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, that of the smallest id."""
     drop = materialise(near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "near-drop")
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    small = drop.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(drop) if small else drop, "doc_id", "left_anti").select(*docs.columns)
 
 
 @query("op6_minhash_near_dedup")
