@@ -27,6 +27,8 @@ from vocspark.llm.registry import query
 
 # Fixed value: the pattern that this vocabulary splits texts by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Numbers of later Unicode versions, which the vocabulary's own library takes for symbols.
+LATER_NUMBERS = "\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016FF4-\U00016FF6"
 CACHED_PIECES = 400_000
 CACHED_LENGTH = 64
 CACHED_PAIRS = 1_000_000
@@ -81,7 +83,11 @@ class Vocabulary:
         table_of = dict(self.tokens) | {i: t.encode() for t, i in self.special.items()}
         self.offsets = np.concatenate(([0], np.cumsum([len(table_of.get(i, b"")) for i in range(size)]))).astype(np.int64)
         self.blob = np.frombuffer(b"".join(table_of.get(i, b"") for i in range(size)), dtype=np.uint8)
-        self._split = regex.compile(PATTERN).findall
+        self._split_all = regex.compile(PATTERN).findall
+        self._later = re.compile(f"[{LATER_NUMBERS}]").search
+        numbers = rf"[\p{{N}}--[{LATER_NUMBERS}]]"
+        self._split_later = regex.compile(
+            "(?V1)" + PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s\p{{L}}{numbers}]").replace(r"?\p{N}", "?" + numbers)).findall
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._cache = _Cache(self)
 
@@ -152,6 +158,9 @@ class Vocabulary:
                 at -= length[token]
         return out
 
+    def _split(self, text: str) -> list[str]:
+        return self._split_later(text) if not text.isascii() and self._later(text) else self._split_all(text)
+
     def _plain(self, text: str, out: list[bytes]) -> None:
         start = 0
         while len(text) - start > 2 * CUT_CHARACTERS:
