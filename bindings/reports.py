@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from bindings.base import FEEDBACK_SQL, classified, classified_sql, feedback
-from bindings.registry import query
+from bindings.fixture import TAXONOMY
+from bindings.registry import query, quoted
 from vocspark.functions.text import STOP_WORDS
 from vocspark.operators import filters, stats
 from vocspark.schema import PRIORITIES, STATES
@@ -100,7 +101,7 @@ def domain_counts(spark, folder):
 
 
 @query("top_keywords", f"""WITH w AS (SELECT unnest(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' ')) AS word FROM documents)
-SELECT word, count(*) AS n FROM w WHERE length(word) >= 3 AND NOT list_contains({STOP_WORDS}, word) GROUP BY 1 ORDER BY n DESC, word LIMIT 20""")
+SELECT word, count(*) AS n FROM w WHERE length(word) >= 3 AND NOT list_contains({list(STOP_WORDS)}, word) GROUP BY 1 ORDER BY n DESC, word LIMIT 20""")
 def top_keywords(spark, folder):
     return stats.top_keywords(feedback(spark, folder))
 
@@ -167,3 +168,22 @@ def sla_due(spark, folder):
     "SELECT CAST(CAST(date_trunc('week', created_ts) AS DATE) AS VARCHAR) AS week, audience, count(*) AS n FROM v GROUP BY ALL"))
 def weekly_trend(spark, folder):
     return stats.weekly_trend(classified(spark, folder), "audience")
+
+
+_SUB, _IMPACT = TAXONOMY.subcategories[0], TAXONOMY.impact_types[0]
+
+
+@query("filter_classes", classified_sql(f"""SELECT feedback_id FROM v WHERE enhanced_category = {quoted(_SUB.category)}
+ AND subcategory IN ({quoted(_SUB.name)}, 'Uncategorized') AND impact_type IN ({quoted(_IMPACT.id)}, 'FEEDBACK')"""))
+def filter_classes(spark, folder):
+    """Facets of the classification: enhanced category, subcategory and impact."""
+    spec = filters.FilterSpec.parse({"enhanced_categories": _SUB.category, "subcategories": f"{_SUB.name},Uncategorized",
+                                     "impact_types": f"{_IMPACT.id},FEEDBACK"})
+    return spec.apply(classified(spark, folder)).select("feedback_id")
+
+
+@query("filter_single", classified_sql(f"SELECT feedback_id FROM v WHERE subcategory = {quoted(_SUB.name)} AND priority = {quoted(_SUB.priority)}"))
+def filter_single(spark, folder):
+    """The single-select form counts when no facet is selected."""
+    spec = filters.FilterSpec.parse({"sources": "All"}, {"subcategories": _SUB.name, "priorities": _SUB.priority, "audiences": "All"})
+    return spec.apply(classified(spark, folder)).select("feedback_id")

@@ -7,6 +7,7 @@ from bindings.fixture import KEYWORDS
 from bindings.registry import query, sql_list
 from bindings.text import WS, norm_sql
 from bindings.triage import STATES_SQL, STORED_SQL, states, stored
+from vocspark.functions.common import with_once
 from vocspark.functions.classify import matched_keywords
 from vocspark.functions.ids import feedback_id
 from vocspark.operators import dedup, filters
@@ -93,7 +94,7 @@ def stored_only(spark, folder):
 
 @query("keyword_gate", f"""SELECT doc_id FROM documents WHERE len(list_filter({sql_list(KEYWORDS)}, lambda k: contains(lower(text), lower(k)))) > 0""")
 def keyword_gate(spark, folder):
-    rows = feedback(spark, folder).select("doc_id", matched_keywords("feedback", KEYWORDS).alias("matched_keywords"))
+    rows = with_once(feedback(spark, folder), "matched_keywords", matched_keywords("feedback", KEYWORDS))
     return filters.keyword_gate(rows).select("doc_id")
 
 

@@ -13,6 +13,7 @@ from vocspark.sources.tables import read_table, spread_small
 WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 IN = WS[1:-1]
 # The cleaning rules in the form of the linear-time engine: no look-behind, no possessive runs.
+# The cleaning patterns of the library in the words of DuckDB's regular expressions.
 _MARKUP_SQL = [
     (rf"[a-zA-Z0-9.#\-_,{IN}]*\{{[^}}]*\}}", ""), (r"p\.MsoNormal[^}]*\}?", ""), (r"li\.MsoNormal[^}]*\}?", ""),
     (r"div\.MsoNormal[^}]*\}?", ""), (r"span\.EmailStyle\p{Nd}+[^}]*\}?", ""), (r"\.MsoChpDefault[^}]*\}?", ""),

@@ -17,10 +17,12 @@ from vocspark.taxonomy import constant, literal_strings
 NO_TITLE_OPENINGS = ["hey", "hi", "hello", "i ", "we ", "the ", "a ", "an "]
 CHATTY_OPENINGS = ["hey", "hi", "hello", "i am", "we are"]
 FILLER_WORDS = (
-    "the a an and or but in on at to for of with by from up about into through during before after "
-    "above below between among within without against hey hi hello i we you they it this that these "
-    "those am is are was were be been being have has had do does did will would could should may "
-    "might must can cannot").split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up",
+    "about", "into", "through", "during", "before", "after", "above", "below", "between", "among", "within",
+    "without", "against", "hey", "hi", "hello", "i", "we", "you", "they", "it", "this", "that", "these",
+    "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "must", "can", "cannot",
+)
 MIN_SENTENCE, MAX_WORDS = 10, 12
 
 

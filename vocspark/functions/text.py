@@ -59,10 +59,12 @@ CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 
 # Words that never count as keywords of a request.
 STOP_WORDS = (
-    "the and for are but not you all can had her was one our out day get has him his how its may "
-    "new now old see two who boy did don way with have this will your from they know want been "
-    "good much some time very when come here just like long make many over such take than them "
-    "well were what need would there should").split()
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out",
+    "day", "get", "has", "him", "his", "how", "its", "may", "new", "now", "old", "see", "two", "who", "boy",
+    "did", "don", "way", "with", "have", "this", "will", "your", "from", "they", "know", "want", "been", "good",
+    "much", "some", "time", "very", "when", "come", "here", "just", "like", "long", "make", "many", "over",
+    "such", "take", "than", "them", "well", "were", "what", "need", "would", "there", "should",
+)
 
 
 def _apply(patterns, c: Column) -> Column:

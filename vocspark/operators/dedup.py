@@ -57,7 +57,7 @@ def insert_keys(batch: DataFrame, stored: DataFrame, order_col: str, key: str =
     """Keys of the batch rows to insert: new to the stored table and first within the batch."""
     pairs = key_rows(batch, order_col, key, title, content)
     pairs = pairs.join(stored.select(F.col(key).alias("id")), "id", "left_anti")
-    pairs = pairs.join(stored.select(_signature(title, content).alias("sig")), "sig", "left_anti")
+    pairs = pairs.join(stored.select(_signature(title, content).alias("sig")).distinct(), "sig", "left_anti")
     return first_accepted(pairs)
 
 

@@ -21,7 +21,7 @@ FACET_COLUMNS = {
     "domains": "primary_domain", "sentiments": "sentiment", "enhanced_categories": "enhanced_category",
     "subcategories": "subcategory", "impact_types": "impact_type", "categories": "category",
 }
-SEARCH_COLUMNS = ("feedback", "page_title", "enhanced_category")
+SEARCH_COLUMNS = ("feedback", "title", "enhanced_category")
 
 
 def parse_list(value: str | None) -> tuple[str, ...]:

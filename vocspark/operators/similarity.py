@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocspark.functions.common import col, first_filled, truncate
+from vocspark.functions.common import col, first_filled, truncate, with_once
 from vocspark.functions.similarity import SIMILAR_AT, SLACK, WORD_WEIGHT, score
 from vocspark.functions.text import compare_form
 from vocspark.session import ship_package
@@ -46,10 +46,11 @@ def find_similar(df: DataFrame, probe: str, threshold: float = SIMILAR_AT, exclu
     length, n = F.length("_form"), len(probe_form)
     bound = 2 * F.least(length, F.lit(n)) / (length + n) + WORD_WEIGHT * F.size(
         F.array_intersect("_words", literal_strings(probe_words))) / F.greatest(F.size("_words"), F.lit(len(probe_words)))
-    return (rows.filter(bound >= threshold - SLACK).withColumn("_score", exact("_form"))
+    # A generator output is computed once a row; a plain column would be scored again by the filter.
+    return (with_once(with_once(rows, "_bound", bound).filter(F.col("_bound") >= threshold - SLACK), "_score", exact("_form"))
             .filter(F.col("_score") >= threshold)
             .withColumns({"similarity": F.round("_score", 3), "preview": truncate("_raw", PREVIEW_CHARS)})
-            .drop("_raw", "_form", "_words", "_score"))
+            .drop("_raw", "_form", "_words", "_bound", "_score"))
 
 
 def most_similar_first(df: DataFrame, key: str = "feedback_id") -> DataFrame:

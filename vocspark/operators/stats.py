@@ -91,7 +91,7 @@ def top_keywords(df: DataFrame, text: Column | str = "feedback", limit: int = TO
 
 
 def facet_options(df: DataFrame, facets=tuple(OPTION_FACETS)) -> DataFrame:
-    """Distinct non-empty values per facet, plus all states of the vocabulary and the data."""
+    """Sorted distinct non-empty values per facet, plus all states of the vocabulary and the data."""
     present = {f: blank_to_null(f) for f in facets}
     if "state" in df.columns:
         present["state"] = F.coalesce(blank_to_null("state"), F.lit(DEFAULT_STATE))
@@ -99,7 +99,7 @@ def facet_options(df: DataFrame, facets=tuple(OPTION_FACETS)) -> DataFrame:
             .filter(F.col("value").isNotNull()))
     fixed = [("state", s) for s in STATES] + [("priority", p) for p in PRIORITIES]
     vocabulary = df.sparkSession.createDataFrame(fixed, "facet string, value string")
-    return seen.unionByName(vocabulary).distinct()
+    return seen.unionByName(vocabulary).distinct().orderBy("facet", "value")
 
 
 def subcategories_by_area(df: DataFrame) -> DataFrame:

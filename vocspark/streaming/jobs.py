@@ -37,9 +37,11 @@ def ingest_stream(spark: SparkSession, landed: str, schema: str, to_feedback: Ca
         stored = session.read.schema(FEEDBACK_SCHEMA).parquet(*earlier) if earlier else session.createDataFrame([], FEEDBACK_SCHEMA)
         # one run of the stateful plan per batch, however often the rows are read below
         ordered = stored_form(project(batch)).withColumn("ord", F.struct("created", "feedback_id")).persist()
-        new_rows = rows_to_insert(ordered, stored, "ord", content="feedback")
-        project(new_rows).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-        ordered.unpersist()
+        try:
+            new_rows = rows_to_insert(ordered, stored, "ord", content="feedback")
+            project(new_rows).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        finally:
+            ordered.unpersist()
 
     return (fresh.writeStream.foreachBatch(add_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
