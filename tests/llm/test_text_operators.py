@@ -14,7 +14,7 @@ from vocspark.llm import bpe, license_scan, quality, token_files, toxicity
 from vocspark.llm.common import fresh_folder
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, kept string"
-LONG = " ".join(f"word{i} of the tale" for i in range(4000))
+LONG = " ".join(f"word{i} of item{i} the" for i in range(4000))
 TEXTS = [None, "", " \n\t ", "a", "a a a a a a", "the cat sat on the mat\nthe cat sat on the mat\n\nthe cat", "x" * 30_000, LONG,
          "Ünïcode — 漢字 and 😀 <|endoftext|> 's don't\x0b\x0c\r\n  end ", "AND!! SO!! ON!! " * 30, "#$%&|<> " * 60, LONG, "a"]
 
