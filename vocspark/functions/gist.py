@@ -31,21 +31,19 @@ class GistProfile:
     """Vocabulary of the gist: topic groups in order, bonus terms, and ordered lists of key terms."""
 
     groups: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: {
-        "extensions": ("plugin", "extension", "app store"),
-        "development": ("develop", "build", "api", "library"),
-        "reports": ("report", "chart", "dashboard", "export"),
-        "connections": ("connector", "import", "sync", "token"),
-        "performance": ("slow", "speed", "latency", "timeout"),
-        "security": ("password", "permission", "access", "privacy"),
-        "interface": ("button", "screen", "layout", "menu"),
-        "multi-tenant": ("tenant", "reseller", "customer"),
-        "issues": ("error", "bug", "crash", "broken", "not working"),
+        "add-ons": ("plugin", "add-on", "widget"),
+        "coding": ("library", "compile", "script"),
+        "figures": ("chart", "spreadsheet", "printout"),
+        "exchange": ("upload", "sync", "webhook"),
+        "waiting": ("slow", "hangs", "lag"),
+        "sign-in": ("password", "login", "two-factor"),
+        "looks": ("button", "font", "dark mode"),
+        "faults": ("crash", "freeze", "stack trace"),
     })
-    bonus_terms: tuple[str, ...] = ("database", "cloud", "server", "table", "workspace")
+    bonus_terms: tuple[str, ...] = ("backup", "server", "mobile", "offline")
     key_terms: tuple[tuple[str, ...], ...] = (
-        ("multi-tenant", "customer", "workspace", "plugin", "report", "dashboard"),
-        ("development", "connector", "performance", "security", "permission"),
-        ("cloud", "database", "api", "export"),
+        ("plugin", "widget", "chart", "webhook"),
+        ("library", "login", "upload", "crash"),
     )
 
 

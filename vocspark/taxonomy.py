@@ -44,12 +44,13 @@ class Subcategory:
 
 @dataclass(frozen=True)
 class AudienceRules:
-    """Point rules for the audience vote, besides the audience keyword lists."""
+    """Point rules for the audience vote, besides the audience keyword lists; the terms are examples."""
 
-    portal_terms: tuple[str, ...] = ("dev gateway", "developer gateway", "dev portal", "developer portal")
-    partner_terms: tuple[str, ...] = ("isv", "independent software vendor", "multi-tenant", "tenant", "saas")
-    saas_terms: tuple[str, ...] = ("multi-tenant", "saas", "software as a service", "independent software vendor")
-    vendor_orgs: tuple[str, ...] = ("isv", "vendor", "partner", "saas")
+    portal_terms: tuple[str, ...] = ("sandbox console", "api console")
+    partner_terms: tuple[str, ...] = ("reseller", "white label", "our tenants")
+    saas_terms: tuple[str, ...] = ("hosted service", "subscription product")
+    vendor_orgs: tuple[str, ...] = ("vendor", "reseller")
+    # Organizations and sources as the mappings of this package write them, in lower case.
     developer_orgs: tuple[str, ...] = ("github", "ado", "azure devops")
     developer_sources: tuple[str, ...] = (
         "github", "github discussions", "azure devops", "ado", "azure devops child tasks")
