@@ -78,7 +78,7 @@ def test_backtracking_on_joined_tokens():
 
 
 def test_decoding_replaces_what_is_no_text(spark):
-    ids = np.array([list(bpe.vocabulary(bpe.default_path()).tokens).index(0) * 0 + 222, 50256], dtype="<u4").tobytes()
+    ids = np.array([222, 50256], dtype="<u4").tobytes()
     df = spark.createDataFrame([(bytearray(ids),), (None,)], "ids binary")
     library = Tokenizer.from_file(bpe.default_path())
     assert [r.decoded for r in bpe.decode_documents(df).collect()] == [library.decode([222, 50256], skip_special_tokens=False), ""]

@@ -29,9 +29,9 @@ from vocspark.llm.registry import query
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Numbers of later Unicode versions, which the vocabulary's own library takes for symbols.
 LATER_NUMBERS = "\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016FF4-\U00016FF6"
-CACHED_PIECES = 400_000
+CACHED_PIECES = 200_000
 CACHED_LENGTH = 64
-CACHED_PAIRS = 1_000_000
+CACHED_PAIRS = 250_000
 CUT_CHARACTERS = 1 << 20
 _SAFE_CUT = re.compile(r"(?<=[0-9A-Za-z.,]) ")
 
@@ -43,8 +43,39 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256)]
 
 
+class Decoder:
+    """The offset table: all tokens' bytes in one array, and where each begins."""
+
+    def __init__(self, spec: dict):
+        byte_of = {c: b for b, c in enumerate(byte_characters())}
+        tokens = {i: bytes(byte_of[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+        tokens |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        all_ = [tokens.get(i, b"") for i in range(1 + max(tokens))]
+        self.offsets = np.concatenate(([0], np.cumsum([len(t) for t in all_]))).astype(np.int64)
+        self.blob = np.frombuffer(b"".join(all_), dtype=np.uint8)
+
+    def gather(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of all ids."""
+        starts = self.offsets[ids]
+        sizes = self.offsets[ids + 1] - starts
+        ends = np.cumsum(sizes)
+        shift = np.repeat(starts - (ends - sizes), sizes)
+        return self.blob[shift + np.arange(len(shift), dtype=np.int64)]
+
+    def texts(self, packed: list[bytes]) -> list[str]:
+        """Texts of packed ids; bytes that are no UTF-8 become replacement characters."""
+        out = []
+        for first, last in pieces(packed):
+            numbers = np.frombuffer(b"".join(packed[first:last]), dtype="<u4").astype(np.int64)
+            places = np.concatenate(([0], np.cumsum(self.offsets[numbers + 1] - self.offsets[numbers])))
+            raw = self.gather(numbers).tobytes()
+            cuts = places[np.concatenate(([0], np.cumsum([len(v) // 4 for v in packed[first:last]])))].tolist()
+            out += [raw[a:b].decode("utf-8", errors="replace") for a, b in zip(cuts[:-1], cuts[1:])]
+        return out
+
+
 class Vocabulary:
-    """Tokens, merges and the tables for exact encoding and decoding."""
+    """Tokens, merges and the tables for exact encoding."""
 
     def __init__(self, path: str):
         import ahocorasick
@@ -79,10 +110,6 @@ class Vocabulary:
             self.automaton.add_word(token.decode("latin-1"), i)
             self.shorter[i] = next((by_bytes[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in by_bytes), -1)
         self.automaton.make_automaton()
-        size = 1 + max([*self.tokens, *self.special.values()])
-        table_of = dict(self.tokens) | {i: t.encode() for t, i in self.special.items()}
-        self.offsets = np.concatenate(([0], np.cumsum([len(table_of.get(i, b"")) for i in range(size)]))).astype(np.int64)
-        self.blob = np.frombuffer(b"".join(table_of.get(i, b"") for i in range(size)), dtype=np.uint8)
         self._split_all = regex.compile(PATTERN).findall
         self._later = re.compile(f"[{LATER_NUMBERS}]").search
         numbers = rf"[\p{{N}}--[{LATER_NUMBERS}]]"
@@ -184,14 +211,6 @@ class Vocabulary:
                     self._plain(part, out)
         return b"".join(out)
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """Bytes of all ids, gathered through the offset table."""
-        starts = self.offsets[ids]
-        sizes = self.offsets[ids + 1] - starts
-        ends = np.cumsum(sizes)
-        shift = np.repeat(starts - (ends - sizes), sizes)
-        return self.blob[shift + np.arange(len(shift), dtype=np.int64)]
-
 
 class _Cache(dict):
     """Packed ids of pieces; only a cache, emptied when full."""
@@ -214,6 +233,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    with open(path, encoding="utf-8") as file:
+        return Decoder(json.load(file))
+
+
 def default_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -234,24 +259,25 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
 def decode_documents(rows: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
     """``rows`` with ``decoded``, the text of packed ids; bytes that are no UTF-8 become replacement characters."""
     def work(packed):
-        vocab, values = vocabulary(path or default_path()), [x or b"" for x in packed.to_pylist()]
-        out = []
-        for first, last in pieces(values):
-            numbers = np.frombuffer(b"".join(values[first:last]), dtype="<u4").astype(np.int64)
-            sizes = vocab.offsets[numbers + 1] - vocab.offsets[numbers]
-            places = np.concatenate(([0], np.cumsum(sizes)))
-            raw = vocab.decode(numbers).tobytes()
-            cuts = places[np.concatenate(([0], np.cumsum([len(v) // 4 for v in values[first:last]])))]
-            out += [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        texts = [x.decode("utf-8", errors="replace") for x in out]
-        return [pa.array(texts, pa.string())]
+        return [pa.array(decoder(path or default_path()).texts([x or b"" for x in packed.to_pylist()]), pa.string())]
 
     return add_columns(rows, [ids], "decoded string", work)
 
 
+def round_trip(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded``, both in one pass over the texts."""
+    def work(texts):
+        where = path or default_path()
+        encode = vocabulary(where).encode
+        packed = [encode(t) if t else b"" for t in texts.to_pylist()]
+        return [packed, pa.array(decoder(where).texts(packed), pa.string())]
+
+    return add_columns(docs, [text], "ids binary, decoded string", work)
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode, decode, and reduce both to digests."""
-    coded = decode_documents(encode_documents(docs, path).drop("text"), path)
+    coded = round_trip(docs, path).drop("text")
     return coded.withColumns({
         "n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256),
         "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256)}).drop("ids", "decoded")

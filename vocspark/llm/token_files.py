@@ -28,7 +28,7 @@ from vocspark.llm.common import fresh_folder, make_folder, materialise, store, t
 from vocspark.llm.registry import query
 
 END_ID = 2
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 CACHED_BYTES = 64
 JOINED_PARTS = 1000
 # A single comma or full stop between a plain letter or digit and a blank is a piece of its own.
