@@ -221,6 +221,40 @@ def test_frequent_words_cost_fewer_bits(spark):
     assert got[900] > got[901]
 
 
+def test_context_counts_are_exact_across_parts(spark):
+    rng = np.random.default_rng(7)
+    words = sorted({bytes(rng.choice(list(b"abcd\xc3\0"), int(rng.integers(1, 9))).tolist()) for _ in range(3000)}) + [b"abc" * 300, b"abc" * 300 + b"d"]
+    rows = [(i * 37, w, int(i % 4 and rng.integers(0, 5000))) for i, w in enumerate(words)] + [(-1, b"", 11)]
+    df = spark.createDataFrame(rows, "tok bigint, word binary, c bigint")
+    want = Counter()
+    for _, w, c in rows:
+        spelled = w + b" " if w else b"\n"
+        for i, byte in enumerate(spelled):
+            for kind, ctx in enumerate((min(i, 20), spelled[max(0, i - 1):i], spelled[max(0, i - 2):i], spelled[max(0, i - 3):i], spelled[:i])):
+                bits = f"{byte:08b}"
+                for k in range(8):
+                    want[kind, ctx, bits[:k], bits[k]] += c
+    for size in (2000, 1 << 20):
+        between = context_mixing.cuts(df, size)
+        assert (len(between) > 3) == (size == 2000)
+        heads, parts = context_mixing.heads_of(between), context_mixing.deal(df, between)
+        grams = context_mixing.count_grams(parts, heads, context_mixing.fresh_folder(spark, "lm"))
+        seen = 0
+        for _, copies, data in context_mixing._parts(parts.toArrow().to_batches()):
+            part = context_mixing.Part(data, copies, heads, grams)
+            counts = [part.lookup()(k) for k in range(8)]
+            for a, b in zip(part.starts[:-1], part.starts[1:]):
+                spelled = data[a:b]
+                seen += 1
+                for i in sorted({*range(min(len(spelled), 12)), len(spelled) - 1}):
+                    contexts = (min(i, 20), spelled[max(0, i - 1):i], spelled[max(0, i - 2):i], spelled[max(0, i - 3):i], spelled[:i])
+                    bits = f"{spelled[i]:08b}"
+                    for k in range(8):
+                        for kind, ctx in enumerate(contexts):
+                            assert tuple(counts[k][side][kind, a + i] for side in (0, 1)) == tuple(want[kind, ctx, bits[:k], side] for side in "01")
+        assert seen == len(rows)
+
+
 def test_pipeline_stages_take_effect(spark):
     folder = "/root/testdata/sf0.001"
     given = spark.read.parquet(f"{folder}/documents.parquet")
