@@ -255,6 +255,34 @@ def test_context_counts_are_exact_across_parts(spark):
         assert seen == len(rows)
 
 
+def test_frequent_words_are_learned_from_as_often_as_they_stand():
+    copies = np.arange(1, 5001) % 7 + 1
+    copies[[3, 4000]] = 5_000_000, 1001
+    learned = np.zeros(len(copies))
+    for some, loads in context_mixing.steps(copies, np.random.default_rng(3).permutation(len(copies))):
+        learned[some] += loads
+        assert loads.sum() < 2 * copies.sum() / 3
+    assert learned == pytest.approx(copies)
+
+
+def test_weights_do_not_depend_on_how_often_all_texts_are_repeated():
+    rng = np.random.default_rng(5)
+    words = sorted({bytes(rng.choice(list(b"abcdefg"), int(rng.integers(1, 9))).tolist()) for _ in range(400)})
+    data, starts = context_mixing.spellings(words)
+    copies = rng.integers(1, 900, len(words)).astype(float)
+    table = rng.integers(1, 50, (context_mixing.CONTEXTS, 2, 1 << context_mixing.SLOT_BITS)).astype(np.float32)
+    got = []
+    for times in (1, 1000):
+        weights, refined = context_mixing.start_weights(), np.zeros((context_mixing.GATES, context_mixing.BUCKETS, 2))
+        curve, load = np.full(weights.shape, context_mixing.CURVE_START), np.repeat(copies * times, np.diff(starts))
+        lookup = context_mixing.Tables(table, None, None).lookup(data, starts)
+        for seen in range(5):
+            context_mixing.train(data, lookup, load, weights, refined, curve, seen, load.sum())
+        got.append((weights, refined / times))
+    assert got[0][0] == pytest.approx(got[1][0]) and got[0][1] == pytest.approx(got[1][1])
+    assert np.abs(got[0][0] - context_mixing.start_weights()).max() > 1e-3
+
+
 def test_pipeline_stages_take_effect(spark):
     folder = "/root/testdata/sf0.001"
     given = spark.read.parquet(f"{folder}/documents.parquet")
