@@ -150,6 +150,29 @@ def test_marks_of_the_composed_grammar():
     assert toxicity.matches("him I kill", lexicon) == [("plain", 1.0)]
 
 
+def test_targets_after_a_match_direct_it():
+    model = toxicity.seed_model()
+    lexicon = model.lexicon()
+    assert toxicity.directed_matches("I will kill you", lexicon) == [("threat+plain", 1.0)]
+    assert toxicity.directed_matches("kill you all", lexicon) == [("threat+plain", 1.0)]
+    assert toxicity.directed_matches("him I kill", lexicon) == [("threat+plain", 1.0)]
+    assert toxicity.directed_matches("I will not kill you", lexicon) == [("threat+negated", 1.0)]
+    assert toxicity.directed_matches("kill the process. you", lexicon) == []
+    assert toxicity.directed_matches("You are an idiot.", lexicon) == [("directed+plain", 0.8)]
+    assert toxicity.directed_matches("idiot, that is what you are", lexicon) == [("directed+plain", 0.8)]
+    assert toxicity.directed_matches("what an idiot! you see", lexicon) == [("plain", 0.8)]
+    assert toxicity.score_text("I will kill you", model, lexicon) > 0.5 > toxicity.score_text("kill the process", model, lexicon)
+
+
+def test_directed_insults_learn_a_weight_of_their_own(spark):
+    rows = [(i, f"You are an idiot number {i}", 1) for i in range(150)] + [(i, f"the word idiot number {i}", int(i % 2)) for i in range(150, 300)]
+    rows += [(i, f"You are an hour late, number {i}", 0) for i in range(300, 450)]  # so that the target is not learned as an insult
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    weights = toxicity.fit(docs, labels).weights
+    assert weights["directed+plain"] > 0.95 and weights["plain"] < 0.7
+
+
 def test_toxicity_learns_stems(spark):
     clean = [(i, f"plain words number {i} zorbing along the road", 0) for i in range(200)]
     toxic = [(i, f"plain words number {i} with zorgle{'abcdefgh'[i % 8]} in it", 1) for i in range(200, 300)]

@@ -2,7 +2,9 @@
 
 Words become classes: insult, threat, target, negation, report, other, and the end of a clause.  Small letter-to-letter
 transducers mark insults and threats that stand in the scope of a negation, after a word of reporting in the clause, or with
-a target; they are composed into one table, which reads a text once.  Each matched clause contributes the weight of
+a target before them in the clause; they are composed into one table, which reads a text once.  Matches without a target
+before them wait for one in the rest of the clause, which directs them.  Threats count only when directed, and directed
+insults and threats have weights of their own.  Each matched clause contributes the weight of
 its word times the weight of its marks, and a text's score is the chance that at least one clause is toxic
 (noisy-or); a text without a match has the share of toxic texts among such.
 
@@ -46,6 +48,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 13)
 # Prior weight of a match by its marks, and the number of rows a prior counts as.
 PRIOR = {"plain": 0.9, "negated": 0.6, "reported": 0.6, "negated+reported": 0.5}
+# Directed matches start from the same weights and learn their own, insults and threats apart.
+PRIOR |= {f"{kind}+{mark}": weight for kind in ("directed", "threat") for mark, weight in list(PRIOR.items())}
 PRIOR_ROWS = 4.0
 SEED_WEIGHT = 0.8
 NEW_TEXTS = 2
@@ -77,7 +81,7 @@ def marker(symbols, trigger: str, mark: str, scope: int | None) -> Transducer:
 
 
 def aimed(symbols) -> Transducer:
-    """A match with a target before it in the clause is directed; a target right after a match says so later."""
+    """A match with a target before it in the clause is directed; ``directed_matches`` directs the others by a later target."""
     arcs = {}
     for state in (0, 1):
         for s in symbols:
@@ -134,6 +138,18 @@ def marks_of(output: str) -> str:
 _MARKS = [[marks_of(o) for o in row] for row in OUTS]
 
 
+def parts_of(output: str) -> tuple[str, str, bool] | None:
+    """(kind, marks without the direction, directed by a target before) of a match."""
+    kind, *marks = output.split("+")
+    if kind not in MATCHED:
+        return None
+    return kind, "+".join(m for m in ("negated", "reported") if m in marks) or "plain", "directed" in marks
+
+
+_PARTS = [[parts_of(o) for o in row] for row in OUTS]
+_END, _TARGET = CLASSES.index("end"), CLASSES.index("target")
+
+
 @dataclass(frozen=True)
 class Model:
     stems: dict[str, float]
@@ -170,7 +186,7 @@ def features(word: str) -> list[str]:
 
 
 def matches(text: str, lexicon: Lexicon) -> list[tuple[str, float]]:
-    """(marks, word weight) of every matched clause part, in one pass of the composed transducer."""
+    """(marks, word weight) of the matches by what stands before them alone; scores use ``directed_matches``."""
     low = text.lower()
     if not any(lexicon[w][0] in (2, 3) for w in set(WORDS.findall(low))):
         return []
@@ -184,8 +200,37 @@ def matches(text: str, lexicon: Lexicon) -> list[tuple[str, float]]:
     return out
 
 
+def directed_matches(text: str, lexicon: Lexicon) -> list[tuple[str, float]]:
+    """(name of the weight, word weight) of every insult, and of every threat with a target before or after it in its clause."""
+    low = text.lower()
+    if not any(lexicon[w][0] in (2, 3) for w in set(WORDS.findall(low))):
+        return []
+    out, pending, state = [], [], 0
+
+    def settle(directed: bool) -> None:
+        for kind, marks, weight in pending:
+            if directed:
+                out.append((f"{'threat' if kind == 'threat' else 'directed'}+{marks}", weight))
+            elif kind == "insult":
+                out.append((marks, weight))
+        pending.clear()
+
+    for token in TOKEN.finditer(low):
+        kind, weight = lexicon[token[0]]
+        if kind == _TARGET or kind == _END:
+            settle(kind == _TARGET)
+        match = _PARTS[state][kind]
+        if match:
+            pending.append((match[0], match[1], weight))
+            if match[2]:
+                settle(True)
+        state = MOVES[state][kind]
+    settle(False)
+    return out
+
+
 def score_text(text: str, model: Model, lexicon: Lexicon) -> float:
-    found = matches(text, lexicon) if text else []
+    found = directed_matches(text, lexicon) if text else []
     if not found:
         return model.unmatched
     clean = 1.0
@@ -290,8 +335,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, stems: in
         lexicon, seen = draft.lexicon(), Counter()
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                marks = {m for m, _ in matches(text, lexicon)} or {"none"}
-                seen[("plain" if "plain" in marks else min(marks), int(toxic > 0))] += 1
+                marks = {m for m, _ in directed_matches(text, lexicon)} or {"none"}
+                first = next((m for m in ("directed+plain", "threat+plain", "plain") if m in marks), None) or min(marks)
+                seen[(first, int(toxic > 0))] += 1
         yield pa.RecordBatch.from_arrays(
             [pa.array([m for m, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.int64()),
              pa.array(list(seen.values()), pa.int64())], names=["mark", "toxic", "n"])
