@@ -196,6 +196,14 @@ def bits_set(packed: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return (packed[numbers >> 3] >> (7 - (numbers & 7))) & 1 == 1
 
 
+def unused(taken: list[str], wanted: list[str]) -> list[str]:
+    """The wanted names, with underscores in front until none is taken (in any case)."""
+    taken, mark = {c.lower() for c in taken}, ""
+    while any((mark + w).lower() in taken for w in wanted):
+        mark += "_"
+    return [mark + w for w in wanted]
+
+
 def add_columns(df: DataFrame, inputs: list[str], added: str, work: Callable) -> DataFrame:
     """``df`` with the columns of the DDL string ``added``, computed in Arrow batches.
 
@@ -206,7 +214,7 @@ def add_columns(df: DataFrame, inputs: list[str], added: str, work: Callable) ->
     ship_package(df.sparkSession)
     fresh = StructType.fromDDL(added)
     kept = [c for c in df.columns if c not in fresh.names]
-    given, names = [f"_in{i}" for i in range(len(inputs))], fresh.names
+    given, names = unused(df.columns, [f"_in{i}" for i in range(len(inputs))]), fresh.names
     ready = df.select(*kept, *[F.col(c).alias(n) for n, c in zip(given, inputs)])
     types = [pa.large_binary() if f.dataType.typeName() == "binary" else None for f in fresh]
 
