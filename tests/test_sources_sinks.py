@@ -9,6 +9,7 @@ from vocspark.operators import dedup
 from vocspark.plans import flows
 from vocspark.schema import FEEDBACK_SCHEMA, STATE_SCHEMA
 from vocspark.sinks import tables
+from vocspark.sinks.state_table import StateTable
 from vocspark.sources import forum_html, records, snapshots
 from vocspark.streaming import jobs
 from vocspark.taxonomy import default_taxonomy
@@ -217,16 +218,17 @@ def test_ingest_stream(spark, tmp_path):
 
 
 def test_triage_stream(spark, tmp_path):
-    landed, snaps = tmp_path / "in", str(tmp_path / "states")
+    landed, table = tmp_path / "in", StateTable(spark, str(tmp_path / "states"), buckets=16)
 
     def run():
-        jobs.triage_stream(spark, str(landed), snaps, str(tmp_path / "cp")).awaitTermination(120)
-        return {r["feedback_id"]: (r["state"], r["notes"]) for r in jobs.read_states(spark, snaps).collect()}
+        jobs.triage_stream(spark, str(landed), table, str(tmp_path / "cp")).awaitTermination(120)
+        return {r["feedback_id"]: (r["state"], r["notes"]) for r in table.read().collect()}
 
     land(landed, "a.json", [{"ord": 1, "feedback_id": "a", "state": "TRIAGED", "at": "2024-01-01T00:00:00Z"}, {"ord": 2, "feedback_id": "b", "notes": "n"}])
     assert run() == {"a": ("TRIAGED", None), "b": ("NEW", "n")}
     land(landed, "b.json", [{"ord": 3, "feedback_id": "a", "notes": "m"}])
     assert run() == {"a": ("TRIAGED", "m"), "b": ("NEW", "n")}
+    assert table.versions() == [1, 2]
 
 
 def test_collect_limits_each_source(spark):

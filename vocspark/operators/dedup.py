@@ -21,6 +21,11 @@ def _signature(title: str, content: str) -> Column:
     return F.sha2(content_signature(title, content), 256)
 
 
+def _identifier(key: str) -> Column:
+    """The identifier as a key; rows without one share the empty identifier."""
+    return F.coalesce(F.col(key), F.lit("")).alias("id")
+
+
 def key_rows(batch: DataFrame, order_col: str, key: str = "feedback_id", title: str = "title",
              content: str = "content") -> DataFrame:
     """(id, sig, ord): one row per distinct identifier-and-signature pair, at its first position.
@@ -28,7 +33,7 @@ def key_rows(batch: DataFrame, order_col: str, key: str = "feedback_id", title:
     A later row with the same pair can never be accepted, so copies are gone before any join,
     by a partial aggregation that needs no sight of the whole group.
     """
-    return (batch.select(F.col(key).alias("id"), _signature(title, content).alias("sig"), F.col(order_col).alias("ord"))
+    return (batch.select(_identifier(key), _signature(title, content).alias("sig"), F.col(order_col).alias("ord"))
             .groupBy("id", "sig").agg(F.min("ord").alias("ord")))
 
 
@@ -56,7 +61,7 @@ def insert_keys(batch: DataFrame, stored: DataFrame, order_col: str, key: str =
                 title: str = "title", content: str = "content") -> DataFrame:
     """Keys of the batch rows to insert: new to the stored table and first within the batch."""
     pairs = key_rows(batch, order_col, key, title, content)
-    pairs = pairs.join(stored.select(F.col(key).alias("id")), "id", "left_anti")
+    pairs = pairs.join(stored.select(_identifier(key)), "id", "left_anti")
     pairs = pairs.join(stored.select(_signature(title, content).alias("sig")).distinct(), "sig", "left_anti")
     return first_accepted(pairs)
 

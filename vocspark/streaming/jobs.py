@@ -1,74 +1,52 @@
 """Structured Streaming jobs over landed files.
 
-Both jobs write versioned snapshots or batch-numbered folders, so a batch that is run again after
+Ingest writes batch-numbered folders, triage commits versions under the batch's name, so a batch that is run again after
 a failure gives the same table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vocspark.operators.dedup import rows_to_insert
-from vocspark.operators.state import upsert_states
 from vocspark.plans.flows import stored_form
-from vocspark.schema import CHANGE_SCHEMA, FEEDBACK_SCHEMA, STATE_SCHEMA
+from vocspark.schema import CHANGE_SCHEMA
+from vocspark.sinks.state_table import StateTable
 from vocspark.sinks.tables import project
+from vocspark.streaming.keyed_state import only_new
 
 
 def ingest_stream(spark: SparkSession, landed: str, schema: str, to_feedback: Callable[[DataFrame], DataFrame],
-                  table: str, checkpoint: str, delay: str = "30 days") -> StreamingQuery:
+                  table: str, checkpoint: str, stored: DataFrame | None = None, keep: str | None = None) -> StreamingQuery:
     """Landed JSON files → feedback table, adding only what is new.
 
-    ``to_feedback`` maps raw records to feedback rows.  Copies that arrive within ``delay`` are
-    dropped by the stream's own state; the watermark runs on arrival, so an old item that arrives
-    late is not lost.  Each micro-batch is then checked against the stored table.
+    ``to_feedback`` maps raw records to feedback rows.  Earlier rows are known by the stream's keyed state, so no stored row
+    is read again; ``stored`` fills the state with the keys of an older table when the stream first starts, and with
+    ``keep`` (an interval such as ``400 days``) keys are forgotten that long after their last arrival.  Within a
+    micro-batch rows are taken by creation text and identifier.
     """
-    rows = to_feedback(spark.readStream.schema(schema).json(landed))
-    fresh = (rows.withColumn("arrived_at", F.current_timestamp())
-             .withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark(["feedback_id"]).drop("arrived_at"))
+    rows = stored_form(project(to_feedback(spark.readStream.schema(schema).json(landed))))
+    order = F.concat_ws("|", F.coalesce("created", F.lit("")), F.coalesce("feedback_id", F.lit("")))
+    old = None if stored is None else stored_form(project(stored))
+    fresh = only_new(rows, order, old, keep)
 
     def add_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        earlier = [f"{table}/batch={b}" for b in _numbers(session, table, "batch") if b < batch_id]
-        stored = session.read.schema(FEEDBACK_SCHEMA).parquet(*earlier) if earlier else session.createDataFrame([], FEEDBACK_SCHEMA)
-        # one run of the stateful plan per batch, however often the rows are read below
-        ordered = stored_form(project(batch)).withColumn("ord", F.struct("created", "feedback_id")).persist()
-        try:
-            new_rows = rows_to_insert(ordered, stored, "ord", content="feedback")
-            project(new_rows).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-        finally:
-            ordered.unpersist()
+        project(batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     return (fresh.writeStream.foreachBatch(add_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def triage_stream(spark: SparkSession, landed: str, snapshots: str, checkpoint: str) -> StreamingQuery:
-    """Landed change files → state snapshots ``version=<batch>``; the highest version is current."""
+def triage_stream(spark: SparkSession, landed: str, states: StateTable, checkpoint: str) -> StreamingQuery:
+    """Landed change files → the state table; a micro-batch rewrites the buckets of its items only."""
     changes = spark.readStream.schema(CHANGE_SCHEMA).json(landed)
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
-        current = read_states(batch.sparkSession, snapshots, batch_id)
-        upsert_states(current, batch).write.mode("overwrite").parquet(f"{snapshots}/version={batch_id}")
+        replace(states, spark=batch.sparkSession).merge(batch, token=f"{checkpoint}#{batch_id}")
 
     return (changes.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
-
-
-def _numbers(spark: SparkSession, folder: str, label: str) -> list[int]:
-    """Numbers of the sub-folders ``label=<number>``, ascending."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{label}=*")
-    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or []
-    return sorted(int(str(s.getPath().getName()).split("=")[1]) for s in found)
-
-
-def read_states(spark: SparkSession, snapshots: str, before: int | None = None) -> DataFrame:
-    """The newest state snapshot, optionally of a version under ``before``."""
-    usable = [v for v in _numbers(spark, snapshots, "version") if before is None or v < before]
-    if not usable:
-        return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(f"{snapshots}/version={usable[-1]}")
