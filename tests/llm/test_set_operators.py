@@ -303,3 +303,21 @@ def test_pipeline_stages_take_effect(spark):
 def test_all_queries_are_registered():
     numbers = {int(m[1]) for m in (re.match(r"op(\d+)_", n) for n in entry.queries()) if m}
     assert numbers == set(range(1, 11)) and "pipeline" in entry.queries()
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    names = ["_text", "_words", "_lines", "_hashes", "kept", "n_words", "score", "predicted", "epochs", "epoch", "cut", "_lang", "_domain", "_source", "domain",
+             "component_id", "u", "_in0", "carried_0", "n_tokens_of_mine", "a.b"]
+    text = "Some words that say nothing bad, and then a few more of them so that the text is long enough for every rule. " * 3
+    rows = [(i, text.replace("few", f"few{i} other{i} x{i} y{i} z{i} w{i} v{i}"), "en", f"src{i % 2}", 10, *[f"{n}-{i}" for n in names]) for i in range(12)]
+    rows += [(50, None, "en", "src1", None, *names), (51, "", None, None, 0, *names)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names))
+    own = {r[0]: tuple(r)[5:] for r in rows}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, "/root/testdata/sf0.001")
+        for r in got.select("doc_id", *[f"`{n}`" for n in names]).collect():
+            assert tuple(r)[1:] == own[r.doc_id], name
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+    assert {"ids", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(got.columns)
+    replaced = corpus_pipeline.STAGES[-1][1](spark, docs.withColumnRenamed("n_tokens_of_mine", "N_tokens"), "")
+    assert [c.lower() for c in replaced.columns].count("n_tokens") == 1

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocspark.llm.common import add_columns, pieces, table
+from vocspark.llm.common import carrying, add_columns, pieces, table
 from vocspark.llm.registry import query
 
 # Fixed value: the pattern that this vocabulary splits texts by.
@@ -275,17 +275,18 @@ def round_trip(docs: DataFrame, path: str | None = None, text: str = "text") ->
     return add_columns(docs, [text], "ids binary, decoded string", work)
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Encode, decode, and reduce both to digests."""
+def digests(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """Encode, decode, and reduce both to digests; the ids stay if asked for."""
     coded = round_trip(docs, path).drop("text")
     return coded.withColumns({
         "n_tokens": (F.octet_length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256),
-        "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256)}).drop("ids", "decoded")
+        "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256)}).drop("decoded", *(["ids"] if not keep_ids else []))
 
 
+@carrying
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
-    """Last pipeline stage: the documents with their ids and decoded texts reduced to digests, other columns carried."""
-    return digests(docs)
+    """Last pipeline stage: the documents with their packed ids and digests of ids and decoded texts, other columns carried."""
+    return digests(docs, keep_ids=True)
 
 
 @query("op3_bpe_round_trip")

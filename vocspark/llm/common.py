@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +78,40 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 def with_column_batches(df: DataFrame, columns: list[str], schema: str, task: Callable) -> DataFrame:
     """mapInArrow over the named columns; ``task`` gets and gives record batches."""
     ship_package(df.sparkSession)
-    return df.select(*columns).mapInArrow(task, schema)
+    small_batches(df.sparkSession)
+    return df.select(*columns).mapInArrow(tidied(task), schema)
+
+
+# Rows and bytes of an Arrow batch on its way to Python; long texts make small batches.
+BATCH_ROWS, BATCH_SIZE = "2000", "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark cut Arrow batches by bytes, so that executor and worker hold a few megabytes of texts each; own settings stay."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_SIZE)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
+def tidied(task: Callable) -> Callable:
+    """``task``, giving memory back to the system at its end, since idle workers stay beside the executor."""
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+    return run
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -214,8 +247,9 @@ def add_columns(df: DataFrame, inputs: list[str], added: str, work: Callable) ->
     ship_package(df.sparkSession)
     fresh = StructType.fromDDL(added)
     kept = [c for c in df.columns if c not in fresh.names]
-    given, names = unused(df.columns, [f"_in{i}" for i in range(len(inputs))]), fresh.names
-    ready = df.select(*kept, *[F.col(c).alias(n) for n, c in zip(given, inputs)])
+    sent = {c: n for c, n in zip(inputs, unused(df.columns, [f"_in{i}" for i in range(len(inputs))])) if c not in kept}
+    given, names = [sent.get(c, c) for c in inputs], fresh.names
+    ready = df.select(*kept, *[F.col(c).alias(n) for c, n in sent.items()])
     types = [pa.large_binary() if f.dataType.typeName() == "binary" else None for f in fresh]
 
     def run(batches):
@@ -224,4 +258,25 @@ def add_columns(df: DataFrame, inputs: list[str], added: str, work: Callable) ->
                    for x, t in zip(work(*[batch.column(n) for n in given]), types)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + new, names=kept + names)
 
-    return ready.mapInArrow(run, StructType([df.schema[c] for c in kept] + list(fresh)))
+    small_batches(df.sparkSession)
+    return ready.mapInArrow(tidied(run), StructType([df.schema[c] for c in kept] + list(fresh)))
+
+
+DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def carrying(stage: Callable) -> Callable:
+    """A pipeline stage that sees no columns but those of documents under their names.
+
+    All others are carried under neutral names and get their own back, so they clash with nothing inside; one named
+    like a column that the stage adds is replaced.
+    """
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+        names = {c: f"carried_{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT_COLUMNS}
+        inside = docs.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns])
+        out = stage(spark, inside, folder)
+        back = {n: c for c, n in names.items()}
+        added = {c.lower() for c in out.columns if c not in back}
+        return out.select(*[F.col(c).alias(back.get(c, c)) for c in out.columns if c not in back or back[c].lower() not in added])
+    return run

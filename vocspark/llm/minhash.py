@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocspark.llm.common import (
+from vocspark.llm.common import (carrying, 
     add_columns, bits_set, fresh_folder, hashed_words, load_bits, materialise, mix64, save_bits, sliced, table, text_bytes,
     with_column_batches)
 from vocspark.llm.components import components
@@ -276,6 +276,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+@carrying
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, that of the smallest id."""
     drop = materialise(near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "near-drop")

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocspark.llm.common import SPACE_CLASS, materialise, table
+from vocspark.llm.common import carrying, SPACE_CLASS, materialise, table
 from vocspark.llm.registry import query
 
 LEAF = ["_domain", "_lang", "_source"]
@@ -142,6 +142,7 @@ def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION, text: str = "text") ->
     return out.withColumns({"domain": F.col("_domain"), "n_tokens": tokens}).drop(*LEAF, "epochs", "cut")
 
 
+@carrying
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: the mixture of the documents given; a document taken in two epochs stands there twice."""
     return mix_documents(docs).select(*docs.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocspark.functions.common import with_once
-from vocspark.llm.common import SPACE_CLASS, table
+from vocspark.llm.common import carrying, SPACE_CLASS, table
 from vocspark.llm.registry import query
 
 # Frequent function words of English, German, French and Spanish.
@@ -152,6 +152,7 @@ def judge(docs: DataFrame, text: str = "text", base=BASE_RULES, rules=METHOD_RUL
     return out.withColumn("kept", ~(F.col("base_failed") | any_fails(rules)))
 
 
+@carrying
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: the documents that all rules keep."""
     judged = judge(docs.withColumn("_text", F.col("text")), "_text")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocspark.llm.common import add_columns, crc_mod_5, materialise, table, with_column_batches
+from vocspark.llm.common import carrying, add_columns, crc_mod_5, materialise, table, with_column_batches
 from vocspark.llm.registry import query
 
 # Words of the grammar's classes.
@@ -52,6 +52,8 @@ PRIOR = {"plain": 0.9, "negated": 0.6, "reported": 0.6, "negated+reported": 0.5}
 PRIOR |= {f"{kind}+{mark}": weight for kind in ("directed", "threat") for mark, weight in list(PRIOR.items())}
 PRIOR_ROWS = 4.0
 SEED_WEIGHT = 0.8
+# Stems that a task counts before it passes its counts on.
+HELD_STEMS = 300_000
 NEW_TEXTS = 2
 
 
@@ -292,7 +294,8 @@ def _explaining(texts: list[set[str]]) -> list[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, stems: int = 4_000) -> Model:
-    """Learn stems and weights; what reaches the driver is at most ``stems`` rows and a few counts."""
+    """Learn stems and weights; what reaches the driver is at most ``stems`` rows, a few counts, and for each toxic text
+    of the sample a short list of stem numbers."""
     rows = training_rows(docs, labels, sample_rows)
     total = {int(r["toxic"] > 0): r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(
         F.count("*").alias("n")).collect()}
@@ -300,17 +303,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, stems: in
     if not bad or not good:
         return seed_model()
 
+    def counts(seen):
+        keys = list(seen[0] | seen[1])
+        for at in range(0, len(keys), 20_000):
+            some = keys[at:at + 20_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.string()), pa.array([seen[1][k] for k in some], pa.int64()),
+                 pa.array([seen[0][k] for k in some], pa.int64())], names=["k", "bad", "good"])
+
     def count(batches):
+        seen = (Counter(), Counter())
         for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
-                seen = (Counter(), Counter())
-                for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
-                    seen[toxic > 0].update({k for w in set(WORDS.findall(text.lower())) for k in features(w)})
-                keys = list(seen[0] | seen[1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()),
-                     pa.array([seen[0][k] for k in keys], pa.int64())], names=["k", "bad", "good"])
+            for row in range(batch.num_rows):
+                text, toxic = batch.column("text")[row].as_py(), batch.column("toxic")[row].as_py()
+                seen[toxic > 0].update({k for w in set(WORDS.findall(text.lower())) for k in features(w)})
+                if len(seen[0]) + len(seen[1]) > HELD_STEMS:
+                    yield from counts(seen)
+                    seen = (Counter(), Counter())
+        yield from counts(seen)
 
     counted = with_column_batches(rows, ["text", "toxic"], "k string, bad bigint, good bigint", count)
     counted = materialise(counted.groupBy("k").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "toxic-counts")
@@ -360,11 +370,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return add_columns(docs, [text], "score double, predicted int", work)
 
 
+@carrying
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: documents that the grammar does not find toxic; learned from the labelled rows among ``docs``."""
     model = fit(docs, table(spark, folder, "labels"))
-    judged = score(docs.withColumn("_text", F.col("text")), model, "_text")
-    return judged.where("predicted = 0").select(*docs.columns)
+    return score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 @query("op10_toxicity_grammar")
