@@ -25,19 +25,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocspark.llm.common import fresh_folder, make_folder, materialise, store, table, text_bytes, with_column_batches
+from vocspark.llm.pair_merges import spread
 from vocspark.llm.registry import query
+from vocspark.llm.sentence_pieces import text_groups
 
 END_ID = 2
 CACHED_WORDS = 300_000
 CACHED_BYTES = 64
 JOINED_PARTS = 1000
-# A single comma or full stop between a plain letter or digit and a blank is a piece of its own.
-_LAST_MARK = re.compile(rb"(?<=[a-z0-9])([,.])(?=[ \n])")
 # Code points below 0180 have no combining marks; all but U+0130 have one lower-case letter each.
 _SIMPLE = re.compile("[\x00-\u012f\u0131-\u017f]*").fullmatch
 NO_ID = -(1 << 63)
 # Documents that one reading task takes from a shard.
 READ_DOCUMENTS = 8192
+TASK_TOKENS = 1 << 24
 MANIFEST = "part bigint, shard string, width int, documents bigint, tokens bigint"
 
 
@@ -46,6 +47,20 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_BLANK, _MARK, _PLAIN = (np.isin(np.arange(256), list(chars)) for chars in (b" \n", b",.", b"abcdefghijklmnopqrstuvwxyz0123456789"))
+
+
+def _part_starts(data: np.ndarray) -> np.ndarray:
+    """Places behind a blank or line end, and at a single comma or full stop between a plain letter or digit and a blank, which is a piece of its own."""
+    blank = _BLANK[data]
+    start = _MARK[data]
+    start[:-1] &= blank[1:]
+    start[1:] &= _PLAIN[data[:-1]]
+    start[1:] |= blank[:-1]
+    start[:1] = True
+    return start
+
+
 class WordEncoder:
     """Ids by the tokenizers library.  The vocabulary drops white space and never joins across it, so a text's ids are
     those of its parts between blanks and line ends; equal parts are encoded once."""
@@ -97,17 +112,31 @@ class WordEncoder:
 
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of the texts, in the file's width."""
-        parts = [_LAST_MARK.sub(rb" \1", t).replace(b"\n", b" ").split(b" ") for t in texts]
-        new = list({p for ps in parts for p in ps if p not in self.known})
+        return [ids for first, last in text_groups(texts) for ids in self._encode_group(texts[first:last])]
+
+    def _encode_group(self, texts: list[bytes]) -> list[bytes]:
+        """Parts are cut and numbered as arrays; only a group's distinct parts are looked up or encoded."""
+        joined = b"\n".join(texts) + b"\n"
+        data = np.frombuffer(joined, dtype=np.uint8)
+        at = np.flatnonzero(_part_starts(data))
+        parts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(joined)])
+        coded = parts.dictionary_encode()
+        distinct = [p[:-1] if p[-1] in b" \n" else p for p in coded.dictionary.to_pylist()]
+        new = list({p for p in distinct if p not in self.known})
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known = {b"": b""}
-            new = list({p for ps in parts for p in ps if p})
+            new = list({p for p in distinct if p})
         found = self._new(new)
         self.known.update((p, v) for p, v in found.items() if len(p) <= CACHED_BYTES)
-        long_ = {p: v for p, v in found.items() if len(p) > CACHED_BYTES}
-        if long_:
-            return [b"".join([long_[p] if p in long_ else self.known[p] for p in ps]) for ps in parts]
-        return [b"".join(map(self.known.__getitem__, ps)) for ps in parts]
+        packed = [self.known[p] if p in self.known else found[p] for p in distinct]
+        ids = np.frombuffer(b"".join(packed), dtype=self.dtype)
+        bounds = np.cumsum([0, *map(len, packed)]) // self.dtype.itemsize
+        which = coded.indices.to_numpy().astype(np.int64)
+        sizes = np.diff(bounds)[which]
+        out = ids[spread(bounds[which], sizes)]
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cuts = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(at, starts)].tolist()
+        return [out[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -163,7 +192,9 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; start counts over all shards."""
     step = READ_DOCUMENTS
     ranges = manifest.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("documents") - 1, F.lit(step).cast("long"))))
-    ranges = ranges.repartition("shard", "first")
+    # tasks by the ids to read, as the rows that name them are few
+    tokens = manifest.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
+    ranges = ranges.repartition(1 + tokens // TASK_TOKENS, "shard", "first")
 
     def task(batches):
         for batch in batches:
