@@ -213,3 +213,18 @@ def test_queries_of_the_tokenizers(spark, library, byte_library):
         if r.doc_id in plain:
             assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.groups_sha256) == (*plain[r.doc_id][1:5], plain[r.doc_id][7])
         assert r.n_links == max(r.n_a + r.n_b - r.n_groups, 0) and 0 <= r.n_best <= r.n_links <= r.count_sum
+
+
+def test_word_ids_equal_the_library():
+    from tokenizers import Tokenizer
+    from vocspark.llm import token_files
+    path = token_files.default_path()
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    coder = token_files.WordEncoder(path)
+    assert coder._letters is not None
+    texts = ["", *mixtures(1500, 8, ["Ł", "ß", "ªº", "İ", "don't", "12.", "a,", ". ", ", ", "É", "word", "THE"]), "x" * 3000, "Abc" * 200]
+    got = coder.encode_batch([t.encode() for t in texts])
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, dtype=coder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)[:80]

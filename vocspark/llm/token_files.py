@@ -12,6 +12,7 @@ order of their texts; rows without an id come first.  Extra columns are ignored;
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -24,8 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vocspark.llm.bpe import byte_characters
 from vocspark.llm.common import fresh_folder, make_folder, materialise, store, table, text_bytes, with_column_batches
-from vocspark.llm.pair_merges import spread
+from vocspark.llm.pair_merges import PairTable, merge_words, spread
 from vocspark.llm.registry import query
 from vocspark.llm.sentence_pieces import text_groups
 
@@ -62,7 +64,7 @@ def _part_starts(data: np.ndarray) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids by the tokenizers library.  The vocabulary drops white space and never joins across it, so a text's ids are
+    """Ids as by the tokenizers library.  The vocabulary drops white space and never joins across it, so a text's ids are
     those of its parts between blanks and line ends; equal parts are encoded once."""
 
     def __init__(self, path: str):
@@ -83,18 +85,51 @@ class WordEncoder:
             self.plain.no_padding()
             self.plain.normalizer = normalizers.Sequence([])
         self.known: dict[bytes, bytes] = {b"": b""}
+        self._letters = self._merges(path) if self.plain is not None else None
+
+    def _merges(self, path: str) -> tuple[PairTable, np.ndarray, np.ndarray] | None:
+        """Merges of a byte-level vocabulary whose words end in a suffix, and the ids of single bytes inside and at the end of a word."""
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)["model"]
+        suffix, ids = spec.get("end_of_word_suffix"), spec["vocab"]
+        characters = byte_characters()
+        if spec["type"] != "BPE" or not suffix or spec.get("dropout") or not all(c in ids and c + suffix in ids for c in characters):
+            return None
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["merges"]]
+        pairs = PairTable([ids[a] for a, _ in merges], [ids[b] for _, b in merges], range(len(merges)), [ids[a + b] for a, b in merges])
+        return pairs, np.array([ids[c] for c in characters]), np.array([ids[c + suffix] for c in characters])
+
+    def _words(self, raw: list[bytes]) -> list[bytes]:
+        """Packed ids of lower-case words of simple letters alone, which the pattern keeps whole: merged together."""
+        pairs, inside, last = self._letters
+        bounds = np.cumsum([0, *map(len, raw)])
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        symbols = inside[data]
+        symbols[bounds[1:] - 1] = last[data[bounds[1:] - 1]]
+        ids, ends = merge_words(symbols, bounds, pairs)
+        packed, cuts = ids.astype(self.dtype).tobytes(), (ends * self.dtype.itemsize).tolist()
+        return [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
     def _new(self, parts: list[bytes]) -> dict[bytes, bytes]:
         """Packed ids of distinct parts: many are encoded at once, parted by a special token, which the library
-        cuts out before anything else.  Parts that hold its text go alone; simple parts skip the normalizer."""
+        cuts out before anything else.  Parts that hold its text go alone; simple parts skip the normalizer, and words of
+        simple letters are merged here."""
         out: dict[bytes, bytes] = {}
         groups: tuple[list, list] = ([], [])
+        words: list[tuple[bytes, bytes]] = []
         for part in parts:
+            if part.isalpha() and self._letters is not None:  # letters of ASCII alone
+                words.append((part, part.lower()))
+                continue
             text = part.decode("utf-8")
-            if self.separator is None or b"<|" in part:
+            if self._letters is not None and text.isalpha() and _SIMPLE(text):
+                words.append((part, text.lower().encode()))
+            elif self.separator is None or b"<|" in part:
                 out[part] = np.array(self._ids(self.tokenizer, text), dtype=self.dtype).tobytes()
             else:
                 groups[self.plain is not None and _SIMPLE(text) is not None].append((part, text))
+        if words:
+            out.update(zip([p for p, _ in words], self._words([t for _, t in words])))
         for tokenizer, group, change in ((self.tokenizer, groups[0], str), (self.plain, groups[1], str.lower)):
             for at in range(0, len(group), JOINED_PARTS):
                 some = group[at:at + JOINED_PARTS]
@@ -121,7 +156,10 @@ class WordEncoder:
         at = np.flatnonzero(_part_starts(data))
         parts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(joined)])
         coded = parts.dictionary_encode()
-        distinct = [p[:-1] if p[-1] in b" \n" else p for p in coded.dictionary.to_pylist()]
+        offsets = np.frombuffer(coded.dictionary.buffers()[1], dtype=np.int32)[:len(coded.dictionary) + 1]
+        raw = coded.dictionary.buffers()[2].to_pybytes()
+        stops = offsets[1:] - _BLANK[np.frombuffer(raw, dtype=np.uint8)[offsets[1:] - 1]]
+        distinct = [raw[a:b] for a, b in zip(offsets.tolist(), stops.tolist())]
         new = list({p for p in distinct if p not in self.known})
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known = {b"": b""}
