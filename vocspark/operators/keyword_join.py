@@ -99,7 +99,10 @@ def keyword_pairs(docs: DataFrame, key: str, text: Column | str, keywords: DataF
         found = F.flatten(F.array(*map(of_size, sizes)))
         return _pieces(texts, gram).select("key", F.explode(found).alias("o")).select("key", "o.*")
 
-    held = offered(_passes(filed)).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    test = _passes(filed)
+    # how often a gram occurs; the overlaps of pieces count twice, which only the order of the grams could notice
+    seen = F.flatten(F.array(*[F.filter(_runs(F.col("piece"), f".{{{s}}}"), test) for s in sizes]))
+    held = _pieces(texts, gram).select(F.explode(seen).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = filed.join(held, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
     at = F.instr(F.col("word"), F.col("gram"))
     before, after = F.substring("word", F.lit(1), at - 1), F.substring("word", at + F.length("gram"), F.length("word"))
