@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -113,6 +114,30 @@ def test_licence_expressions(text, names, value):
     assert license_scan.expression(text)[1] == pytest.approx(value)
 
 
+def test_long_licence_expressions():
+    names = [f"name-{i}" for i in range(100_000)]
+    begin = time.process_time()
+    got = license_scan.expression(" or ".join(names) + " and")
+    assert got == (sorted(names), 0.5)
+    assert license_scan.expression("(" * 50_000 + "MIT" + ") and gpl" * 50_000) == (["gpl", "mit"], 0.3)
+    assert license_scan.expression("a" + " with b" * 50_000) == (["a", "a-with-b"], 0.75)
+    assert license_scan.expression("(" * 100_000 + "MIT") is None
+    assert time.process_time() - begin < 10
+
+
+@pytest.mark.parametrize("text, names, value", [
+    ("GPL-2.0 with x and MIT", ["gpl-2.0", "gpl-2.0-with-x", "mit"], 0.65),
+    ("MIT or GPL-2.0 with x", ["gpl-2.0", "gpl-2.0-with-x", "mit"], 1.0),
+    ("(MIT or GPL-2.0) with x", ["gpl-2.0", "mit"], 1.0),
+    ("MIT with (x or y)", ["mit"], 1.0),
+    ("gpl and (mpl or (mit and agpl))", ["agpl", "gpl", "mit", "mpl"], 0.3),
+    ("mit) or gpl", ["mit"], 1.0),
+    ("mit mit", ["mit"], 1.0),
+])
+def test_exceptions_and_brackets(text, names, value):
+    assert license_scan.expression(text) == (names, pytest.approx(value))
+
+
 def test_no_expression():
     assert license_scan.expression("") is None and license_scan.expression("AND MIT") is None and license_scan.expression(") (") is None
 

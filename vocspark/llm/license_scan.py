@@ -7,8 +7,8 @@ consecutively, overlaps included.
 
 Labels come from phrases, and from ``SPDX-License-Identifier:`` tags whose expression is read from the raw text: names,
 ``with`` exceptions, ``and``, ``or`` and brackets.  Names of the expression become labels; the score is the expression's
-permissiveness: a name's own value, the least of both for ``and``, the most for ``or``, and ``with`` lifts a name half-way to
-1.  Phrases count as names joined by ``and``.  A text without labels has score 0; unknown names count 0.5.
+permissiveness: a name's own value, the least of both for ``and``, the most for ``or``, and ``with``, which takes one name and one
+exception, lifts a name half-way to 1.  Phrases count as names joined by ``and``.  A text without labels has score 0; unknown names count 0.5.
 
 Null texts are empty.  Repeated rows give equal results, extra columns are carried (added names are replaced), empty
 tables give empty results, and texts are read whole.
@@ -72,56 +72,59 @@ def value_of(name: str) -> float:
     return UNKNOWN
 
 
+def _complete_tokens(text: str) -> list[str]:
+    """Tokens of the longest complete expression at the start of ``text``; reading stops before the first token that cannot follow."""
+    tokens, complete, depth, want_name, at = [], 0, 0, True, 0
+    while m := _TOKEN.match(text, at):
+        word = m[1].lower()
+        after_with = bool(tokens) and tokens[-1] == "with"
+        if (word in _BINDS or word == ")") == want_name or (word == "(" and after_with) or (word == ")" and not depth):
+            break
+        if word == "with" and (tokens[-1] == ")" or tokens[-2:-1] == ["with"]):  # only a plain name takes an exception, and only one
+            break
+        depth += (word == "(") - (word == ")")
+        want_name = word in _BINDS or word == "("
+        tokens.append(word)
+        at = m.end()
+        if not want_name and not depth:
+            complete = len(tokens)
+    return tokens[:complete]
+
+
 def expression(text: str) -> tuple[list[str], float] | None:
     """Names and value of the longest expression at the start of ``text``; None if there is none.
 
-    Shunting-yard: operands and waiting operators on two stacks; reading stops before the first token that cannot follow.
+    Shunting-yard over values: operands and waiting operators on two stacks.  Every token is pushed and taken off once, so the work grows with
+    the text alone.  An exception belongs to one plain name; the names of an expression are those of all its parts.
     """
-    operands: list[tuple[frozenset, float]] = []
+    names: set[str] = set()
+    values: list[float] = []
     waiting: list[str] = []
-    best, want_name, at = None, True, 0
 
-    def apply(ops, stack):
-        op = ops.pop()
-        right, left = stack.pop(), stack.pop()
-        if op == "with":
-            stack.append((left[0] | {f"{n}-with-{e}" for n in left[0] for e in right[0]}, left[1] + (1 - left[1]) / 2))
-        else:
-            stack.append((left[0] | right[0], (min if op == "and" else max)(left[1], right[1])))
-
-    while True:
-        m = _TOKEN.match(text, at)
-        word = m and m[1].lower()
-        if not m or (word in _BINDS or word == ")") == want_name:
-            break
-        if word == "(":
-            waiting.append(word)
-        elif word == ")":
-            if "(" not in waiting:
-                break
-            while waiting[-1] != "(":
-                apply(waiting, operands)
+    def apply_while(binds: int):
+        while waiting and waiting[-1] != "(" and _BINDS[waiting[-1]] >= binds:
+            op, right, left = waiting.pop(), values.pop(), values.pop()
+            values.append(left + (1 - left) / 2 if op == "with" else (min if op == "and" else max)(left, right))
+
+    before = ""
+    for token in _complete_tokens(text):
+        if token == "(":
+            waiting.append(token)
+        elif token == ")":
+            apply_while(0)
             waiting.pop()
-        elif word in _BINDS:
-            while waiting and waiting[-1] != "(" and _BINDS[waiting[-1]] >= _BINDS[word]:
-                apply(waiting, operands)
-            waiting.append(word)
-            want_name = True
+        elif token in _BINDS:
+            apply_while(_BINDS[token])
+            waiting.append(token)
+        elif waiting and waiting[-1] == "with":
+            names.add(f"{before}-with-{token}")
+            values.append(UNKNOWN)
         else:
-            if not want_name:  # two names in a row: the expression is over
-                break
-            if "(" not in waiting and waiting and waiting[-1] == "with":
-                operands.append((frozenset([word]), UNKNOWN))
-            else:
-                operands.append((frozenset([word]), value_of(word)))
-            want_name = False
-        at = m.end()
-        if not want_name and "(" not in waiting:
-            ops, stack = list(waiting), list(operands)
-            while ops:
-                apply(ops, stack)
-            best = sorted(stack[-1][0]), stack[-1][1]
-    return best
+            names.add(token)
+            values.append(value_of(token))
+            before = token
+    apply_while(0)
+    return (sorted(names), values[0]) if values else None
 
 
 @lru_cache(maxsize=1)
