@@ -83,16 +83,20 @@ def test_work_items(spark):
     assert made["2"]["title"] == "[ADO-2] Two" and made["2"]["feedback"] == "Two\n\nseen" and made["3"]["feedback"] == "No Title"
 
 
-PAGE = """<html><div class="search-item x"><h2 class="subject"><a href="/t/1">Slow &amp; <b>sad</b></a></h2><span class=byline><a>Ann</a></span>
-<div class="post-date"><span class="local-date">&lrm;03-04-2024</span> <span class="local-time">05:06 PM</span></div>
-<div class="body">Some <i>text</i>\n here<br>more</div><div class="labels"><a>L1</a><a>L2</a></div></div>
-<div class="search-item"><h2 class="subject"><a>no link</a></h2></div>
-<div class="search-item"><h2 class="subject"><a href="https://else/2">Only title</a></h2><div class="body"> </div></div>"""
+PAGE = """<html><section class="entry x"><h3 class="head"><a href="/t/1">Slow &amp; <b>sad</b></a></h3><i class=who>Ann</i>
+<div class="when"><time class="d">&lrm;03-04-2024</time> <time class="t">05:06 PM</time></div>
+<p class="text">Some <i>text</i>\n here<br>more</p><ul><li>L1</li><li>L2</li></ul></section>
+<section class="entry"><h3 class="head"><a>no link</a></h3></section>
+<section class="entry"><h3 class="head"><a href="https://else/2">Only title</a></h3><p class="text"> </p></section>"""
+LAYOUT = forum_html.PageSpec(block="section.entry", title="h3.head a", body="p.text", author="i.who", date="div.when time.d",
+                             time="div.when time.t", label="ul li")
 
 
 def test_forum_pages(spark):
     pages = spark.createDataFrame([(1, PAGE), (2, None), (3, "<p>")], "page_num int, html string")
-    blocks = forum_html.extract_blocks(pages, "page_num")
+    bare = forum_html.extract_blocks(pages, "page_num", forum_html.PageSpec("section", "h3 a", "p")).first()
+    assert (bare["title"], bare["author"], bare["date_text"], list(bare["labels"])) == ("Slow &sad", None, None, [])
+    blocks = forum_html.extract_blocks(pages, "page_num", LAYOUT)
     assert blocks.count() == 3
     rows = forum_html.forum_feedback(blocks, ["sad"], now(), "https://forum/x").orderBy("url").collect()
     got = [(r["feedback"], r["url"], r["customer"], r["tag"], r["created"]) for r in rows]

@@ -10,6 +10,7 @@ from bindings.fixture import GIST
 from tests import plain
 from vocspark.functions import actor, common, dates, gist, ids, sentiment, text
 from vocspark.sources.tables import read_table
+from vocspark.taxonomy import default_taxonomy
 
 DATA = "/root/testdata/sf0.001"
 NOISE = [
@@ -108,6 +109,15 @@ def test_gists(spark):
     assert [(v, g) for (v, w), g in zip(GISTS, got, strict=True) if g != w] == []
 
 
+def test_gist_vocabulary_comes_from_the_caller(spark):
+    text = "We are glad. Everything about the login page waits for ages today, we think. x"
+    assert column(spark, [text], gist.gist)[0].startswith("glad. Everything login page")  # no topics: leading words
+    profile = gist.GistProfile.of_taxonomy(default_taxonomy())
+    assert column(spark, [text], lambda c: gist.gist(c, profile)) == ["Everything about the login page waits for ages today, we think"]
+    only_terms = gist.GistProfile({"pages": ("page",)})
+    assert column(spark, ["I am on page one"], lambda c: gist.gist(c, only_terms)) == ["page one"]
+
+
 def test_gists_of_documents_are_short_and_from_the_text(spark):
     docs = [r["text"] for r in read_table(spark, DATA, "documents").collect()]
     for value, got in zip(docs, column(spark, docs, lambda c: gist.gist(c, GIST)), strict=True):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vocspark.functions.common import NON_WORD, SPACE, col, let, strip_space, truncate
 from vocspark.functions.text import title_case
-from vocspark.taxonomy import constant, literal_strings
+from vocspark.taxonomy import Taxonomy, constant, literal_strings
 
 # Openings that rule out a title, openings that cost points, filler words, limits.
 NO_TITLE_OPENINGS = ["hey", "hi", "hello", "i ", "we ", "the ", "a ", "an "]
@@ -28,23 +28,18 @@ MIN_SENTENCE, MAX_WORDS = 10, 12
 
 @dataclass(frozen=True)
 class GistProfile:
-    """Vocabulary of the gist: topic groups in order, bonus terms, and ordered lists of key terms."""
-
-    groups: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: {
-        "add-ons": ("plugin", "add-on", "widget"),
-        "coding": ("library", "compile", "script"),
-        "figures": ("chart", "spreadsheet", "printout"),
-        "exchange": ("upload", "sync", "webhook"),
-        "waiting": ("slow", "hangs", "lag"),
-        "sign-in": ("password", "login", "two-factor"),
-        "looks": ("button", "font", "dark mode"),
-        "faults": ("crash", "freeze", "stack trace"),
-    })
-    bonus_terms: tuple[str, ...] = ("backup", "server", "mobile", "offline")
-    key_terms: tuple[tuple[str, ...], ...] = (
-        ("plugin", "widget", "chart", "webhook"),
-        ("library", "login", "upload", "crash"),
-    )
+    """Vocabulary of the gist: topic groups in order, bonus terms, and ordered lists of key terms; all empty unless given."""
+
+    groups: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    bonus_terms: tuple[str, ...] = ()
+    key_terms: tuple[tuple[str, ...], ...] = ()
+
+    @classmethod
+    def of_taxonomy(cls, taxonomy: Taxonomy) -> GistProfile:
+        """The domains as topics; the key terms are the keywords of the categories, in their order."""
+        keywords = dict.fromkeys(k.lower() for s in taxonomy.subcategories for k in s.keywords)
+        return cls({g.name.lower(): tuple(k.lower() for k in g.keywords) for g in taxonomy.domains},
+                   tuple(k.lower() for k in taxonomy.tracked_keywords), (tuple(keywords),) if keywords else ())
 
 
 def _starts_with_any(c: Column, prefixes) -> Column:
@@ -56,7 +51,7 @@ def gist(text: Column | str, profile: GistProfile | None = None, max_length: int
     profile = profile or GistProfile()
     raw = col(text)
     body = let(strip_space(raw), lambda t: F.when(t == "", F.lit("Empty feedback")).otherwise(F.coalesce(
-        _title(t, max_length), _from_topics(t, profile, max_length), _leading_words(t, max_length),
+        _title(t, max_length), *([_from_topics(t, profile, max_length)] if profile.groups else []), _leading_words(t, max_length),
         truncate(t, max_length, max_length - 3))))
     return F.when(raw.isNull() | (raw == ""), F.lit("No content")).otherwise(body)
 
@@ -100,6 +95,8 @@ def _best_sentence(t: Column, topics: Column, profile: GistProfile, max_length:
 
 
 def _key_term_title(lower: Column, topics: Column, profile: GistProfile, max_length: int) -> Column:
+    if not profile.key_terms:
+        return F.lit(None).cast("string")
     edge = "[\\p{L}\\p{N}_]"
     found = F.concat(*[F.regexp_extract_all(
         lower, F.lit(f"(?<!{edge})({'|'.join(map(re.escape, terms))})(?!{edge})"), F.lit(1))

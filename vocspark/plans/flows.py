@@ -29,7 +29,7 @@ def enrich(records: DataFrame, tax: Taxonomy, now: Column, lexicon: Lexicon = DE
     """Collected records → complete feedback rows, in one narrow stage.
 
     An impact type set by the source stays, because sources know labels the text does not show.
-    Sources whose title is no opinion name the text to judge in ``sentiment_text``.
+    Sources whose title is no opinion name the text to judge in ``sentiment_text``.  Without ``profile`` the domains are the topics of the gist.
     """
     had_impact = "impact_type" in records.columns
     rows = records.withColumnRenamed("impact_type", "_impact") if had_impact else records
@@ -38,7 +38,7 @@ def enrich(records: DataFrame, tax: Taxonomy, now: Column, lexicon: Lexicon = DE
         rows = rows.withColumn("impact_type", F.coalesce("_impact", "impact_type")).drop("_impact")
     judged = F.coalesce("sentiment_text", "feedback") if "sentiment_text" in rows.columns else F.col("feedback")
     rows = with_sentiment(rows, judged, lexicon).drop("sentiment_text")
-    rows = rows.withColumn("feedback_gist", gist("feedback", profile))
+    rows = rows.withColumn("feedback_gist", gist("feedback", profile or GistProfile.of_taxonomy(tax)))
     rows = add_missing_columns(rows, FEEDBACK_SCHEMA)
     content = "content" if "content" in rows.columns else "feedback"
     rows = rows.withColumns({
