@@ -14,6 +14,7 @@ from vocspark.functions.gist import GistProfile, gist
 from vocspark.functions.ids import feedback_id_from_record
 from vocspark.functions.sentiment import DEFAULT_LEXICON, Lexicon, with_sentiment
 from vocspark.operators.dedup import backfill_keywords, insert_counters, insert_keys, limit_per_source
+from vocspark.operators.search_index import SearchIndex
 from vocspark.operators.filters import FilterSpec, page, page_summary
 from vocspark.operators.state import initial_states, overlay_states, sync_domains
 from vocspark.operators.stats import facet_options
@@ -59,9 +60,12 @@ class ViewResult:
 
 
 def filtered_view(feedback: DataFrame, spec: FilterSpec, number: int = 1, per_page: int = 50,
-                  sort_by: str = "newest", stored_ids: DataFrame | None = None) -> ViewResult:
-    """Filter, sort and page; the three results are separate lazy plans over one table."""
-    hits = spec.apply(feedback, stored_ids)
+                  sort_by: str = "newest", stored_ids: DataFrame | None = None, index: SearchIndex | None = None) -> ViewResult:
+    """Filter, sort and page; the three results are separate lazy plans over one table.
+
+    ``index`` is a search index of the rows of ``feedback``; with it a search text reads the blocks of its hits only.
+    """
+    hits = spec.apply(index.search(spec.search) if index is not None and spec.search else feedback, stored_ids)
     return ViewResult(page(hits, number, per_page, sort_by), page_summary(hits, number, per_page),
                       facet_options(feedback), spec.applied())
 
