@@ -11,8 +11,9 @@ from vocspark.session import scratch_path
 
 ROWS = "feedback_id string, feedback string, title string, n int"
 LONG = "ab" * 40_000
+AT_EDGE = "y" * (search_index.PIECE - 2) + "😀knot" + "y" * 50
 TEXTS = [None, "", "a", "Slow Export of reports", "slow export", "slow\nexport", "😀 smile 😀😀", "ÀÉ über straße", "'%_\\ odd", LONG,
-         LONG[:search_index.PIECE - 3] + "needle" + LONG, "slow export", "export", "x" * 300]
+         AT_EDGE, LONG[:search_index.PIECE - 3] + "needle" + LONG, "slow export", "export", "x" * 300]
 
 
 def table(spark, texts=TEXTS):
@@ -43,7 +44,7 @@ def index(spark):
     return search_index.build_search_index(table(spark), scratch_path(spark, "index"), blocks=8)
 
 
-@pytest.mark.parametrize("text", ["slow export", "SLOW EXPORT", "export", "needle", "bneed", "leab", "title 1", "a", "", "😀", "😀 s", "😀😀", "straße", "%_\\",
+@pytest.mark.parametrize("text", ["slow export", "SLOW EXPORT", "export", "needle", "bneed", "knot", "y😀k", "😀kn", "leab", "title 1", "a", "", "😀", "😀 s", "😀😀", "straße", "%_\\",
                                   "no such text", "e\ne", "xxx", "Title 12", "w e"])
 def test_search_finds_what_the_scan_finds(spark, index, text):
     want = sorted(r["n"] for r in table(spark).filter(filters.search(text, ["feedback", "title"])).collect())
