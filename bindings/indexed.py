@@ -30,5 +30,5 @@ def deep_page(spark, folder):
 @query("deep_page_newest", f"""WITH {FEEDBACK_SQL} SELECT doc_id, created FROM fb ORDER BY created DESC, feedback_id LIMIT 20 OFFSET 600""")
 def deep_page_newest(spark, folder):
     """Page 31 of all documents, newest first."""
-    pages = paged_table.write_pages(feedback(spark, folder).select("doc_id", "feedback_id", "created"), scratch_path(spark, "pages"), range_rows=128)
+    pages = paged_table.write_pages(feedback(spark, folder).select("doc_id", "feedback_id", "created"), scratch_path(spark, "pages"), range_rows=4096)
     return pages.page(31, 20).select("doc_id", "created")
