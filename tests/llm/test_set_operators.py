@@ -283,6 +283,46 @@ def test_weights_do_not_depend_on_how_often_all_texts_are_repeated():
     assert np.abs(got[0][0] - context_mixing.start_weights()).max() > 1e-3
 
 
+def test_context_mixing_reads_over_words_and_adapts(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(300):  # words that end in x are followed by words that begin with qu
+        words = [str(w) for _ in range(10) for w in (lambda a: (f"a{a}x", f"qu{a}") if a % 2 else (f"b{a}y", f"zo{a}"))(int(rng.integers(0, 40)))]
+        rows.append((i, " ".join(words)))
+    held_out = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1]
+    probes = list(zip(held_out, ["a1x qu3 b2y zo4", "a1x zo4 b2y qu3", "newword1 newword1 newword1 newword1", "newword1", None]))
+    right, shuffled, four, one, none = held_out[:5]
+    df = docs(spark, rows + probes)
+    got = {r.doc_id: r for r in context_mixing.score_documents(df, part_bytes=300).collect()}
+    assert got[right].base_score == pytest.approx(got[shuffled].base_score) and got[right].score > got[shuffled].score + 1
+    assert got[four].score > 4 * got[one].score + 1
+    assert got[none].bits_per_byte == pytest.approx(-got[none].score / math.log10(2))
+    spelled = sum(len(w) + 1 for w in probes[0][1].split()) + 1
+    assert got[right].bits_per_byte == pytest.approx(-got[right].score / math.log10(2) / spelled)
+    for tasks in (1, 8):
+        again = {r.doc_id: r.score for r in context_mixing.score_documents(df.repartition(tasks), part_bytes=300).collect()}
+        assert again == pytest.approx({k: r.score for k, r in got.items()}, rel=1e-9)
+
+
+def test_border_probabilities_add_up():
+    rng = np.random.default_rng(4)
+    grams = np.unique(rng.integers(97, 103, 60) << 16 | rng.integers(97, 103, 60) << 8 | rng.integers(97, 110, 60))
+    border = context_mixing.Border(grams, rng.integers(1, 50, len(grams)).astype(float))
+    for left in (grams[0] >> 8, 0x2020):
+        assert (10 ** border.lookup((left << 8) + np.arange(256))).sum() == pytest.approx(1.0)
+    assert 10 ** border.lookup(grams[:1])[0] > 0.01
+
+
+def test_text_so_far_and_its_odds():
+    hashes = np.array([5, 7, 5, 5, 9, 5, 9, 7])
+    before, same = context_mixing.text_so_far(hashes, np.array([0, 5, 8]))
+    assert before.tolist() == [0, 1, 2, 3, 4, 0, 1, 2] and same.tolist() == [0, 0, 1, 2, 0, 0, 0, 0]
+    histogram = np.zeros((context_mixing.TEXT_GATES, context_mixing.CELLS))
+    histogram[3, [0, context_mixing.CELL_ZERO + 40]] = 700, 300  # never there, and 10**5 times likelier by the text so far
+    odds = context_mixing.text_odds(histogram.ravel())
+    assert odds[3] == pytest.approx(300 / 701, rel=1e-2) and odds[2] == 0
+
+
 def test_pipeline_stages_take_effect(spark):
     folder = "/root/testdata/sf0.001"
     given = spark.read.parquet(f"{folder}/documents.parquet")

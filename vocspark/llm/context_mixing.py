@@ -12,11 +12,19 @@ feed, so that spellings are prefix-free and the bit probabilities multiply to a
 * Mixing: a gate, chosen by how much the two longest contexts have seen, has a weight for each stretched
   prediction.  Weights are learned online over all training words with all their copies, with the word at hand taken
   out of the counts once.  A word with more copies than a step's share of its part has them spread over the part's steps.
-  Every task learns on its share, and the tasks' weights are averaged by the words they saw.
+  Parts are learned from in groups fixed by their number, and the groups' weights are averaged by the words they saw, so that
+  nothing depends on the number of tasks.
 * Refining: an adaptive table by gate and mixed prediction, counted in the same pass, is averaged with the mix.
+* Borders: contexts run on over the blank.  The first byte of a word is predicted from its place and from the last one and two
+  bytes of the word before, the second from its place, the first, and the first with the last byte of the word before: the
+  contexts of up to three bytes of a running text.  Their exact counts are two tables of at most 2**24 grams; weights by gate are fitted
+  to all of them, each gram taken out of its counts once.
+* Text so far: a word's probability is mixed with its share among the tokens before it in the same text.  The odds of that share depend on
+  how many tokens stand before, and are fitted to all training tokens (by a histogram of both predictions' ratio).
 
-A word's score depends on the word alone, so each distinct word is scored once.  Documents add up their words: the
-``frequent`` most frequent training words (a bounded dictionary) inside the scan, the rest by a join on the word's hash.
+From its third byte on a word's spelling depends on the word alone, so each distinct word is spelled once.  One scan of the documents finds the
+``frequent`` most frequent training words (a bounded dictionary), the rest meet their scores by a join on the word's hash.  ``bits_per_byte`` counts a
+blank for each word and one byte for the end.
 
 Training texts are those with crc32(doc_id as text) mod 5 other than 1; rows without an id are held out of training and count as not held out.
 Null texts are empty and have the end alone.  Repeated rows count and score as often as they stand there.  Without training texts
@@ -60,11 +68,26 @@ DELTA = 0.4
 RATE = 0.1
 BATCH_WORDS = 20_000
 STEP_WORDS = 2000
+# Parts that one group of the learning takes.
+GROUP_PARTS = 16
+# Bytes of a word that are predicted over the border; contexts of each.
+BORDER_BYTES = 2
+BORDER_CONTEXTS = 3
+BORDER_ROUNDS = 12
+# Partial border counts that a task holds before it adds them up.
+HELD_BORDERS = 1 << 21
+# Text so far: gates by the tokens before, and cells of the logarithm of the two predictions' ratio.
+TEXT_GATES = 16
+CELLS, CELLS_A_UNIT, CELL_ZERO = 256, 8, 64
+TEXT_ROUNDS = 200
+SEEN = np.dtype([("gate", "u1"), ("ratio", "<f4")])
 # Curvature for each unit of load that a gate starts from, and that is added to it.
 CURVE_START = 5e-3
 CURVE_FLOOR = 5e-6
 END = b"\n"
 END_HASH = int(mix64(np.array([0x0E0D], dtype=np.uint64)).view(np.int64)[0])
+# First bytes of the end, and last bytes of what stands before a text.
+END_BYTES = 10 << 8 | 10
 _SALT = mix64(np.arange(1001, 1001 + CONTEXTS, dtype=np.uint64))
 _NODE = mix64(np.arange(2001, 2001 + 256, dtype=np.uint64))
 
@@ -187,6 +210,11 @@ def log10_scores(words: list[bytes], model: "Tables") -> np.ndarray:
 
 def spelled_scores(data: np.ndarray, starts: np.ndarray, counts, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
     """log10 probability of every spelling; ``counts`` gives zeros and ones of a bit position."""
+    return np.add.reduceat(byte_scores(data, counts, weights, refined), starts[:-1]) if len(data) else np.zeros(0)
+
+
+def byte_scores(data: np.ndarray, counts, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
+    """log10 probability of every byte."""
     total = np.zeros(len(data))
     for place, (_, bit) in enumerate(bits(data)):
         inputs, gates = _predictions(*counts(place), None)
@@ -195,7 +223,7 @@ def spelled_scores(data: np.ndarray, starts: np.ndarray, counts, weights: np.nda
         mixed = 1.0 / (1.0 + np.exp(-x))
         p = (3 * mixed + (cell[:, 1] + mixed * 20) / (cell.sum(axis=1) + 20)) / 4
         total += np.log10(np.where(bit == 1, p, 1.0 - p))
-    return np.add.reduceat(total, starts[:-1]) if len(data) else total
+    return total
 
 
 class Tables:
@@ -420,11 +448,11 @@ def deal(words: DataFrame, between: list[bytes]) -> DataFrame:
         spelled = [w + b" " if w else END for w in some]
         order = sorted(range(len(some)), key=spelled.__getitem__)
         tok, c = (rows.column(x).to_numpy()[order] for x in ("tok", "c"))
-        return pa.table({"toks": pa.array([tok], pa.list_(pa.int64())), "copies": pa.array([c], pa.list_(pa.int64())),
+        return pa.table({"part": rows.column("part")[:1].combine_chunks(), "toks": pa.array([tok], pa.list_(pa.int64())), "copies": pa.array([c], pa.list_(pa.int64())),
                          "data": pa.array([b"".join(spelled[i] for i in order)], pa.binary())})
 
     numbered = with_column_batches(words, ["tok", "word", "c"], "part int, tok bigint, word binary, c bigint", number)
-    return materialise(numbered.groupBy("part").applyInArrow(spell, "toks array<bigint>, copies array<bigint>, data binary"), "lm-parts")
+    return materialise(numbered.groupBy("part").applyInArrow(spell, "part int, toks array<bigint>, copies array<bigint>, data binary"), "lm-parts")
 
 
 def _parts(batches):
@@ -478,45 +506,64 @@ def count_grams(parts: DataFrame, heads: np.ndarray, folder: str) -> Grams:
 
 
 def fit(parts: DataFrame, heads: np.ndarray, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
-    """Mixing weights and refining table, learned online by every task on its share of the parts."""
+    """Mixing weights and refining table, learned online by every group of parts and averaged."""
+    groups = max(1, -(-parts.count() // GROUP_PARTS))
+
     def learn(batches):
-        weights, seen = start_weights(), 0
-        refined = np.zeros((GATES, BUCKETS, 2))
-        mass, curve, usual = 0.0, np.full(weights.shape, CURVE_START), 0.0
-        for toks, copies, text in _parts(batches):
-            known = np.flatnonzero(copies)
-            if not len(known):
+        group, state = None, None
+        for batch in batches:
+            for number, (toks, copies, text) in zip(batch.column("group").to_pylist(), _parts([batch])):
+                if number != group:
+                    yield from learned(state)
+                    group = number
+                    state = {"weights": start_weights(), "refined": np.zeros((GATES, BUCKETS, 2)), "curve": np.full(start_weights().shape, CURVE_START),
+                             "mass": 0.0, "seen": 0, "usual": 0.0}
+                learn_part(state, toks, copies, text)
+        yield from learned(state)
+
+    def learn_part(state, toks, copies, text):
+        known = np.flatnonzero(copies)
+        if not len(known):
+            return
+        part = Part(text, copies, heads, grams)
+        known = known[np.argsort(toks[known])]  # by hash, so that a step sees words of the whole part
+        for some, loads in steps(copies, known):
+            first = part.starts[some] + BORDER_BYTES
+            sizes = np.maximum(part.starts[some + 1] - first, 0)
+            if not sizes.any():
                 continue
-            part = Part(text, copies, heads, grams)
-            known = known[np.argsort(toks[known])]  # by hash, so that a step sees words of the whole part
-            for some, loads in steps(copies, known):
-                sizes = part.starts[some + 1] - part.starts[some]
-                at = np.repeat(part.starts[some] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                load = np.repeat(loads, sizes)
-                usual += (load.sum() - usual) / (seen + 1)
-                train(part.data[at], part.lookup(at), load, weights, refined, curve, seen, usual)
-                seen += 1
-            mass += float(copies.sum())
-        if mass:
-            yield pa.RecordBatch.from_arrays([pa.array([mass]), pa.array([weights.tobytes()], pa.binary()), pa.array([refined.tobytes()], pa.binary())],
-                                             names=["mass", "weights", "refined"])
-
-    # Three sums of fixed size, however many tasks there are.
-    rows = with_column_batches(parts, ["toks", "copies", "data"], "mass double, weights binary, refined binary", learn).toLocalIterator()
-    mass, weights, refined = 0.0, np.zeros_like(start_weights()), np.zeros((GATES, BUCKETS, 2))
-    for r in rows:
-        mass += r["mass"]
-        weights += np.frombuffer(r["weights"]).reshape(weights.shape) * r["mass"]
-        refined += np.frombuffer(r["refined"]).reshape(refined.shape)
-    return (weights / mass if mass else start_weights()), refined
+            at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            load = np.repeat(loads, sizes)
+            state["usual"] += (load.sum() - state["usual"]) / (state["seen"] + 1)
+            train(part.data[at], part.lookup(at), load, state["weights"], state["refined"], state["curve"], state["seen"], state["usual"])
+            state["seen"] += 1
+        state["mass"] += float(copies.sum())
+
+    def learned(state):
+        if state and state["mass"]:
+            values = np.concatenate(([state["mass"]], state["weights"].ravel() * state["mass"], state["refined"].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["at", "value"])
+
+    grouped = parts.withColumn("group", F.col("part") % groups)
+    dealt = grouped.repartition(groups, "group").sortWithinPartitions("group", "part")
+    values = with_column_batches(dealt, ["toks", "copies", "data", "group"], "at int, value double", learn)
+    # Sums of fixed size, however many groups there are.
+    sums = {r["at"]: r["value"] for r in values.groupBy("at").agg(F.sum("value").alias("value")).collect()}
+    weights = start_weights()
+    if not sums:
+        return weights, np.zeros((GATES, BUCKETS, 2))
+    flat = np.array([sums[i] for i in range(len(sums))])
+    return flat[1:1 + weights.size].reshape(weights.shape) / flat[0], flat[1 + weights.size:].reshape(GATES, BUCKETS, 2)
 
 
 def score_words(parts: DataFrame, heads: np.ndarray, grams: Grams, weights: np.ndarray, refined: np.ndarray) -> DataFrame:
-    """(tok, c, lm): the log10 score of every distinct word."""
+    """(tok, c, lm): the log10 score of every distinct word behind its first two bytes."""
     def task(batches):
         for toks, copies, text in _parts(batches):
             part = Part(text, copies, heads, grams)
-            lm = spelled_scores(part.data, part.starts, part.lookup(), weights, refined)
+            sizes = np.diff(part.starts)
+            at = np.flatnonzero(np.arange(len(part.data)) - np.repeat(part.starts[:-1], sizes) >= BORDER_BYTES)
+            lm = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[at], byte_scores(part.data[at], part.lookup(at), weights, refined), len(sizes))
             for at in range(0, len(toks), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[at:at + 50_000]) for x in (toks, copies, lm)], names=["tok", "c", "lm"])
 
@@ -553,16 +600,228 @@ def save_frequent(scored: DataFrame, frequent: int, folder: str) -> str:
     return _saved(with_column_batches(top.coalesce(1), ["tok", "c", "lm"], "place string", save))
 
 
-def _documents(texts: list[bytes]):
-    """(first text, word hashes with an end for each text, bounds) of pieces of texts."""
-    from vocspark.llm.common import hashed_words
-    for first, hashes, bounds in hashed_words(texts):
-        n = len(bounds) - 1
-        yield first, np.insert(hashes.view(np.int64), bounds[1:], END_HASH), bounds + np.arange(n + 1)
+def tokens(texts: list[bytes]):
+    """(first text, hashes, spelled bytes, border grams, bounds) of pieces of texts; every text has an end behind its words.
+
+    Border grams (bytes x tokens) are the two bytes before and the first byte, and the byte before the blank with the first two bytes.
+    """
+    for first, last in pieces(texts):
+        data = LOWER[np.frombuffer(b"\n".join(texts[first:last]), dtype=np.uint8)]
+        starts, ends = word_spans(data)
+        cuts_ = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts[first:last]])))
+        bounds = np.searchsorted(starts, cuts_)
+        single = ends - starts == 1
+        wide = data.astype(np.int64)
+        second = np.where(single, 32, wide[np.minimum(starts + 1, len(data) - 1)]) if len(starts) else starts
+        before = np.where(single, 32, wide[np.maximum(ends - 2, 0)]) if len(starts) else starts
+        begin = np.insert(wide[starts] << 8 | second, bounds[1:], END_BYTES)
+        finish = np.insert(before << 8 | wide[ends - 1], bounds[1:], END_BYTES)
+        left = np.concatenate(([END_BYTES], finish[:-1]))
+        hashes = np.insert(span_hashes(data, starts, ends).view(np.int64), bounds[1:], END_HASH)
+        sizes = np.insert(ends - starts + 1, bounds[1:], 1)
+        yield first, hashes, sizes, np.stack((left << 8 | begin >> 8, (left & 255) << 16 | begin)), bounds + np.arange(last - first + 1)
+
+
+def border_counts(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For both bytes: sorted border grams of the training texts and their counts; at most 2**24 of each."""
+    def added(held):
+        grams, counts = (np.concatenate(x) for x in zip(*held))
+        unique, back = np.unique(grams, return_inverse=True)
+        return unique, np.bincount(back, weights=counts, minlength=len(unique)).astype(np.int64)
+
+    def task(batches):
+        held, size = [], 0
+        for batch in batches:
+            texts = [t for t, use in zip(text_bytes(batch.column("text")), batch.column("training").to_pylist()) if use]
+            for _, hashes, _, grams, _ in tokens(texts):
+                some = np.concatenate((grams[0], 1 << 24 | grams[1][hashes != END_HASH])).astype(np.int32)
+                held.append(np.unique(some, return_counts=True))
+                size += len(held[-1][0])
+                if size > HELD_BORDERS:
+                    held = [added(held)]
+                    size = 0
+        if held:
+            grams, counts = added(held)
+            for at in range(0, len(grams), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(grams[at:at + 100_000], pa.int64()), pa.array(counts[at:at + 100_000])], names=["gram", "n"])
+
+    counted = with_column_batches(docs, ["text", "training"], "gram bigint, n bigint", task)
+    found = counted.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    grams, counts = (found.column(c).to_numpy() for c in ("gram", "n"))
+    order = np.argsort(grams)
+    grams, counts = grams[order], counts[order].astype(np.float64)
+    cut = np.searchsorted(grams, 1 << 24)
+    return [(grams[:cut], counts[:cut]), (grams[cut:] & 0xFFFFFF, counts[cut:])]
+
+
+class Border:
+    """One byte behind a border, mixed from contexts of no, one and two bytes; ``grams`` are those bytes and the byte itself."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        self.tables = []
+        for k in range(BORDER_CONTEXTS):
+            unique, back = np.unique(grams & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            self.tables.append((unique, np.concatenate(([0.0], np.cumsum(np.bincount(back, weights=counts, minlength=len(unique)))))))
+        self.weights = np.full((GATES, BORDER_CONTEXTS + 1), 0.4)
+        self.weights[:, BORDER_CONTEXTS] = 0.0
+        self.grams = grams
+        if len(grams):
+            self._fit(grams, counts)
+        self.known, self.table = self.scores(grams), None
+
+    def _inputs(self, wanted: np.ndarray, out: bool):
+        """Inputs (bits x contexts + 1), gates and bits of the last byte of each gram, which ``out`` takes out of the counts once."""
+        bit = np.unpackbits((wanted & 255).astype(np.uint8)).reshape(-1, 8)
+        inputs, totals = np.empty((len(wanted), 8, BORDER_CONTEXTS + 1)), []
+        inputs[:, :, BORDER_CONTEXTS] = 0.3
+        for k, (grams, sums) in enumerate(self.tables):
+            zeros, ones = (x.astype(np.float64) for x in path_counts(grams, sums, wanted & ((1 << 8 * (k + 1)) - 1)))
+            if out:
+                zeros, ones = zeros - (bit == 0), ones - (bit == 1)
+            inputs[:, :, k] = np.clip(np.log((ones + DELTA) / (zeros + DELTA)), -12, 12)
+            totals.append(zeros + ones)
+        one, two = (np.minimum(np.log2(t + 1).astype(np.int64) // 2, LEVELS - 1) for t in totals[1:])
+        return inputs.reshape(-1, BORDER_CONTEXTS + 1), (one * LEVELS + two).ravel(), bit.ravel()
+
+    def _fit(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        """Newton steps over all grams with all their copies, drawn a little towards the first weights."""
+        inputs, gates, bit = self._inputs(grams, True)
+        load, start, n = np.repeat(counts, 8), self.weights.copy(), BORDER_CONTEXTS + 1
+        pull = 1e-3 * np.bincount(gates, weights=load, minlength=GATES) + 1e-9
+        for _ in range(BORDER_ROUNDS):
+            p = 1.0 / (1.0 + np.exp(-np.clip((self.weights[gates] * inputs).sum(axis=1), -14, 14)))
+            slope = load * np.maximum(p * (1 - p), 1e-4)
+            grad = np.stack([np.bincount(gates, weights=load * (bit - p) * inputs[:, i], minlength=GATES) for i in range(n)], axis=1)
+            bend = np.empty((GATES, n, n))
+            for i in range(n):
+                for j in range(i, n):
+                    bend[:, i, j] = bend[:, j, i] = np.bincount(gates, weights=slope * inputs[:, i] * inputs[:, j], minlength=GATES)
+            grad -= pull[:, None] * (self.weights - start)
+            bend += pull[:, None, None] * np.eye(n)
+            self.weights += np.clip(np.linalg.solve(bend, grad[:, :, None])[:, :, 0], -1, 1)
+
+    def scores(self, wanted: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each gram behind its others."""
+        if not len(wanted):
+            return np.zeros(0)
+        inputs, gates, bit = self._inputs(wanted, False)
+        x = np.clip((self.weights[gates] * inputs).sum(axis=1), -14, 14)
+        return (-np.log1p(np.exp(np.where(bit == 1, -x, x))) / math.log(10)).reshape(-1, 8).sum(axis=1)
+
+    def lookup(self, wanted: np.ndarray) -> np.ndarray:
+        """``scores`` that takes seen grams from a table over the bytes that occur in each of the three places."""
+        if self.table is None:  # made in the task
+            used = [np.unique(self.grams >> shift & 255) for shift in (16, 8, 0)]
+            self.places = [np.full(256, len(u)) for u in used]
+            for place, u in zip(self.places, used):
+                place[u] = np.arange(len(u))
+            self.table = np.full([len(u) + 1 for u in used], np.nan)
+            self.table[self._cells(self.grams)] = self.known
+        out = self.table[self._cells(wanted)]
+        new = np.isnan(out)
+        rest, back = np.unique(wanted[new], return_inverse=True)
+        out[new] = self.scores(rest)[back]
+        return out
+
+    def _cells(self, grams: np.ndarray) -> tuple[np.ndarray, ...]:
+        return tuple(place[grams >> shift & 255] for place, shift in zip(self.places, (16, 8, 0)))
+
+
+def border_scores(borders: list[Border], grams: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """log10 probability of the first two bytes of each token; the end has one."""
+    return borders[0].lookup(grams[0]) + np.where(hashes == END_HASH, 0.0, borders[1].lookup(grams[1]))
+
+
+def text_so_far(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens before each token in its text, and how many of them are the same."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    mixed = hashes ^ mix64(owner.astype(np.uint64)).view(np.int64)
+    order = np.argsort(mixed, kind="stable")
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = mixed[order][1:] != mixed[order][:-1]
+    starts = np.flatnonzero(new)
+    same = np.empty(len(hashes), dtype=np.int64)
+    same[order] = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
+    return np.arange(len(hashes)) - bounds[owner], same
+
+
+def text_gates(before: np.ndarray) -> np.ndarray:
+    """Gate by the number of tokens before, which is 1 or more."""
+    return np.minimum(np.log2(np.maximum(before, 1)).astype(np.int64), TEXT_GATES - 1)
+
+
+def ratio_cells(gates: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    return gates * CELLS + np.clip(np.rint(ratios * CELLS_A_UNIT) + CELL_ZERO, 1, CELLS - 1).astype(np.int64)
+
+
+def text_odds(histogram: np.ndarray) -> np.ndarray:
+    """Odds of the text so far by gate, most likely for the training tokens (expectation steps); cell 0 are the tokens that stand nowhere before."""
+    share = np.full((TEXT_GATES, 1), 0.1)
+    ratio = 10.0 ** ((np.arange(CELLS) - CELL_ZERO) / CELLS_A_UNIT)
+    ratio[0] = 0.0
+    n = histogram.reshape(TEXT_GATES, CELLS).astype(np.float64)
+    for _ in range(TEXT_ROUNDS):
+        share = (n * share * ratio / (1 - share + share * ratio)).sum(axis=1, keepdims=True) / (n.sum(axis=1, keepdims=True) + 1)
+    return (share / (1 - share))[:, 0]
+
+
+def scan_texts(docs: DataFrame, borders: list[Border], known: str, below: float) -> DataFrame:
+    """One row for each text: sums over its frequent words, its other words, and what the text so far says."""
+    def task(batches):
+        tok, c, lm = _dictionary(known)
+        log_c = np.log10((c + 0.5) / below)
+        out_once = np.log10(np.maximum(c - 1, 0.5) / np.maximum(c, 1))
+        for batch in batches:
+            for first, hashes, sizes, grams, bounds in tokens(text_bytes(batch.column("text"))):
+                keys = {x: batch.column(x).slice(first, len(bounds) - 1) for x in ("doc_id", "held_out", "training", "key")}
+                at = np.minimum(np.searchsorted(tok, hashes), max(len(tok) - 1, 0))
+                inside = tok[at] == hashes if len(tok) else np.zeros(len(hashes), dtype=bool)
+                border = border_scores(borders, grams, hashes)
+                before, same = text_so_far(hashes, bounds)
+                gates = text_gates(before)
+                seen = same > 0
+                share = np.log10(np.maximum(same, 1) / np.maximum(before, 1)) - border
+
+                def sums(values, bounds=bounds):
+                    return np.add.reduceat(values, bounds[:-1])
+
+                def lists(values, rows, kind, bounds=bounds):
+                    ends = np.searchsorted(rows, bounds)
+                    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+                base = np.where(inside, log_c[at], 0.0) if len(c) else np.zeros(len(hashes))
+                model = border + (np.where(inside, lm[at], 0.0) if len(c) else 0.0)
+                again = np.flatnonzero(seen & inside)
+                ratios = share[again] - lm[at[again]] if len(c) else np.zeros(0)
+                pairs = np.empty(len(again), dtype=SEEN)
+                pairs["gate"], pairs["ratio"] = gates[again], ratios
+                raw, ends = pairs.tobytes(), np.searchsorted(again, bounds) * SEEN.itemsize
+                rest = np.flatnonzero(~inside)
+                training = np.repeat(keys["training"].to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
+                fresh = np.flatnonzero(training & ~seen & (before > 0))
+                use = training[again]
+                out = out_once[at[again]] if len(c) else ratios
+                cells = np.concatenate((gates[fresh] * CELLS, ratio_cells(gates[again], ratios - out)[use]))
+                cell, n = np.unique(cells, return_counts=True)
+                # The cells of a piece stand in the row of its first text.
+                first_only = np.concatenate(([0], np.full(len(bounds) - 1, len(cell))))
+                yield pa.RecordBatch.from_arrays(
+                    [keys["doc_id"], keys["held_out"], keys["training"], keys["key"], pa.array(np.diff(bounds)), pa.array(sums(sizes)),
+                     pa.array(sums(inside.astype(np.int64))), pa.array(sums(base)), pa.array(sums(model)),
+                     pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+                     lists(hashes[rest], rest, pa.int64()), lists(np.where(seen, gates, -1)[rest], rest, pa.int32()),
+                     lists(share[rest], rest, pa.float64()),
+                     *[pa.ListArray.from_arrays(pa.array(first_only, pa.int32()), pa.array(x, pa.int64())) for x in (cell, n)]],
+                    names=["doc_id", "held_out", "training", "key", "n_tokens", "n_bytes", "known", "base", "lm", "seen", "toks", "gates", "shares", "cells", "cell_n"])
+
+    return materialise(with_column_batches(
+        docs, ["doc_id", "held_out", "training", "key", "text"],
+        "doc_id bigint, held_out boolean, training boolean, key bigint, n_tokens bigint, n_bytes bigint, known bigint, base double, lm double, seen binary, "
+        "toks array<bigint>, gates array<int>, shares array<double>, cells array<bigint>, cell_n array<bigint>", task), "lm-texts")
 
 
 def score_documents(docs: DataFrame, frequent: int = FREQUENT, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     fold = crc_mod_5()
     docs = docs.select("doc_id", "text", F.coalesce(fold != 1, F.lit(False)).alias("training"),
@@ -570,59 +829,62 @@ def score_documents(docs: DataFrame, frequent: int = FREQUENT, part_bytes: int =
     words = word_counts(docs)
     folder = fresh_folder(spark, "lm")
     between = cuts(words, part_bytes)
-    heads, parts_ = heads_of(between), deal(words, between)
-    grams = count_grams(parts_, heads, folder)
-    scored = score_words(parts_, heads, grams, *fit(parts_, heads, grams))
+    heads, parts = heads_of(between), deal(words, between)
+    grams = count_grams(parts, heads, folder)
+    scored = score_words(parts, heads, grams, *fit(parts, heads, grams))
     total = scored.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
     below = n + 0.5 * (v + 1)
-    known = save_frequent(scored, frequent, folder)
-
-    def parts(batches, columns):
-        tok, c, lm = _dictionary(known)
+    borders = [Border(*x) for x in border_counts(docs)]
+    texts = scan_texts(docs, borders, save_frequent(scored, frequent, folder), below)
+
+    other = F.explode(F.arrays_zip("toks", "gates", "shares")).alias("w")
+    rare = texts.select("key", "training", other).select(
+        "key", "training", F.col("w.toks").alias("tok"), F.col("w.gates").alias("gate"), F.col("w.shares").alias("share"))
+    rare = materialise(rare.join(scored, "tok").select("key", "training", "gate", "c", "lm", (F.col("share") - F.col("lm")).cast("float").alias("ratio")), "lm-rare")
+    # Two histograms of fixed size.
+    left_out = F.log10(F.greatest(F.col("c") - 1, F.lit(0.5)) / F.greatest("c", F.lit(1)))
+    place = F.greatest(F.least(F.rint((F.col("ratio").cast("double") - left_out) * CELLS_A_UNIT) + CELL_ZERO, F.lit(CELLS - 1.0)), F.lit(1.0)).cast("long")
+    counted = rare.where("training and gate >= 0").select((F.col("gate") * CELLS + place).alias("cell"), F.lit(1).cast("long").alias("n")).unionByName(
+        texts.select(F.explode(F.arrays_zip("cells", "cell_n")).alias("h")).select(F.col("h.cells").alias("cell"), F.col("h.cell_n").alias("n")))
+    histogram = np.zeros(TEXT_GATES * CELLS)
+    for r in counted.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        histogram[r["cell"]] = r["n"]
+    odds = text_odds(histogram)
+    # log10 of the odds that a text so far has against the words, and of the share that is left to the words.
+    log_odds, left = np.log10(np.maximum(odds, 1e-300)), -np.log10(1 + odds)
+
+    def with_text(batches):
         for batch in batches:
-            keys = {x: batch.column(x) for x in columns}
-            for first, hashes, bounds in _documents(text_bytes(batch.column("text"))):
-                at = np.minimum(np.searchsorted(tok, hashes), max(len(tok) - 1, 0))
-                inside = tok[at] == hashes if len(tok) else np.zeros(len(hashes), dtype=bool)
-                yield {x: keys[x].slice(first, len(bounds) - 1) for x in columns}, hashes, bounds, at, inside, c, lm
-
-    def frequent_sums(batches):
-        for keys, hashes, bounds, at, inside, c, lm in parts(batches, ("doc_id", "held_out", "key")):
-            def sums(values):
-                return np.add.reduceat(values, bounds[:-1])
-            base = np.where(inside, np.log10((c[at] + 0.5) / below), 0.0) if len(c) else np.zeros(len(hashes))
-            model = np.where(inside, lm[at], 0.0) if len(c) else np.zeros(len(hashes))
-            yield pa.RecordBatch.from_arrays(
-                [keys["doc_id"], keys["held_out"], keys["key"], pa.array(np.diff(bounds)), pa.array(sums(inside.astype(np.int64))),
-                 pa.array(sums(base)), pa.array(sums(model))],
-                names=["doc_id", "held_out", "key", "n_tokens", "known", "base", "lm"])
-
-    def rare_words(batches):
-        for keys, hashes, bounds, at, inside, c, lm in parts(batches, ("key",)):
-            rest = np.flatnonzero(~inside)
-            owner = keys["key"].to_numpy()[np.searchsorted(bounds, rest, side="right") - 1]
-            pair, count = np.unique(np.rec.fromarrays((owner, hashes[rest]), names="key,tok"), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair["key"].copy()), pa.array(pair["tok"].copy()), pa.array(count.astype(np.int32))],
-                                             names=["key", "tok", "n"])
-
-    head = with_column_batches(docs, ["doc_id", "held_out", "key", "text"],
-                               "doc_id bigint, held_out boolean, key bigint, n_tokens bigint, known bigint, base double, lm double", frequent_sums)
-    rare = with_column_batches(docs, ["key", "text"], "key bigint, tok bigint, n int", rare_words)
-    base_of = F.log10((F.col("c") + 0.5) / below)
-    sums = rare.join(scored, "tok").groupBy("key").agg(
-        F.sum(F.col("n") * base_of).alias("base_2"), F.sum(F.col("n") * F.col("lm")).alias("lm_2"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known_2"))
+            counts = batch.column("n_tokens").to_numpy()
+            # A gate holds the tokens before which at least 2**gate tokens stand, and fewer than in the next gate.
+            edges = np.append(2.0 ** np.arange(TEXT_GATES), np.inf)
+            held = np.diff(np.minimum(edges[None], np.maximum(counts[:, None], 1)), axis=1)
+            more = held @ left
+            for i, raw in enumerate(batch.column("seen")):
+                pairs = np.frombuffer(raw.as_py(), dtype=SEEN)
+                more[i] += np.logaddexp(0, (log_odds[pairs["gate"]] + pairs["ratio"]) * math.log(10)).sum() / math.log(10)
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in ("doc_id", "held_out", "key", "n_tokens", "n_bytes", "known", "base")],
+                                              pa.array(batch.column("lm").to_numpy() + more)],
+                                             names=["doc_id", "held_out", "key", "n_tokens", "n_bytes", "known", "base", "lm"])
+
+    head = with_column_batches(texts, ["doc_id", "held_out", "key", "n_tokens", "n_bytes", "known", "base", "lm", "seen"],
+                               "doc_id bigint, held_out boolean, key bigint, n_tokens bigint, n_bytes bigint, known bigint, base double, lm double", with_text)
+    against = F.get(F.array(*map(F.lit, log_odds.tolist())), F.col("gate")) + F.col("ratio").cast("double")
+    gain = F.when(F.col("gate") < 0, 0.0).when(against > 30, against).otherwise(F.log10(1 + F.pow(F.lit(10.0), against)))
+    sums = rare.groupBy("key").agg(
+        F.sum(F.log10((F.col("c") + 0.5) / below)).alias("base_2"), F.sum(F.col("lm") + gain).alias("lm_2"),
+        F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("known_2"))
     # Equal rows share a key, so the sums over rare words hold them all.
-    rows = head.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.first("n_tokens").alias("n_tokens"),
-                                   F.first("known").alias("known"), F.first("base").alias("base"), F.first("lm").alias("lm"), F.count("*").alias("k"))
+    rows = head.groupBy("key").agg(*[F.first(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "lm")], F.count("*").alias("k"))
     out = rows.join(sums, "key", "left")
 
     def both(a, b, kind):
         return (F.col(a) + F.coalesce(F.col(b), F.lit(0)) / F.col("k")).cast(kind)
 
     out = out.select("doc_id", "held_out", "n_tokens", both("known", "known_2", "long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-                     both("base", "base_2", "double").alias("base_score"), both("lm", "lm_2", "double").alias("score"), "k")
+                     both("base", "base_2", "double").alias("base_score"), both("lm", "lm_2", "double").alias("score"), "n_bytes", "k")
+    out = out.withColumn("bits_per_byte", -F.col("score") / math.log10(2) / F.col("n_bytes")).drop("n_bytes")
     return out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("_")).drop("k", "_")
 
 
