@@ -228,3 +228,23 @@ def test_word_ids_equal_the_library():
     got = coder.encode_batch([t.encode() for t in texts])
     for text, ids in zip(texts, got):
         assert np.frombuffer(ids, dtype=coder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)[:80]
+
+
+def test_writing_tasks_keep_no_encoded_parts(spark):
+    from vocspark.llm import token_files
+    frame = spark.createDataFrame([(i, f"some word{i} more") for i in range(3000)], "doc_id bigint, text string")
+    token_files.write_shards(frame, token_files.fresh_folder(spark, "tokens"))
+
+    def held(batches):
+        import pyarrow as pa
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(token_files.encoder(token_files.default_path()).known)])], names=["n"])
+
+    # Workers stay between jobs; a new one holds the empty part alone, as one that has written should.
+    rows = spark.range(0, 64, 1, 8).mapInArrow(held, "n bigint").collect()
+    assert {r.n for r in rows} == {1}
+    coder = token_files.encoder(token_files.default_path())
+    ids = coder.encode_batch([b"Some words, and more."])
+    assert len(coder.known) > 1
+    coder.forget()
+    assert len(coder.known) == 1 and coder.encode_batch([b"Some words, and more."]) == ids

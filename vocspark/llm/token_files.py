@@ -32,7 +32,7 @@ from vocspark.llm.registry import query
 from vocspark.llm.sentence_pieces import text_groups
 
 END_ID = 2
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 CACHED_BYTES = 64
 JOINED_PARTS = 1000
 # Code points below 0180 have no combining marks; all but U+0130 have one lower-case letter each.
@@ -145,6 +145,10 @@ class WordEncoder:
     def _ids(tokenizer, text: str) -> list[int]:
         return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def forget(self) -> None:
+        """Drop the encoded parts, as idle workers stay beside the executor."""
+        self.known = {b"": b""}
+
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of the texts, in the file's width."""
         return [ids for first, last in text_groups(texts) for ids in self._encode_group(texts[first:last])]
@@ -162,7 +166,7 @@ class WordEncoder:
         distinct = [raw[a:b] for a, b in zip(offsets.tolist(), stops.tolist())]
         new = list({p for p in distinct if p not in self.known})
         if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {b"": b""}
+            self.forget()
             new = list({p for p in distinct if p})
         found = self._new(new)
         self.known.update((p, v) for p, v in found.items() if len(p) <= CACHED_BYTES)
@@ -207,6 +211,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end_id:
                 out["idx"].write(ends.astype("<u8").tobytes())
                 out["ids"].write(part.column("doc_id").fill_null(NO_ID).to_numpy().astype("<i8").tobytes())
                 at, documents = int(ends[-1]), documents + part.num_rows
+        coder.forget()
         for file in out.values():
             file.close()
         if out:
