@@ -45,9 +45,10 @@ SELECT doc_id, group_name, hits FROM hs QUALIFY row_number() OVER (PARTITION BY
 def keyword_join_groups(spark, folder):
     """The large list as a taxonomy, a group for each last letter: the group of which a document contains most keywords."""
     keywords = large_keywords(spark, folder)
-    pairs = K.keyword_pairs(feedback(spark, folder).select("doc_id", "feedback"), "doc_id", "feedback", keywords)
     last = F.right("keyword", F.lit(1))
-    best = K.best_groups(pairs, "doc_id", keywords.select("keyword", last.alias("group"), F.ascii(last).alias("ord")))
+    listed, sets = K.numbered_groups(keywords.select("keyword", last.alias("group"), F.ascii(last).alias("ord")))
+    pairs = K.keyword_pairs(feedback(spark, folder).select("doc_id", "feedback"), "doc_id", "feedback", listed, carry="set")
+    best = K.best_groups(pairs, "doc_id", sets)
     return best.withColumnRenamed("group", "group_name")
 
 

@@ -106,3 +106,17 @@ def test_hundred_thousand_entries(spark):
         hits = [(lexicon[w][0] * (-50 if before == "not" else 100), lexicon[w][1]) for before, w in zip(["", *tokens], tokens) if w in lexicon]
         score, subjective = sum(p for p, _ in hits) / (100 * len(hits)), sum(s for _, s in hits) / len(hits)
         assert abs(got[k][0] * 1000 - score) <= 0.5 and abs(got[k][1] * 1000 - subjective) <= 0.5
+
+
+def test_groups_that_pairs_carry(spark):
+    rows = [(1, "alpha beta gamma"), (2, "Beta 😀x delta"), (3, None), (4, "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    groups = spark.createDataFrame(
+        [("Alpha", "a", 0), ("beta", "a", 0), ("beta", "b", 1), ("delta", "b", 1), ("😀x", "c", 2), ("", "c", 2), (None, "c", 2), ("BETA", "b", 1)],
+        'keyword string, `group` string, ord int')
+    plain = K.best_groups(K.keyword_pairs(docs, "doc_id", "text", groups), "doc_id", groups).collect()
+    listed, sets = K.numbered_groups(groups)
+    pairs = K.keyword_pairs(docs, "doc_id", "text", listed, carry="set")
+    best = K.best_groups(pairs, "doc_id", sets)
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, plain)) == [(1, "a", 2), (2, "b", 2)]
+    assert K.keyword_pairs(docs, "doc_id", "text", listed.limit(0), carry="set").columns == ["doc_id", "keyword", "set"]

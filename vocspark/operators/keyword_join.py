@@ -20,7 +20,7 @@ from vocspark.operators.spread_join import SHARE, spread_join
 from vocspark.session import scratch_path
 
 GRAM = 5
-# Code points around a gram that its window holds on either side.
+# Code points around a gram that its window holds on either side, at most; no more than the longest keyword needs.
 AROUND = 16
 # Stands before the start of a text; keywords that hold it are confirmed on the whole text.
 PAD = "\uffff"
@@ -34,21 +34,21 @@ def _runs(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=({pattern}))"), F.lit(1))
 
 
-def _pieces(texts: DataFrame, gram: int) -> DataFrame:
+def _pieces(texts: DataFrame, gram: int, around: int) -> DataFrame:
     """(key, piece): texts cut so that every gram and its surroundings lie whole in the piece in which the gram starts."""
-    padded = F.concat(F.lit(PAD * AROUND), "t")
+    padded = F.concat(F.lit(PAD * around), "t")
     last = F.floor((F.length("t") - 1) / PIECE).cast("int")
     cut = texts.select("key", padded.alias("p"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    return cut.select("key", F.substring("p", F.col("i") * PIECE + 1, F.lit(PIECE - 1 + 2 * AROUND + gram)).alias("piece"))
+    return cut.select("key", F.substring("p", F.col("i") * PIECE + 1, F.lit(PIECE - 1 + 2 * around + gram)).alias("piece"))
 
 
-def _windows(size: int) -> Column:
+def _windows(size: int, around: int) -> Column:
     """Grams of the piece with what stands around them; a gram that starts in the next piece may be offered twice."""
-    return _runs(F.col("piece"), f".{{{AROUND}}}.{{{size}}}.{{0,{AROUND}}}")
+    return _runs(F.col("piece"), f".{{{around}}}.{{{size}}}.{{0,{around}}}")
 
 
-def _gram_of(window: Column, size: int) -> Column:
-    return F.substring(window, AROUND + 1, size)
+def _gram_of(window: Column, size: int, around: int) -> Column:
+    return F.substring(window, around + 1, size)
 
 
 def _place(gram: Column) -> Column:
@@ -73,11 +73,13 @@ def _passes(grams: DataFrame) -> Callable[[Column], Column]:
     return test
 
 
-def keyword_pairs(docs: DataFrame, key: str, text: Column | str, keywords: DataFrame, word: str = "keyword", gram: int = GRAM, share: int = SHARE) -> DataFrame:
+def keyword_pairs(docs: DataFrame, key: str, text: Column | str, keywords: DataFrame, word: str = "keyword", gram: int = GRAM, share: int = SHARE,
+                  carry: str | None = None) -> DataFrame:
     """(key, keyword) for every lower-case keyword contained in the lower-case text, each pair once.
 
     ``key`` must be unique and not null.  Keywords are taken in lower case, equal ones once; null and empty keywords match nothing, as do null texts.
-    ``docs`` is read up to three times and should be a table.
+    ``docs`` is read up to three times and should be a table.  ``carry`` names a column of whole numbers of ``keywords``, one for each keyword in lower case,
+    that the pairs have too, so that they need not meet the keywords again.  The rows of a key come in one partition.
     """
     spark, folder = docs.sparkSession, scratch_path(docs.sparkSession, "keyword-join")
     texts = docs.select(F.col(key).alias("key"), F.lower(col(text)).alias("t")).filter(F.col("t") != "")
@@ -87,51 +89,74 @@ def keyword_pairs(docs: DataFrame, key: str, text: Column | str, keywords: DataF
     # a run that starts inside a surrogate pair is no part of the keyword
     listed.select("word", size.alias("size"), F.explode(F.filter(F.array_distinct(own), lambda g: F.contains("word", g))).alias("gram")).write.parquet(f"{folder}/words")
     filed = spark.read.parquet(f"{folder}/words")
-    sizes = sorted(r["size"] for r in filed.select("size").distinct().collect())
+    longest = {r["size"]: r["longest"] for r in filed.groupBy("size").agg(F.max(F.length("word")).alias("longest")).collect()}
+    sizes, carried = sorted(longest), [] if carry is None else [carry]
     if not sizes:
-        return texts.limit(0).select(F.col("key").alias(key), F.lit("").alias("keyword"))
+        return texts.limit(0).select(F.col("key").alias(key), F.lit("").alias("keyword"), *[F.lit(0).cast("long").alias(c) for c in carried])
+    # one code point more than stands before a gram: a window may start inside a surrogate pair
+    around = min(AROUND, max(n - size for size, n in longest.items()) + 1)
 
     def offered(test) -> DataFrame:
         """(key, gram, window) of the grams that pass."""
         def of_size(s: int) -> Column:
-            return F.transform(F.filter(_windows(s), lambda w: test(_gram_of(w, s))), lambda w: F.struct(_gram_of(w, s).alias("gram"), w.alias("window")))
+            return F.transform(F.filter(_windows(s, around), lambda w: test(_gram_of(w, s, around))), lambda w: F.struct(_gram_of(w, s, around).alias("gram"), w.alias("window")))
 
         found = F.flatten(F.array(*map(of_size, sizes)))
-        return _pieces(texts, gram).select("key", F.explode(found).alias("o")).select("key", "o.*")
+        return _pieces(texts, gram, around).select("key", F.explode(found).alias("o")).select("key", "o.*")
 
     test = _passes(filed)
     # how often a gram occurs; the overlaps of pieces count twice, which only the order of the grams could notice
     seen = F.flatten(F.array(*[F.filter(_runs(F.col("piece"), f".{{{s}}}"), test) for s in sizes]))
-    held = _pieces(texts, gram).select(F.explode(seen).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    held = _pieces(texts, gram, around).select(F.explode(seen).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = filed.join(held, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
     at = F.instr(F.col("word"), F.col("gram"))
     before, after = F.substring("word", F.lit(1), at - 1), F.substring("word", at + F.length("gram"), F.length("word"))
-    # one code point less before the gram: a window may start inside a surrogate pair
-    rarest.filter(F.col("r.n") > 0).select("word", "r.gram", "r.n").select(
-        "word", "gram", "n", F.right(before, F.lit(AROUND - 1)).alias("before"), F.left(after, F.lit(AROUND)).alias("after"),
-        ((F.length(before) >= AROUND) | (F.length(after) > AROUND) | F.contains("word", F.lit(PAD))).alias("beyond")).write.parquet(f"{folder}/rarest")
+    placed = rarest.filter(F.col("r.n") > 0).select("word", "r.gram", "r.n")
+    if carry is not None:
+        placed = placed.join(keywords.select(F.lower(word).alias("word"), carry).filter(F.col("word") != "").distinct(), "word")
+    # one code point less before the gram, as above
+    placed.select(
+        "word", "gram", "n", *carried, F.right(before, F.lit(around - 1)).alias("before"), F.left(after, F.lit(around)).alias("after"),
+        ((F.length(before) >= around) | (F.length(after) > around) | F.contains("word", F.lit(PAD))).alias("beyond")).write.parquet(f"{folder}/rarest")
     chosen = spark.read.parquet(f"{folder}/rarest")
     counts = chosen.groupBy("gram").agg(F.first("n").alias("n"))
     met = spread_join(offered(_passes(chosen)), chosen.drop("n"), "gram", counts, "key", share)
-    left = F.substring("window", 1, AROUND)
-    right = F.substring(F.col("window"), F.lit(AROUND + 1) + F.length("gram"), F.lit(AROUND))
-    near = met.filter(F.endswith(left, F.col("before")) & F.startswith(right, F.col("after"))).groupBy("key", "word").agg(F.first("beyond").alias("beyond"))
+    left = F.substring("window", 1, around)
+    right = F.substring(F.col("window"), F.lit(around + 1) + F.length("gram"), F.lit(around))
+    fitting = met.filter(F.endswith(left, F.col("before")) & F.startswith(right, F.col("after"))).select("key", "word", "beyond", *carried)
+    near = fitting.repartition("key").groupBy("key", "word").agg(*[F.first(c).alias(c) for c in ("beyond", *carried)])
     if chosen.filter("beyond").isEmpty():
         found = near
     else:
         near.write.parquet(f"{folder}/near")
         near = spark.read.parquet(f"{folder}/near")
         whole = texts.join(near.filter("beyond"), "key").filter(F.contains("t", F.col("word")))
-        found = near.filter(~F.col("beyond")).select("key", "word").unionByName(whole.select("key", "word"))
-    return found.select(F.col("key").alias(key), F.col("word").alias("keyword"))
+        found = near.filter(~F.col("beyond")).drop("beyond").unionByName(whole.select("key", "word", *carried))
+    return found.select(F.col("key").alias(key), F.col("word").alias("keyword"), *carried)
+
+
+def numbered_groups(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keyword, set) and (set, groups): a number for every set of groups that keywords are in; ``groups`` as for :func:`best_groups`."""
+    folder = scratch_path(groups.sparkSession, "keyword-groups")
+    listed = groups.select(F.lower("keyword").alias("keyword"), F.struct("group", "ord").alias("g")).filter(F.col("keyword") != "")
+    listed.groupBy("keyword").agg(F.array_sort(F.collect_set("g")).alias("groups")).write.parquet(f"{folder}/listed")
+    by_keyword = groups.sparkSession.read.parquet(f"{folder}/listed")
+    by_keyword.select("groups").distinct().withColumn("set", F.monotonically_increasing_id()).write.parquet(f"{folder}/sets")
+    sets = groups.sparkSession.read.parquet(f"{folder}/sets")
+    return by_keyword.join(sets, "groups").select("keyword", "set"), sets
 
 
 def best_groups(pairs: DataFrame, key: str, groups: DataFrame) -> DataFrame:
     """(key, group, hits): the group with the most keywords in the text, ties by the smaller ``ord``.
 
     ``groups`` has the columns keyword, group and ord; a keyword may be in several groups.  Keys without a keyword have no row.
+    If ``pairs`` carry the numbers of :func:`numbered_groups`, ``groups`` are its sets, and only a key's counts meet them.
     """
-    listed = groups.select(F.lower("keyword").alias("keyword"), "group", "ord").distinct()
-    hits = pairs.join(listed, "keyword").groupBy(key, "group", "ord").agg(F.count(F.lit(1)).alias("hits"))
+    if "set" in pairs.columns:
+        met = pairs.groupBy(key, "set").agg(F.count(F.lit(1)).alias("n")).join(groups, "set").select(key, "n", F.explode("groups").alias("g"))
+        hits = met.groupBy(key, "g.group", "g.ord").agg(F.sum("n").alias("hits"))
+    else:
+        listed = groups.select(F.lower("keyword").alias("keyword"), "group", "ord").distinct()
+        hits = pairs.join(listed, "keyword").groupBy(key, "group", "ord").agg(F.count(F.lit(1)).alias("hits"))
     best = hits.groupBy(key).agg(F.max_by(F.struct("group", "hits"), F.struct("hits", -F.col("ord"))).alias("b"))
     return best.select(key, "b.group", "b.hits")
