@@ -142,6 +142,35 @@ def test_bounds_lose_no_pair(probes, text, threshold):
     assert all(abs(a - b) < 1e-12 for (_, a), (_, b) in zip(got, want, strict=True))
 
 
+@settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(alphabet="abcdé ", min_size=1, max_size=40), min_size=1, max_size=5),
+       st.lists(st.text(alphabet="abcdfé ", min_size=1, max_size=40), min_size=1, max_size=12), st.sampled_from([0.0, 0.4, 0.7]))
+def test_many_texts_score_as_one_by_one(probes, texts, threshold):
+    got = ProbeSet(probes, threshold).matches_of(texts)
+    assert got == [[(i, v) for i, v in ((i, score(p, t)) for i, p in enumerate(probes)) if v >= threshold] for t in texts]
+
+
+def test_long_and_short_texts_score_as_one_by_one():
+    """Windows of every size, texts beyond the byte-sized tables, more characters than are counted apart, and the heuristic."""
+    rng = random.Random(2)
+    wide = [chr(0x4E00 + k) for k in range(150)]
+    texts = [" ".join(rng.choice(VOCABULARY) for _ in range(n)) for n in (1, 4, 9, 20, 36, 37, 45, 60, 90)]
+    texts += ["".join(rng.choice(wide) for _ in range(n)) for n in (40, 120, 255, 256)] + [texts[3], "\U0001F600 a \ud800"]
+    for autojunk in (False, True):
+        got = ProbeSet(texts, 0.2, autojunk).matches_of(texts)
+        for text, found in zip(texts, got, strict=True):
+            assert found == [(i, v) for i, v in ((i, score(p, text, autojunk)) for i, p in enumerate(texts)) if v >= 0.2]
+    before = ProbeSet(texts, 0.2).matches_of(texts, list(range(len(texts))))
+    assert all(i < k for k, found in enumerate(before) for i, _ in found)
+
+
+def test_candidates_are_scored_together(monkeypatch):
+    """The standard library's matcher is left to long texts: short ones never reach it."""
+    monkeypatch.setattr("vocspark.functions.similarity.SequenceMatcher", None)
+    texts = [t for t in sentences(random.Random(4), 60) if t]
+    assert sum(map(len, ProbeSet(texts[:20], 0.4).matches_of(texts))) > 20
+
+
 def test_find_similar(spark):
     texts = sentences(random.Random(3), 40)
     df = spark.createDataFrame([(f"i{n:03d}", t) for n, t in enumerate(texts)], "feedback_id string, feedback string")

@@ -190,8 +190,8 @@ def _matches(nodes: DataFrame, probes: list[tuple[str, str]], threshold: float,
         probe_set = ProbeSet([t for _, t in shared.value], threshold, autojunk)
         place = {name: i for i, name in enumerate(names)} if earlier_only else {}
         for batch in batches:
-            found = [(names[i], node, value) for node, form in zip(batch["node"], batch["form"], strict=True)
-                     for i, value in probe_set.matches(form, place.get(node))]
+            listed = probe_set.matches_of(batch["form"].tolist(), [place.get(node) for node in batch["node"]])
+            found = [(names[i], node, value) for node, pairs in zip(batch["node"], listed, strict=True) for i, value in pairs]
             yield pd.DataFrame(found, columns=["leader_node", "node", "similarity"])
 
     return nodes.select("node", "form").mapInPandas(scan, MEMBER_TYPE)
