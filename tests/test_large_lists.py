@@ -120,3 +120,19 @@ def test_groups_that_pairs_carry(spark):
     best = K.best_groups(pairs, "doc_id", sets)
     assert sorted(map(tuple, best.collect())) == sorted(map(tuple, plain)) == [(1, "a", 2), (2, "b", 2)]
     assert K.keyword_pairs(docs, "doc_id", "text", listed.limit(0), carry="set").columns == ["doc_id", "keyword", "set"]
+
+
+def test_largest_entry_of_a_word_holds_without_sorting_entries(spark, capsys):
+    """Of several entries the largest (polarity, subjectivity); every occurrence of a word may be an entry, so none is sorted."""
+    rows = [("Good", 0.5, 0.1), ("good", 0.5, 0.9), ("GOOD", 0.2, 1.0), ("bad", -0.5, 0.3), ("bad", -0.7, 1.0), ("x", None, 0.1), (None, 0.3, 0.1)]
+    entries = spark.createDataFrame(rows, "word string, polarity double, subjectivity double")
+    table = LexiconTable(entries).table()
+    assert sorted(tuple(r) for r in table.collect()) == [("bad", -500, 300), ("good", 500, 900)]
+    table.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
+
+
+def test_heavy_keys_and_their_parts(spark):
+    counts = spark.createDataFrame([("a", 70), ("b", 25), ("c", 5), (None, 0)], "word string, n long")
+    assert sorted(tuple(r) for r in S.heavy_keys(counts, "word", 10).collect()) == [("a", 7), ("b", 3)]
+    assert S.heavy_keys(counts.limit(0), "word", 10).count() == 0

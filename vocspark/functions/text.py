@@ -104,8 +104,8 @@ def compare_form(c: Column | str) -> Column:
 
 
 def words(c: Column | str) -> Column:
-    """Lower-case word tokens, none empty."""
-    return F.filter(F.split(compare_form(c), " "), lambda w: w != "")
+    """Lower-case word tokens, none empty: those of :func:`compare_form`, cut without writing it."""
+    return F.filter(F.split(F.lower(F.coalesce(col(c), F.lit(""))), NON_WORD + "+"), lambda w: w != "")
 
 
 def request_keywords(c: Column | str, stop_words=STOP_WORDS, min_length: int = 3) -> Column:

@@ -36,8 +36,10 @@ class LexiconTable:
     def table(self) -> DataFrame:
         """(word, p, s) with whole thousandths, one row a word."""
         kept = self.entries.select(F.lower("word").alias("word"), "polarity", "subjectivity").dropna()
-        best = kept.groupBy("word").agg(F.max(F.struct("polarity", "subjectivity")).alias("v"))
-        return best.select("word", F.rint(F.col("v.polarity") * 1000).cast("long").alias("p"), F.rint(F.col("v.subjectivity") * 1000).cast("long").alias("s"))
+        # Maxima of numbers are kept in a hash table; that of a struct would sort every entry.
+        each = kept.groupBy("word", "polarity").agg(F.max("subjectivity").alias("subjectivity"))
+        best = each.groupBy("word").agg(F.max("polarity").alias("p"), F.max_by("subjectivity", "polarity").alias("s"))
+        return best.select("word", F.rint(F.col("p") * 1000).cast("long").alias("p"), F.rint(F.col("s") * 1000).cast("long").alias("s"))
 
     def factor(self, previous: Column) -> Column:
         """What the word before a lexicon word does to its polarity, in hundredths."""

@@ -15,10 +15,9 @@ SHARE = 1_000
 
 def heavy_keys(counts: DataFrame, key: str, share: int = SHARE) -> DataFrame:
     """(key, _splits) of the heavy keys, at most ``share`` rows; ``counts`` has the columns ``key`` and ``n`` and one row a key."""
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    parts = F.ceil(F.col("n") * share / F.lit(total))
-    heavy = counts.filter(F.col("n") * share > total).select(key, parts.cast("int").alias("_splits")) if total else counts.limit(0).select(
-        key, F.lit(1).alias("_splits"))
+    # Both sides of the join read one shuffle of the counts.
+    both = counts.join(F.broadcast(counts.agg(F.sum("n").alias("_total"))), F.col("n") * share > F.col("_total"))
+    heavy = both.select(key, F.ceil(F.col("n") * share / F.col("_total")).cast("int").alias("_splits"))
     return counts.sparkSession.createDataFrame(heavy.collect(), heavy.schema)
 
 
