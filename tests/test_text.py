@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,3 +213,20 @@ def test_iso_needs_a_full_date(spark):
     values = ["12:30", "2024", "2024-05", "T10:00", "2024-05-06", "2024-05-06T07:08", "2024-05-06 07:08:09.5Z", "2024-05-06T07:08:09+02:00", "2024-13-45", None]
     got = column(spark, values, lambda c: F.date_format(dates.iso_timestamp(c), "yyyy-MM-dd HH:mm:ss"))
     assert got == [None] * 4 + ["2024-05-06 00:00:00", "2024-05-06 07:08:00", "2024-05-06 07:08:09", "2024-05-06 05:08:09", None, None]
+
+
+@pytest.mark.parametrize("opening", [1, 5, 12, 30, 2_000])
+def test_first_sentences_from_an_opening_are_those_of_the_text(spark, monkeypatch, opening):
+    monkeypatch.setattr(gist, "OPENING", opening)
+    texts = ["", "no mark at all but long", "A first sentence. Second one is here! Third, long too? Fourth one is last", "...", "ab. cd. ef. gh. a long sentence here. x",
+             "The first one goes on...!? The second one goes on. The third one goes on. The fourth goes on.", "Eleven char.Eleven char.Eleven char"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", gist._first_sentences(F.col("t")).alias("s")).collect():
+        assert row["s"] == [p.strip() for p in re.split("[.!?]+", row["t"]) if len(p.strip()) > 10][:3]
+
+
+def test_words_are_those_of_the_compare_form(spark):
+    texts = ["", None, " a\u00a0b--c_d ", "\u0130stanbul, \u00c9T\u00c9! x1", "...", "\U0001F600 a\u0301b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select(text.words("t").alias("w"), text.compare_form("t").alias("f")).collect():
+        assert row["w"] == row["f"].split()

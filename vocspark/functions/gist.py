@@ -24,6 +24,8 @@ FILLER_WORDS = (
     "will", "would", "could", "should", "may", "might", "must", "can", "cannot",
 )
 MIN_SENTENCE, MAX_WORDS = 10, 12
+# Sentences are looked for in an opening of this many characters, and in the whole text only if it holds too few.
+OPENING, SENTENCES = 2_000, 3
 
 
 @dataclass(frozen=True)
@@ -75,10 +77,19 @@ def _from_topics(t: Column, profile: GistProfile, max_length: int) -> Column:
     return let(F.struct(t.alias("text"), F.lower(t).alias("lower")), with_found)
 
 
+def _first_sentences(t: Column) -> Column:
+    def long_enough(parts: Column) -> Column:
+        return F.slice(F.filter(F.transform(parts, strip_space), lambda s: F.length(s) > MIN_SENTENCE), 1, SENTENCES)
+
+    mark = "[.!?]+"
+    # The last part of an opening may go on behind it.
+    opening = let(F.split(F.substring(t, 1, OPENING), mark), lambda parts: long_enough(F.slice(parts, 1, F.size(parts) - 1)))
+    return let(opening, lambda o: F.when((F.size(o) >= SENTENCES) & (F.length(t) > OPENING), o).otherwise(long_enough(F.split(t, mark))))
+
+
 def _best_sentence(t: Column, topics: Column, profile: GistProfile, max_length: int) -> Column:
     """Highest positive score among the first three sentences; earlier ones win ties."""
-    sentences = F.slice(F.filter(F.transform(F.split(t, "[.!?]+"), strip_space),
-                                 lambda s: F.length(s) > MIN_SENTENCE), 1, 3)
+    sentences = _first_sentences(t)
     keywords = F.flatten(F.transform(topics, lambda g: g["keywords"]))
     bonus = literal_strings(profile.bonus_terms)
 
