@@ -255,6 +255,46 @@ def test_context_counts_are_exact_across_parts(spark):
         assert seen == len(rows)
 
 
+def test_inputs_are_worked_out_once_for_each_gram(spark, monkeypatch):
+    rows = [(i, w, i % 5) for i, w in enumerate(sorted({b"%d" % (i * i) for i in range(3000)}))]
+    df = spark.createDataFrame(rows, "tok bigint, word binary, c bigint")
+    parts = context_mixing.deal(df, [])
+    heads = context_mixing.heads_of([])
+    grams = context_mixing.count_grams(parts, heads, context_mixing.fresh_folder(spark, "lm"))
+    (_, copies, data), = context_mixing._parts(parts.toArrow().to_batches())
+    part, sizes, stretched = context_mixing.Part(data, copies, heads, grams), [], context_mixing._stretched
+    monkeypatch.setattr(context_mixing, "_stretched", lambda zeros, ones: sizes.append(zeros.size) or stretched(zeros, ones))
+    known = np.flatnonzero(np.repeat(copies, np.diff(part.starts)) > 0)
+    for at in (known, known[::3]):
+        lookup = part.lookup(at)
+        for place, (_, bit) in enumerate(context_mixing.bits(part.data[at])):
+            for taken in (None, bit):
+                inputs, gates = context_mixing._predictions(lookup, place, taken)
+                plain_inputs, plain_gates = context_mixing._predictions(lambda k: lookup(k), place, taken)
+                assert inputs.tolist() == plain_inputs.tolist() and gates.tolist() == plain_gates.tolist()
+                sizes.pop()
+    # With and without the byte at hand: each distinct gram, and each byte with the word so far.
+    assert sum(sizes) == 2 * 8 * (part.zeros.shape[1] + len(part.data)) and part.zeros.shape[1] < len(part.data)
+
+
+def test_places_of_hashes_and_equal_values():
+    rng = np.random.default_rng(2)
+    ends = np.array([-2**63, -2**63 + 1, -1, 0, 1, 2**63 - 2, 2**63 - 1])
+    for held in (np.sort(np.concatenate((rng.integers(-2**63, 2**63 - 1, 5000), ends))), ends[::2], ends[3:4], ends[:0]):
+        wanted = np.concatenate((rng.permutation(held), ends, rng.integers(-2**63, 2**63 - 1, 500), held[:50] + (held[:50] < 2**62)))
+        at = context_mixing.Places(held).of(wanted)
+        for x, i in zip(wanted.tolist(), at.tolist()):
+            assert i == 0 if not len(held) else (held[i] == x) == (x in held)
+    few = rng.integers(-2**63, 2**63 - 1, 40)
+    for values in (rng.integers(0, 40, 600), few[rng.integers(0, 40, 600)], few[:3], few[:0], np.array([5, 6, 5, 6, 6]) | 1 << 62):
+        order, new = context_mixing.by_value(values)
+        want = {}
+        for i, x in enumerate(values.tolist()):
+            want.setdefault(x, []).append(i)
+        got = np.split(order, np.flatnonzero(new)[1:]) if len(values) else []
+        assert sorted(g.tolist() for g in got) == sorted(want.values())
+
+
 def test_frequent_words_are_learned_from_as_often_as_they_stand():
     copies = np.arange(1, 5001) % 7 + 1
     copies[[3, 4000]] = 5_000_000, 1001

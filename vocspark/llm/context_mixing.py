@@ -141,21 +141,33 @@ def stretch(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1.0 - p))
 
 
-def _predictions(zeros: np.ndarray, ones: np.ndarray, taken: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs (kinds + 1 x bytes) and gates; ``taken`` is the bit that is taken out of the counts once."""
+def _stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.clip(np.log((ones + DELTA) / (zeros + DELTA)), -12, 12)
+
+
+def _levels(total: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(total + 1).astype(np.int64) >> 1, LEVELS - 1)
+
+
+def _predictions(counts, place: int, taken: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs (kinds + 1 x bytes) and gates of a bit position; ``taken`` is the bit that is taken out of the counts once."""
+    if isinstance(counts, PartCounts):
+        return counts.predictions(place, taken is not None)
+    zeros, ones = counts(place)
     if taken is not None:
         zeros = zeros - (taken == 0)
         ones = ones - (taken == 1)
-    total = zeros + ones
-    inputs = np.empty((CONTEXTS + 1, zeros.shape[1]), dtype=np.float32)
-    inputs[:CONTEXTS] = np.log((ones + DELTA) / (zeros + DELTA))
-    inputs[CONTEXTS] = 0.3
-    level = np.minimum(np.log2(total[CONTEXTS - 2:] + 1).astype(np.int64) // 2, LEVELS - 1)
-    return np.clip(inputs, -12, 12), level[0] * LEVELS + level[1]
+    inputs = np.full((CONTEXTS + 1, zeros.shape[1]), 0.3, dtype=np.float32)
+    inputs[:CONTEXTS] = _stretched(zeros, ones)
+    level = _levels((zeros + ones)[CONTEXTS - 2:])
+    return inputs, level[0] * LEVELS + level[1]
 
 
 def _mixed(weights: np.ndarray, inputs: np.ndarray, gates: np.ndarray) -> np.ndarray:
-    return np.clip((weights[gates].T * inputs).sum(axis=0), -14, 14)
+    total = np.zeros(len(gates))
+    for weight, values in zip(np.ascontiguousarray(weights.T), inputs):
+        total += weight[gates] * values
+    return np.clip(total, -14, 14)
 
 
 def _bucket(x: np.ndarray) -> np.ndarray:
@@ -191,7 +203,7 @@ def train(data: np.ndarray, counts, load: np.ndarray, weights: np.ndarray, refin
     relative = load / total
     rate = RATE / math.sqrt(1 + seen / 10)
     for place, (_, bit) in enumerate(bits(data)):
-        inputs, gates = _predictions(*counts(place), bit)
+        inputs, gates = _predictions(counts, place, bit)
         x = _mixed(weights, inputs, gates)
         p = 1.0 / (1.0 + np.exp(-x))
         error, slope = (bit - p) * relative, np.maximum(p * (1 - p), 0.01) * relative
@@ -215,15 +227,16 @@ def spelled_scores(data: np.ndarray, starts: np.ndarray, counts, weights: np.nda
 
 def byte_scores(data: np.ndarray, counts, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
     """log10 probability of every byte."""
-    total = np.zeros(len(data))
+    product = np.ones(len(data))  # of 8 probabilities above 1e-7
+    ones, seen = refined[:, :, 1].ravel(), refined.sum(axis=2).ravel() + 20
     for place, (_, bit) in enumerate(bits(data)):
-        inputs, gates = _predictions(*counts(place), None)
+        inputs, gates = _predictions(counts, place, None)
         x = _mixed(weights, inputs, gates)
-        cell = refined[gates, _bucket(x)]
+        cell = gates * BUCKETS + _bucket(x)
         mixed = 1.0 / (1.0 + np.exp(-x))
-        p = (3 * mixed + (cell[:, 1] + mixed * 20) / (cell.sum(axis=1) + 20)) / 4
-        total += np.log10(np.where(bit == 1, p, 1.0 - p))
-    return total
+        p = (3 * mixed + (ones[cell] + mixed * 20) / seen[cell]) / 4
+        product *= np.where(bit == 1, p, 1.0 - p)
+    return np.log10(product)
 
 
 class Tables:
@@ -243,8 +256,8 @@ class Tables:
 
 
 def path_counts(grams: np.ndarray, sums: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones (wanted x 8) at the bits of the last byte of each gram; ``sums`` are running sums from 0 over sorted ``grams``."""
-    zeros, ones = np.empty((len(wanted), 8), dtype=np.float32), np.empty((len(wanted), 8), dtype=np.float32)
+    """Zeros and ones (8 x wanted) at the bits of the last byte of each gram; ``sums`` are running sums from 0 over sorted ``grams``."""
+    zeros, ones = np.empty((8, len(wanted)), dtype=np.float32), np.empty((8, len(wanted)), dtype=np.float32)
 
     def below(x):
         return sums[np.searchsorted(grams, x)]
@@ -254,7 +267,7 @@ def path_counts(grams: np.ndarray, sums: np.ndarray, wanted: np.ndarray) -> tupl
     for k in range(8):
         half = np.int64(128 >> k)
         middle = below(low + half)
-        zeros[:, k], ones[:, k] = middle - first, last - middle
+        zeros[k], ones[k] = middle - first, last - middle
         up = (wanted & half) != 0
         low, first, last = np.where(up, low + half, low), np.where(up, middle, first), np.where(up, last, middle)
     return zeros, ones
@@ -264,11 +277,11 @@ _LEADING = np.array([8 - x.bit_length() for x in range(256)], dtype=np.int64)
 
 
 def trie_counts(data: np.ndarray, starts: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones (bytes x 8) of the whole word so far among the given words, which are distinct and in byte order."""
+    """Zeros and ones (8 x bytes) of the whole word so far among the given words, which are distinct and in byte order."""
     sizes, n = np.diff(starts), len(starts) - 1
     own = np.repeat(copies, sizes).astype(np.float32)
-    sides = np.unpackbits(data).reshape(-1, 8)
-    zeros, ones = own[:, None] * (sides == 0), own[:, None] * (sides == 1)
+    sides = sides_of(data)
+    zeros, ones = own * (sides == 0), own * (sides == 1)
     # Bits that a word shares with the one before it.
     shared, pairs, m = np.zeros(n + 1, dtype=np.int64), np.arange(1, n), 0
     while len(pairs):
@@ -280,15 +293,21 @@ def trie_counts(data: np.ndarray, starts: np.ndarray, copies: np.ndarray) -> tup
     for m in range(int(with_others.max(initial=0)) // 8 + 1):
         active = active[with_others[active] >= 8 * m]
         at, tied, load = starts[active] + m, shared[active], copies[active]
-        for k in range(8):
-            run = np.cumsum(tied < 8 * m + k)
-            run -= run[0]
-            one = np.bincount(run, weights=load * sides[at, k])
-            ones[at, k] = one[run]
-            zeros[at, k] = (np.bincount(run, weights=load) - one)[run]
+        for k in range(8 if len(active) else 0):
+            new = tied < 8 * m + k
+            new[0] = True
+            runs = np.flatnonzero(new)
+            one, both = np.add.reduceat(load * sides[k, at], runs), np.add.reduceat(load, runs)
+            words = np.diff(runs, append=len(active))
+            ones[k, at], zeros[k, at] = np.repeat(one, words), np.repeat(both - one, words)
     return zeros, ones
 
 
+def sides_of(data: np.ndarray) -> np.ndarray:
+    """The bits (8 x bytes) of the bytes."""
+    return np.ascontiguousarray(np.unpackbits(data.astype(np.uint8)).reshape(-1, 8).T)
+
+
 class Part:
     """The words of one alphabetic part with their counts in all contexts."""
 
@@ -297,22 +316,55 @@ class Part:
         self.starts = np.concatenate(([0], np.flatnonzero((self.data == 32) | (self.data == 10)) + 1))
         keys, crossing = gram_keys(self.data, self.starts, heads)
         where = np.flatnonzero(crossing >= 0)
-        wanted, back = np.unique(np.concatenate((*keys, crossing[where])), return_inverse=True)
-        self.zeros, self.ones = grams.counts(wanted)
+        every = np.concatenate((*keys, crossing[where]))
+        order, new = by_value(every)
+        wanted, back = every[order[new]], np.empty(len(every), dtype=np.int64)
+        back[order] = np.cumsum(new) - 1
+        self.bytes, (self.zeros, self.ones) = wanted & 255, grams.counts(wanted)
         self.back = back[:len(keys) * len(self.data)].reshape(len(keys), -1)
         self.whole = trie_counts(self.data, self.starts, copies)
         rest = back[len(keys) * len(self.data):]
-        self.whole[0][where], self.whole[1][where] = self.zeros[rest], self.ones[rest]
+        self.whole[0][:, where], self.whole[1][:, where] = self.zeros[:, rest], self.ones[:, rest]
+        self.stretched = {}
 
-    def lookup(self, at: np.ndarray | slice = slice(None)):
+    def lookup(self, at: np.ndarray | slice = slice(None)) -> "PartCounts":
         """Zeros and ones of the bytes ``at`` by bit position."""
-        back = self.back[:, at]
+        return PartCounts(self, at)
 
-        def counts(place):
-            return tuple(np.concatenate((table[:, place][back], whole[at, place][None]))
-                         for table, whole in zip((self.zeros, self.ones), self.whole))
+    def inputs(self, out: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Inputs and levels (8 x grams, then 8 x bytes for the word so far); ``out`` takes each byte out of its own counts once, where it has any."""
+        if out not in self.stretched:
+            self.stretched[out] = [self._stretched(*counts, data, out) for counts, data in (((self.zeros, self.ones), self.bytes), (self.whole, self.data))]
+        return self.stretched[out]
 
-        return counts
+    @staticmethod
+    def _stretched(zeros, ones, data, out):
+        if out:
+            sides = sides_of(data)
+            zeros, ones = np.maximum(zeros - (sides == 0), 0), np.maximum(ones - (sides == 1), 0)
+        return _stretched(zeros, ones), _levels(zeros + ones).astype(np.uint8)
+
+
+class PartCounts:
+    """Zeros and ones of some bytes of a part by bit position.
+
+    What is worked out from the counts of a gram is worked out once for all bytes that have it.
+    """
+
+    def __init__(self, part: Part, at: np.ndarray | slice):
+        self.part, self.at, self.back = part, at, part.back[:, at]
+
+    def __call__(self, place: int) -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate((table[place][self.back], whole[place][self.at][None]))
+                     for table, whole in zip((self.part.zeros, self.part.ones), self.part.whole))
+
+    def predictions(self, place: int, out: bool) -> tuple[np.ndarray, np.ndarray]:
+        (grams, gram_levels), (whole, levels) = self.part.inputs(out)
+        inputs = np.empty((CONTEXTS + 1, self.back.shape[1]), dtype=np.float32)
+        for k, back in enumerate(self.back):
+            inputs[k] = grams[place][back]
+        inputs[CONTEXTS - 1], inputs[CONTEXTS] = whole[place][self.at], 0.3
+        return inputs, gram_levels[place][self.back[-1]].astype(np.int64) * LEVELS + levels[place][self.at]
 
 
 def gram_keys(data: np.ndarray, starts: np.ndarray, heads: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -346,14 +398,14 @@ class Grams:
         self.pieces = pieces_
 
     def counts(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Zeros and ones (wanted x 8) of sorted distinct grams; those of contexts never seen are 0."""
-        zeros, ones = np.zeros((len(wanted), 8), dtype=np.float32), np.zeros((len(wanted), 8), dtype=np.float32)
+        """Zeros and ones (8 x wanted) of sorted distinct grams; those of contexts never seen are 0."""
+        zeros, ones = np.zeros((8, len(wanted)), dtype=np.float32), np.zeros((8, len(wanted)), dtype=np.float32)
         places = tuple(p[0] for p in self.pieces)
         keep = sum(p[3] for p in self.pieces) <= HELD_GRAMS
         for i, (place, first, last, _) in enumerate(self.pieces):
             a, b = np.searchsorted(wanted, first & ~255), np.searchsorted(wanted, last | 255, side="right")
             if a < b:
-                zeros[a:b], ones[a:b] = path_counts(*(_held(places)[i] if keep else _piece(place)), wanted[a:b])
+                zeros[:, a:b], ones[:, a:b] = path_counts(*(_held(places)[i] if keep else _piece(place)), wanted[a:b])
         return zeros, ones
 
 
@@ -363,6 +415,24 @@ def _saved(rows: DataFrame) -> str:
     return found["place"] if found else ""
 
 
+def by_value(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the 64-bit values in an order in which equal ones stand together, first places first; and where another value begins."""
+    shift = np.uint64(max(len(values) - 1, 0).bit_length())
+    mask = (np.uint64(1) << shift) - np.uint64(1)
+    # Values, or their upper bits, with the place below them are sorted much faster than places.
+    keys = values.view(np.uint64)
+    small = int(keys.max(initial=0)).bit_length() + int(shift) <= 64
+    keys = (keys << shift if small else keys & ~mask) | np.arange(len(values), dtype=np.uint64)
+    keys.sort()
+    order = (keys & mask).astype(np.int64)
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[order][1:] != values[order][:-1]
+    if not small and (new[1:] & (keys[1:] >> shift == keys[:-1] >> shift)).any():  # different values with the same upper bits
+        order = np.argsort(values, kind="stable")
+        new[1:] = values[order][1:] != values[order][:-1]
+    return order, new
+
+
 def _distinct(texts: list[bytes], training: list[bool]):
     """(hashes, counts in training texts, words) of the distinct words of a batch, the end included."""
     hashes, lengths, train_flags, chunks, offset = [], [], [], [], 0
@@ -379,8 +449,11 @@ def _distinct(texts: list[bytes], training: list[bool]):
     if not hashes:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), []
     all_hashes, spans, raw = np.concatenate(hashes), np.concatenate(lengths, axis=1), b"".join(chunks)
-    unique, where, back = np.unique(all_hashes, return_index=True, return_inverse=True)
-    count = np.bincount(back, weights=np.concatenate(train_flags), minlength=len(unique)).astype(np.int64)
+    order, new = by_value(all_hashes)
+    runs = np.flatnonzero(new)
+    where = order[runs]
+    unique = all_hashes[where]
+    count = np.add.reduceat(np.concatenate(train_flags).astype(np.int64)[order], runs) if len(runs) else np.zeros(0, dtype=np.int64)
     words = [raw[a:b] for a, b in zip(spans[0][where].tolist(), spans[1][where].tolist())]
     ends = int(sum(training))
     return (np.concatenate((unique.view(np.int64), [END_HASH])), np.concatenate((count, [ends])), words + [b""])
@@ -581,6 +654,28 @@ def _dictionary(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows["tok"].copy(), rows["c"].copy(), rows["lm"].copy()
 
 
+class Places:
+    """Places of 64-bit hashes in their sorted array, from the first place for each beginning of FIRST_BITS bits."""
+
+    FIRST_BITS = 20
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.shift = hashes, np.uint64(64 - self.FIRST_BITS)
+        # Signed order: the beginnings of negative numbers come first.
+        first = (np.arange(1 << self.FIRST_BITS, dtype=np.int64) - (1 << self.FIRST_BITS - 1)) << int(self.shift)
+        self.first = np.roll(np.minimum(np.searchsorted(hashes, first), max(len(hashes) - 1, 0)).astype(np.int32), 1 << self.FIRST_BITS - 1)
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each hash, or any other place if it is not there; 0 in an empty array."""
+        at = self.first[(wanted.view(np.uint64) >> self.shift).astype(np.int64)].astype(np.int64)
+        more = np.flatnonzero(self.hashes[at] < wanted) if len(self.hashes) else []
+        while len(more):
+            at[more] += 1
+            more = more[at[more] < len(self.hashes) - 1]
+            more = more[self.hashes[at[more]] < wanted[more]]
+        return np.minimum(at, max(len(self.hashes) - 1, 0))
+
+
 def save_frequent(scored: DataFrame, frequent: int, folder: str) -> str:
     """The ``frequent`` most frequent training words as one file: a bounded dictionary for the scan."""
     make_folder(folder)
@@ -675,7 +770,7 @@ class Border:
         inputs, totals = np.empty((len(wanted), 8, BORDER_CONTEXTS + 1)), []
         inputs[:, :, BORDER_CONTEXTS] = 0.3
         for k, (grams, sums) in enumerate(self.tables):
-            zeros, ones = (x.astype(np.float64) for x in path_counts(grams, sums, wanted & ((1 << 8 * (k + 1)) - 1)))
+            zeros, ones = (x.T.astype(np.float64) for x in path_counts(grams, sums, wanted & ((1 << 8 * (k + 1)) - 1)))
             if out:
                 zeros, ones = zeros - (bit == 0), ones - (bit == 1)
             inputs[:, :, k] = np.clip(np.log((ones + DELTA) / (zeros + DELTA)), -12, 12)
@@ -735,10 +830,7 @@ def border_scores(borders: list[Border], grams: np.ndarray, hashes: np.ndarray)
 def text_so_far(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens before each token in its text, and how many of them are the same."""
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    mixed = hashes ^ mix64(owner.astype(np.uint64)).view(np.int64)
-    order = np.argsort(mixed, kind="stable")
-    new = np.ones(len(hashes), dtype=bool)
-    new[1:] = mixed[order][1:] != mixed[order][:-1]
+    order, new = by_value(hashes ^ mix64(owner.astype(np.uint64)).view(np.int64))
     starts = np.flatnonzero(new)
     same = np.empty(len(hashes), dtype=np.int64)
     same[order] = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
@@ -769,12 +861,13 @@ def scan_texts(docs: DataFrame, borders: list[Border], known: str, below: float)
     """One row for each text: sums over its frequent words, its other words, and what the text so far says."""
     def task(batches):
         tok, c, lm = _dictionary(known)
+        places = Places(tok)
         log_c = np.log10((c + 0.5) / below)
         out_once = np.log10(np.maximum(c - 1, 0.5) / np.maximum(c, 1))
         for batch in batches:
             for first, hashes, sizes, grams, bounds in tokens(text_bytes(batch.column("text"))):
                 keys = {x: batch.column(x).slice(first, len(bounds) - 1) for x in ("doc_id", "held_out", "training", "key")}
-                at = np.minimum(np.searchsorted(tok, hashes), max(len(tok) - 1, 0))
+                at = places.of(hashes)
                 inside = tok[at] == hashes if len(tok) else np.zeros(len(hashes), dtype=bool)
                 border = border_scores(borders, grams, hashes)
                 before, same = text_so_far(hashes, bounds)
