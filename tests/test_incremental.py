@@ -1,8 +1,10 @@
 """Keyed ingest, bucketed state, key tables: against the sequential rule and by the files they touch."""
 
+import datetime
 import json
 import os
 import random
+import re
 import shutil
 import time
 
@@ -16,7 +18,7 @@ from vocspark.operators.state import upsert_states
 from vocspark.schema import FEEDBACK_SCHEMA, STATE_SCHEMA
 from vocspark.sinks.state_table import StateTable
 from vocspark.sinks.tables import project
-from vocspark.streaming import jobs
+from vocspark.streaming import jobs, keyed_state
 
 RAW = "feedback string, title string, created string, source string"
 
@@ -72,6 +74,22 @@ def test_waves_follow_the_sequential_rule(spark, tmp_path):
     assert sorted(found) == greedy(want, taken) and len({w for *_, w in found}) > 1
 
 
+def test_columns_of_one_type_travel_together(spark, tmp_path):
+    kinds = "voc_group string, a string, `b.c` string, `d``e` string, voc_0 string, t timestamp, u timestamp, n double, l array<string>, m array<string>, g boolean"
+    day = datetime.datetime(2024, 2, 29, 1, 2, 3, 456789)
+    rows = [("k", "", None, "x", "\u00e9\n", day, None, 0.1, ["p", None], [], True), ("k",) + (None,) * 10, (None, "1", "2", "3", "4", None, day, float("inf"), None, ["q"], False)]
+    df = spark.createDataFrame(rows, kinds)
+    narrow, columns, back = keyed_state.packed(df, ["voc_group"])
+    assert len(columns) == 5 and narrow.columns == ["voc_group", *columns]
+    again = narrow.select("voc_group", *back)
+    assert again.dtypes == df.dtypes and [tuple(r) for r in again.collect()] == rows
+    landed = project(to_feedback(spark.readStream.schema(RAW).json(str(tmp_path))))
+    fresh = keyed_state.only_new(landed, F.lit(""))
+    assert fresh.dtypes == landed.dtypes
+    sent = re.search(r"transformWithStateUDF\((.*?)\)#", fresh._jdf.queryExecution().analyzed().toString())[1].split(",")
+    assert len(landed.columns) > 30 and len(sent) < 12
+
+
 def test_keys_are_forgotten_after_their_time(spark, tmp_path):
     def wave(n, text):
         land(f"{tmp_path}/in", f"{n}.json", [{"feedback": text, "title": text, "created": "2024-01-01", "source": "Forum"}])

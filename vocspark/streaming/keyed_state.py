@@ -4,6 +4,9 @@ Rows whose identifier or signature was accepted before are dropped, as the de-du
 state knows both keys of every accepted row.  Identifiers and signatures are made from the same text, so rows that share one of them have
 the same normalised content; that content's hash is the grouping key, and all decisions about a key are made in one group.
 
+Spark gives every group to Python, and takes it back, as Arrow batches of its own, whose cost is their number of columns.  So all columns of one type
+travel as one array.
+
 The state lives in the RocksDB store, so it may be larger than memory.  With ``keep`` a group's keys are forgotten that long after its last arrival,
 by event-time timers on the arrival time; without it they are kept like the table's own.
 """
@@ -33,14 +36,32 @@ def with_keys(rows: DataFrame, order: Column, key: str = "feedback_id", title: s
         "voc_sig": F.sha2(content_signature(title, content), 256), "voc_order": order.cast("string")})
 
 
+def packed(rows: DataFrame, keep: list[str]) -> tuple[DataFrame, list[str], list[Column]]:
+    """The columns ``keep``, and all others as one array for each type; the names of the arrays, and the other columns cut out of them again."""
+    taken, arrays, back = {c.lower() for c in rows.columns}, {}, []
+    for field in rows.schema:
+        if field.name not in keep:
+            kind = field.dataType.json()
+            if kind not in arrays:
+                name = f"voc_{len(arrays)}"
+                while name in taken:
+                    name = f"_{name}"
+                arrays[kind] = name, []
+            name, columns = arrays[kind]
+            back.append(F.get(name, F.lit(len(columns))).alias(field.name, metadata=field.metadata))
+            columns.append(F.col("`" + field.name.replace("`", "``") + "`"))
+    return rows.select(*keep, *[F.array(*columns).alias(name) for name, columns in arrays.values()]), [name for name, _ in arrays.values()], back
+
+
 class NewRows(StatefulProcessor):
     """Rows of a group that are first for their identifier and for their signature.
 
     Of a micro-batch only one row for each pair of keys is held, the one first in order; rows with an accepted key are dropped as they come.
+    Rows leave with ``columns`` only.
     """
 
-    def __init__(self, keep_ms: int | None = None):
-        self.keep_ms = keep_ms
+    def __init__(self, columns: list[str], keep_ms: int | None = None):
+        self.columns, self.keep_ms = columns, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -73,7 +94,7 @@ class NewRows(StatefulProcessor):
                 ids.add(row.voc_id)
                 sigs.add(row.voc_sig)
                 self._take(row)
-                yield row
+                yield Row(**{c: row[c] for c in self.columns})
         if self.keep_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
@@ -109,5 +130,6 @@ def only_new(rows: DataFrame, order: Column, stored: DataFrame | None = None, ke
         mode, keep_ms = "EventTime", int(spark.range(1).select(F.expr(f"timestampdiff(MILLISECOND, timestamp'1970-01-01', timestamp'1970-01-01' + interval {keep})")).first()[0])
     if stored is not None:
         initial = with_keys(stored, F.lit(""), **names).select("voc_group", "voc_id", "voc_sig").distinct().groupBy("voc_group")
-    fresh = keyed.groupBy("voc_group").transformWithState(NewRows(keep_ms), keyed.schema, "Append", mode, initial)
-    return fresh.drop(*KEYS, ARRIVAL)
+    narrow, columns, back = packed(keyed, KEYS if keep is None else [*KEYS, ARRIVAL])
+    fresh = narrow.groupBy("voc_group").transformWithState(NewRows(columns, keep_ms), narrow.select(*columns).schema, "Append", mode, initial)
+    return fresh.select(*back)
