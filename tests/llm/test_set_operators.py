@@ -169,6 +169,47 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
     assert minhash.near_duplicates(docs(spark, []).limit(0)).count() == 0
 
 
+def test_sketches_leave_texts_behind(spark):
+    found = minhash.sketches(docs(spark, [(1, "a b c d e f"), (2, None)]))
+    assert found.columns == ["doc_id", "n_shingles", "print_1", "print_2", "sketch"]
+    assert sorted((r.doc_id, r.n_shingles) for r in found.collect()) == [(1, 2), (2, 0)]
+
+
+def test_large_families_are_cut_by_set_size(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
+    rng = np.random.default_rng(6)
+    sizes = {i: int(rng.integers(1, 400)) for i in range(200)} | {1000 + i: 5 + i for i in range(10)}
+    sized = spark.createDataFrame([(i, i // 1000, n) for i, n in sizes.items()], "id bigint, family bigint, n bigint")
+    blocks = {}
+    for r in minhash.block_pairs(sized).collect():
+        blocks.setdefault((r.family, r.lo, r.hi), []).append((r.id, r.mine))
+    compared = Counter()
+    for (_, lo, hi), rows in blocks.items():
+        compared.update(frozenset((a, b)) for a, x in rows for b, y in rows if (x, y) == (lo, hi) and (a < b if lo == hi else a != b))
+    near = {frozenset((a, b)) for a in sizes for b in sizes if a < b and a // 1000 == b // 1000 and 100 * min(sizes[a], sizes[b]) >= 75 * max(sizes[a], sizes[b])}
+    assert near <= set(compared) and set(compared.values()) == {1}
+    assert len(compared) < 0.5 * 200 * 199 / 2  # the whole family before
+    assert sum(a > 999 for pair in compared for a in pair) == 10 * 9  # a small family stays whole
+
+
+def test_near_duplicates_of_families_cut_by_set_size(spark, monkeypatch):
+    rows = near_rows()
+    rows += [(100 + k, " ".join(rows[0][1].split()[:n])) for k, n in enumerate(range(40, 121, 4))]  # one text cut short, in a chain
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == plain_near(rows)
+
+
+def test_possible_takes_each_pair_of_sizes_on_its_own():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 900).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[:n], rng.integers(0, 2**63, m).astype(np.uint64)))) for n, m in ((900, 0), (800, 90), (700, 10), (500, 400), (900, 0))]
+    marks, sizes = np.stack([minhash.sketch(x) for x in sets]), np.array([len(x) for x in sets])
+    together = minhash.possible(np.broadcast_to(marks[0], marks.shape), marks, np.full(len(sets), sizes[0]), sizes)
+    alone = [minhash.possible(marks[:1], marks[k:k + 1], sizes[:1], sizes[k:k + 1])[0] for k in range(len(sets))]
+    assert together.tolist() == alone and alone[0] and not alone[3]
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (900, 700))

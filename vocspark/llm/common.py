@@ -201,12 +201,13 @@ def save_bits(numbers: DataFrame, column: str, bits: int, folder: str) -> str:
     place = f"{folder}/bits"
 
     def save(batches):
-        marks = np.zeros(1 << bits, dtype=bool)
+        packed = np.zeros(max(1 << bits >> 3, 1), dtype=np.uint8)
         for batch in batches:
-            marks[batch.column(column).to_numpy()] = True
+            numbers = batch.column(column).to_numpy()
+            np.bitwise_or.at(packed, numbers >> 3, (128 >> (numbers & 7)).astype(np.uint8))
         files, path = store(place)
         with files.open_output_stream(path, compression=None) as out:
-            out.write(np.packbits(marks).tobytes())
+            out.write(packed.data)
         yield pa.RecordBatch.from_arrays([pa.array([place])], names=["place"])
 
     found = with_column_batches(numbers.select(column).distinct().coalesce(1), [column], "place string", save).first()

@@ -8,7 +8,8 @@ and a text without words is empty and linked with nothing.  Two documents are li
 2. Equal sets are one class, represented by its smallest id, so exact copies are never compared.
 3. Four registers are a band.  Classes that share a band's bucket, directly or in a chain, are a family; a bucket is tied
    together by one row for each member, so a bucket of any size makes no pairs of rows.
-4. A family is dealt into blocks, and a task gets one pair of blocks.  It keeps the pairs whose registers (larger,
+4. A family is dealt into blocks, a large one into blocks of similar set sizes, since 75 % needs sizes within 4 : 3; a task
+   gets one pair of blocks whose sizes allow a link.  It keeps the pairs whose registers (larger,
    smaller, equal, given both set sizes) do not rule 0.75 out by their joint likelihood, confirms those on the full sets unless both
    are connected already, and gives only the links that connect something: fewer than the rows it has read.
 5. Components of these links and of the copies give the result.  No bucket, family or pair is capped or dropped.
@@ -21,13 +22,15 @@ Repeated rows are one node.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocspark.llm.common import (carrying, 
-    add_columns, bits_set, fresh_folder, hashed_words, load_bits, materialise, mix64, save_bits, sliced, table, text_bytes,
+    bits_set, fresh_folder, hashed_words, load_bits, materialise, mix64, save_bits, sliced, table, text_bytes,
     with_column_batches)
 from vocspark.llm.components import components
 from vocspark.llm.registry import query
@@ -43,6 +46,10 @@ SHIFT = 200.0
 DOUBT = 14.0
 # A block of a family has about so many classes, and about so many shingles, at most.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
+# A family of more blocks is cut by set size first: sizes of one level, or of two levels side by side, hold all that lie within
+# OF : SHARE.  Levels are a little wider than that, so that rounding parts nothing.
+WHOLE_BLOCKS = 3
+LEVEL = math.log(OF / SHARE) * 1.000001
 WANTED_BITS = 26
 # So many ids or fewer are broadcast to drop documents; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -100,31 +107,35 @@ def possible(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     """Which pairs of sketches (rows) leave a similarity of 0.75 or more open; sizes are the exact set sizes."""
     more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
     same = REGISTERS - more - less
-    u = (size_a / (size_a + size_b))[:, None]
+    # Logarithms are taken once for each share of the sizes.
+    shares, at = np.unique(size_a / (size_a + size_b), return_inverse=True)
+    u = shares[:, None]
     v, j = 1 - u, _GRID[None, :]
     tiny = 1e-9
     up, down = _share(u - v * j), _share(v - u * j)
-    log_likelihood = (more[:, None] * np.log(np.maximum(up, tiny)) + less[:, None] * np.log(np.maximum(down, tiny))
-                      + same[:, None] * np.log(np.maximum(1 - up - down, tiny)))
-    log_likelihood[j > np.minimum(u, v) / np.maximum(u, v) + 0.02] = -np.inf
+    log_likelihood = (more[:, None] * np.log(np.maximum(up, tiny))[at] + less[:, None] * np.log(np.maximum(down, tiny))[at]
+                      + same[:, None] * np.log(np.maximum(1 - up - down, tiny))[at])
+    log_likelihood[(j > np.minimum(u, v) / np.maximum(u, v) + 0.02)[at]] = -np.inf
     return log_likelihood[:, _GRID >= SHARE / OF - 1e-9].max(axis=1) >= log_likelihood.max(axis=1) - DOUBT
 
 
-def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_shingles, two fingerprints of the set, and its sketch."""
-    def work(column):
-        texts = text_bytes(column)
-        n = np.zeros(len(texts), dtype=np.int64)
-        one, two = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-        out = [b""] * len(texts)
-        for i, shingles in shingle_sets(texts):
-            n[i] = len(shingles)
-            one[i] = mix64(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)
-            two[i] = np.bitwise_xor.reduce(mix64(shingles + np.uint64(77)), initial=np.uint64(0)).astype(np.int64)
-            out[i] = sketch(shingles).tobytes()
-        return [pa.array(n), pa.array(one), pa.array(two), out]
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, two fingerprints of the set, its sketch) of ``docs`` (doc_id, text); texts are only read."""
+    def task(batches):
+        for batch in sliced(batches):
+            texts = text_bytes(batch.column("text"))
+            n = np.zeros(len(texts), dtype=np.int64)
+            one, two = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+            out = [b""] * len(texts)
+            for i, shingles in shingle_sets(texts):
+                n[i] = len(shingles)
+                one[i] = mix64(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)
+                two[i] = np.bitwise_xor.reduce(mix64(shingles + np.uint64(77)), initial=np.uint64(0)).astype(np.int64)
+                out[i] = sketch(shingles).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(one), pa.array(two), pa.array(out, pa.binary())],
+                                             names=["doc_id", "n_shingles", "print_1", "print_2", "sketch"])
 
-    return add_columns(docs, [text], "n_shingles bigint, print_1 bigint, print_2 bigint, sketch binary", work)
+    return with_column_batches(docs, ["doc_id", "text"], "doc_id bigint, n_shingles bigint, print_1 bigint, print_2 bigint, sketch binary", task)
 
 
 def _registers(column) -> np.ndarray:
@@ -214,13 +225,30 @@ def _grouped(batches, keys: list[str], columns: list[str]):
         yield now, held
 
 
+def block_pairs(sized: DataFrame) -> DataFrame:
+    """(id, family, lo, hi, mine): every class of ``sized`` (id, family, n) in each pair of blocks that it takes part in."""
+    number = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    large = sized.groupBy("family").agg(number.alias("blocks")).where(F.col("blocks") > WHOLE_BLOCKS).select("family", F.lit(True).alias("large"))
+    level = F.when(F.col("large"), F.floor(F.log("n") / LEVEL)).otherwise(0).cast("long")
+    levelled = sized.join(large, "family", "left").select("id", "family", "n", level.alias("level"))
+    blocks = levelled.groupBy("family", "level").agg(number.alias("blocks"))
+    # A level meets itself and those beside it; a block is named by its level and its number there.
+    beside = blocks.select("family", F.explode(F.array(*[F.col("level") + k for k in (-1, 0, 1)])).alias("level"), F.col("level").alias("theirs"), "blocks")
+    met = blocks.withColumnRenamed("blocks", "own").join(beside, ["family", "level"]).groupBy("family", "level").agg(
+        F.first("own").alias("own"), F.collect_list(F.struct("theirs", "blocks")).alias("met"))
+
+    def name(of: str, at):
+        return F.shiftleft(F.col(of), 32) + at
+
+    placed = levelled.join(met, ["family", "level"]).withColumn("mine", name("level", F.pmod(F.xxhash64("id"), "own"))).select(
+        "id", "family", "mine", F.explode("met").alias("m")).select("id", "family", "mine", "m.*")
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("other", name("theirs", F.col("other"))).select(
+        "id", "family", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine")
+
+
 def family_links(families: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): confirmed links that connect the classes of each family; ``families`` has (id, family)."""
-    sized = families.join(classes.select("id", "n"), "id")
-    blocks = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    places = families.join(blocks, "family").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    places = places.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "id", "family", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine")
+    places = block_pairs(families.join(classes.select("id", "n"), "id"))
 
     # Texts are never shuffled: a bitmap of fixed size passes the wanted documents, and few others, to the join.
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << WANTED_BITS).cast("long"))
@@ -256,7 +284,7 @@ def family_links(families: DataFrame, classes: DataFrame, docs: DataFrame) -> Da
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    marked = materialise(sketches(docs), "near-sketches").drop("text")
+    marked = materialise(sketches(docs), "near-sketches")
     named = marked.where("doc_id IS NOT NULL AND n_shingles > 0")
     prints = ["n_shingles", "print_1", "print_2"]
     classes = materialise(named.groupBy(*prints).agg(F.min("doc_id").alias("id"), F.min_by("sketch", "doc_id").alias("sketch"))
