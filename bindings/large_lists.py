@@ -47,7 +47,7 @@ def keyword_join_groups(spark, folder):
     keywords = large_keywords(spark, folder)
     last = F.right("keyword", F.lit(1))
     listed, sets = K.numbered_groups(keywords.select("keyword", last.alias("group"), F.ascii(last).alias("ord")))
-    pairs = K.keyword_pairs(feedback(spark, folder).select("doc_id", "feedback"), "doc_id", "feedback", listed, carry="set")
+    pairs = K.keyword_pairs(feedback(spark, folder).select("doc_id", "feedback"), "doc_id", "feedback", listed, carry="set", named=False)
     best = K.best_groups(pairs, "doc_id", sets)
     return best.withColumnRenamed("group", "group_name")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bindings.fixture import LEXICON
 from vocspark.functions.sentiment import sentiment
 from vocspark.operators import keyword_join as K
+from vocspark.operators import short_keywords
 from vocspark.operators import spread_join as S
 from vocspark.operators.lexicon_join import LexiconTable, sentiment_by_table
 from vocspark.sources.tables import read_table
@@ -122,6 +123,49 @@ def test_groups_that_pairs_carry(spark):
     assert K.keyword_pairs(docs, "doc_id", "text", listed.limit(0), carry="set").columns == ["doc_id", "keyword", "set"]
 
 
+def test_short_keywords_are_looked_up_in_the_tasks(spark, monkeypatch):
+    """Keywords of all sizes in several files; no gram or window is shuffled."""
+    monkeypatch.setattr(short_keywords, "PART", 50)
+    monkeypatch.setattr(short_keywords, "OUT_ROWS", 5)
+    monkeypatch.setattr(K, "_window_pairs", None)
+    rnd = random.Random(8)
+    letters = "aabc\x00\n.Éß漢😀\uffff"
+    texts = [(i, "".join(rnd.choice(letters) for _ in range(rnd.choice([1, 4, 6, 7, 20, 200])))) for i in range(40)] + [(100, None), (101, "")]
+    keywords = {"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 6))) for _ in range(300)}
+    keywords |= {t[k:k + 6] for _, t in texts if t for k in range(0, len(t), 5)}
+    want = contained(texts, keywords)
+    assert len(want) > 1_000 and {len(w) for _, w in want} == set(range(1, 7))
+    assert pairs(spark, texts, [*keywords, "", None]) == want
+
+
+def test_texts_in_pieces_and_keywords_in_files(spark, monkeypatch):
+    """Keywords over the cuts between pieces, in texts of many pieces and in pieces of many texts; each once."""
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("aab 漢😀") for _ in range(n)) for n in (0, 30, 1, 0, 3, 5, 100, 2, 0)]
+    keywords = sorted({t[k:k + n] for t in texts for n in (1, 2, 3, 4, 6) for k in range(len(t) - n + 1)})
+    listed = spark.createDataFrame([(w, k) for k, w in enumerate(keywords)], "word string, carried long")
+    places = short_keywords.save_parts(listed, 3)
+    assert sorted(places) == [0, 1, 2]
+    for piece in (4, 1 << 19):
+        monkeypatch.setattr(short_keywords, "PIECE", piece)
+        got = [(int(t), keywords[short_keywords._part(p)[4][w]]) for p, text, word in short_keywords._found(texts, [1, 2, 3, 4, 6], 3, places)
+               for t, w in zip(text, word)]
+        assert sorted(got) == contained(list(enumerate(texts)), keywords)
+    for _, _, high, low, carried in map(short_keywords._part, places.values()):
+        assert short_keywords._words(high, low) == [keywords[k] for k in carried]
+
+
+def test_pairs_without_names_and_with_any_number(spark):
+    docs = spark.createDataFrame([("a", "one two three hundred"), ("b", "two"), (None, None)], "doc_id string, text string")
+    listed = spark.createDataFrame([("ONE", 7), ("two", -(2**31)), ("hundred", 3), ("three", None), ("four", 1)], "keyword string, number int")
+    got = K.keyword_pairs(docs, "doc_id", "text", listed, carry="number")
+    assert [f.dataType.simpleString() for f in got.schema] == ["string", "string", "int"]
+    assert sorted(map(tuple, got.collect()), key=str) == [
+        ("a", "hundred", 3), ("a", "one", 7), ("a", "three", None), ("a", "two", -(2**31)), ("b", "two", -(2**31))]
+    assert sorted(map(tuple, K.keyword_pairs(docs, "doc_id", "text", listed, carry="number", named=False).collect()), key=str) == [
+        ("a", -(2**31)), ("a", 3), ("a", 7), ("a", None), ("b", -(2**31))]
+
+
 def test_largest_entry_of_a_word_holds_without_sorting_entries(spark, capsys):
     """Of several entries the largest (polarity, subjectivity); every occurrence of a word may be an entry, so none is sorted."""
     rows = [("Good", 0.5, 0.1), ("good", 0.5, 0.9), ("GOOD", 0.2, 1.0), ("bad", -0.5, 0.3), ("bad", -0.7, 1.0), ("x", None, 0.1), (None, 0.3, 0.1)]

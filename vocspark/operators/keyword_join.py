@@ -1,6 +1,6 @@
 """Which of very many keywords a text contains, as a join: no keyword list in the plan, no bound on its size.
 
-Every keyword is filed under the rarest of its grams (runs of ``GRAM`` code points; a shorter keyword is its own gram), by how often the gram occurs in the
+Keywords of at most six code points are looked up by hash from every place of a text (``short_keywords``).  Every longer keyword is filed under the rarest of its grams (runs of ``GRAM`` code points; a shorter keyword is its own gram), by how often the gram occurs in the
 documents.  A document offers its grams, each in a window with the code points around it; those under which no keyword is filed are dropped inside the task by
 a bitmap of fixed size, and the rest meet the keywords in a join that deals frequent grams over many tasks.  The window shows whether the rest
 of the keyword stands around the gram, so no text moves.  Only keywords that reach beyond the window are confirmed by ``contains`` on the whole text.
@@ -11,11 +11,13 @@ The work grows with the length of a text, not with its square; long texts are re
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocspark.functions.common import col
+from vocspark.operators.short_keywords import LONGEST, short_pairs
 from vocspark.operators.spread_join import SHARE, spread_join
 from vocspark.session import scratch_path
 
@@ -74,25 +76,45 @@ def _passes(grams: DataFrame) -> Callable[[Column], Column]:
 
 
 def keyword_pairs(docs: DataFrame, key: str, text: Column | str, keywords: DataFrame, word: str = "keyword", gram: int = GRAM, share: int = SHARE,
-                  carry: str | None = None) -> DataFrame:
+                  carry: str | None = None, named: bool = True) -> DataFrame:
     """(key, keyword) for every lower-case keyword contained in the lower-case text, each pair once.
 
     ``key`` must be unique and not null.  Keywords are taken in lower case, equal ones once; null and empty keywords match nothing, as do null texts.
     ``docs`` is read up to three times and should be a table.  ``carry`` names a column of whole numbers of ``keywords``, one for each keyword in lower case,
-    that the pairs have too, so that they need not meet the keywords again.  The rows of a key come in one partition.
+    that the pairs have too, so that they need not meet the keywords again.  Without ``named`` the pairs have no column for the keyword.
     """
     spark, folder = docs.sparkSession, scratch_path(docs.sparkSession, "keyword-join")
     texts = docs.select(F.col(key).alias("key"), F.lower(col(text)).alias("t")).filter(F.col("t") != "")
-    listed = keywords.select(F.lower(word).alias("word")).filter(F.col("word") != "").distinct()
+    carried = [] if carry is None else [carry]
+    own = F.lit(0).cast("long") if carry is None else F.col(carry)
+    keywords.select(F.lower(word).alias("word"), own.alias("carried")).filter(F.col("word") != "").distinct().withColumn(
+        "short", (F.length("word") <= LONGEST) & F.col("carried").isNotNull()).write.parquet(f"{folder}/listed")
+    listed = spark.read.parquet(f"{folder}/listed")
+    counts = listed.groupBy("short", F.least(F.length("word"), F.lit(LONGEST + 1)).alias("size")).count().collect()
+    sizes = {r["size"]: r["count"] for r in counts if r["short"]}
+    found = []
+    if sizes:
+        given = listed.filter("short").select("word", F.col("carried").cast("long").alias("carried"))
+        found.append(short_pairs(texts, given, sorted(sizes), sum(sizes.values()), named))
+    if not sizes or not all(r["short"] for r in counts):
+        found.append(_window_pairs(texts, listed.filter("NOT short").select("word", "carried"), gram, share, folder))
+    kept = [F.col("word").alias("keyword")] * named + [F.col("carried").cast(listed.schema["carried"].dataType).alias(c) for c in carried]
+    return reduce(DataFrame.unionByName, [f.select(F.col("key").alias(key), *kept) for f in found])
+
+
+def _window_pairs(texts: DataFrame, keywords: DataFrame, gram: int, share: int, folder: str) -> DataFrame:
+    """(key, word, carried) for every keyword of ``keywords`` (word, carried) in ``texts`` (key, t), each once, by grams and their windows."""
+    spark = texts.sparkSession
+    listed = keywords.select("word").distinct()
     size = F.least(F.length("word"), F.lit(gram))
     own = F.coalesce(*[F.when(size == s, _runs(F.col("word"), f".{{{s}}}")) for s in range(1, gram + 1)])
     # a run that starts inside a surrogate pair is no part of the keyword
     listed.select("word", size.alias("size"), F.explode(F.filter(F.array_distinct(own), lambda g: F.contains("word", g))).alias("gram")).write.parquet(f"{folder}/words")
     filed = spark.read.parquet(f"{folder}/words")
     longest = {r["size"]: r["longest"] for r in filed.groupBy("size").agg(F.max(F.length("word")).alias("longest")).collect()}
-    sizes, carried = sorted(longest), [] if carry is None else [carry]
+    sizes = sorted(longest)
     if not sizes:
-        return texts.limit(0).select(F.col("key").alias(key), F.lit("").alias("keyword"), *[F.lit(0).cast("long").alias(c) for c in carried])
+        return texts.limit(0).select("key", F.lit("").alias("word"), F.lit(0).cast("long").alias("carried"))
     # one code point more than stands before a gram: a window may start inside a surrogate pair
     around = min(AROUND, max(n - size for size, n in longest.items()) + 1)
 
@@ -111,28 +133,26 @@ def keyword_pairs(docs: DataFrame, key: str, text: Column | str, keywords: DataF
     rarest = filed.join(held, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
     at = F.instr(F.col("word"), F.col("gram"))
     before, after = F.substring("word", F.lit(1), at - 1), F.substring("word", at + F.length("gram"), F.length("word"))
-    placed = rarest.filter(F.col("r.n") > 0).select("word", "r.gram", "r.n")
-    if carry is not None:
-        placed = placed.join(keywords.select(F.lower(word).alias("word"), carry).filter(F.col("word") != "").distinct(), "word")
+    placed = rarest.filter(F.col("r.n") > 0).select("word", "r.gram", "r.n").join(keywords, "word")
     # one code point less before the gram, as above
     placed.select(
-        "word", "gram", "n", *carried, F.right(before, F.lit(around - 1)).alias("before"), F.left(after, F.lit(around)).alias("after"),
+        "word", "gram", "n", "carried", F.right(before, F.lit(around - 1)).alias("before"), F.left(after, F.lit(around)).alias("after"),
         ((F.length(before) >= around) | (F.length(after) > around) | F.contains("word", F.lit(PAD))).alias("beyond")).write.parquet(f"{folder}/rarest")
     chosen = spark.read.parquet(f"{folder}/rarest")
     counts = chosen.groupBy("gram").agg(F.first("n").alias("n"))
     met = spread_join(offered(_passes(chosen)), chosen.drop("n"), "gram", counts, "key", share)
     left = F.substring("window", 1, around)
     right = F.substring(F.col("window"), F.lit(around + 1) + F.length("gram"), F.lit(around))
-    fitting = met.filter(F.endswith(left, F.col("before")) & F.startswith(right, F.col("after"))).select("key", "word", "beyond", *carried)
-    near = fitting.repartition("key").groupBy("key", "word").agg(*[F.first(c).alias(c) for c in ("beyond", *carried)])
+    fitting = met.filter(F.endswith(left, F.col("before")) & F.startswith(right, F.col("after"))).select("key", "word", "beyond", "carried")
+    near = fitting.repartition("key").groupBy("key", "word").agg(*[F.first(c).alias(c) for c in ("beyond", "carried")])
     if chosen.filter("beyond").isEmpty():
         found = near
     else:
         near.write.parquet(f"{folder}/near")
         near = spark.read.parquet(f"{folder}/near")
         whole = texts.join(near.filter("beyond"), "key").filter(F.contains("t", F.col("word")))
-        found = near.filter(~F.col("beyond")).drop("beyond").unionByName(whole.select("key", "word", *carried))
-    return found.select(F.col("key").alias(key), F.col("word").alias("keyword"), *carried)
+        found = near.filter(~F.col("beyond")).drop("beyond").unionByName(whole.select("key", "word", "carried"))
+    return found.select("key", "word", "carried")
 
 
 def numbered_groups(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
