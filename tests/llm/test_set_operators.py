@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -200,6 +201,18 @@ def test_near_duplicates_of_families_cut_by_set_size(spark, monkeypatch):
     assert got == plain_near(rows)
 
 
+def test_pairs_of_a_full_pair_of_blocks_are_kept_small():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**63, 380).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base, rng.integers(0, 2**63, 16).astype(np.uint64)))) for _ in range(1024)]
+    marks = np.stack([minhash.sketch(x) for x in sets])
+    tracemalloc.start()
+    found = minhash.block_links(list(range(512)), list(range(512, 1024)), sets, marks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1023 and peak < 16_000_000  # 33.7 MB before
+
+
 def test_possible_takes_each_pair_of_sizes_on_its_own():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 900).astype(np.uint64)

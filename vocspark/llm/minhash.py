@@ -187,7 +187,7 @@ def block_links(first: list[int], second: list[int], sets: list[np.ndarray], reg
     """Confirmed links between two blocks of rows (or within one) that connect something not connected before."""
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
     same, union, out = first == second, _Union(), []
-    second_rows = np.array(second, dtype=np.int64)
+    second_rows = np.array(second, dtype=np.int32)
     pairs = []
     for k, i in enumerate(first):
         others = second_rows[k + 1:] if same else second_rows
@@ -197,15 +197,18 @@ def block_links(first: list[int], second: list[int], sets: list[np.ndarray], reg
             open_ = others[possible(np.broadcast_to(registers[i], (len(others), REGISTERS)), registers[others],
                                     np.full(len(others), sizes[i]), sizes[others])]
             if len(open_):
-                pairs.append(np.stack((np.full(len(open_), i), open_, (registers[i] == registers[open_]).sum(axis=1))))
+                pairs.append((np.full(len(open_), i, dtype=np.int32), open_, (registers[i] == registers[open_]).sum(axis=1).astype(np.uint8)))
     if not pairs:
         return out
     # The most similar pairs come first; they connect most rows, and connected pairs need no confirmation.
-    table_ = np.concatenate(pairs, axis=1)
-    for i, j in zip(*table_[:2, np.argsort(-table_[2], kind="stable")].tolist()):
-        if union.root(i) != union.root(j) and linked(sets[i], sets[j]):
-            union.join(i, j)
-            out.append((i, j))
+    one, other, equal = (np.concatenate(x) for x in zip(*pairs))
+    order = np.argsort(REGISTERS - equal, kind="stable")
+    for at in range(0, len(order), 4096):
+        some = order[at:at + 4096]
+        for i, j in zip(one[some].tolist(), other[some].tolist()):
+            if union.root(i) != union.root(j) and linked(sets[i], sets[j]):
+                union.join(i, j)
+                out.append((i, j))
     return out
 
 
