@@ -138,6 +138,18 @@ def test_short_keywords_are_looked_up_in_the_tasks(spark, monkeypatch):
     assert pairs(spark, texts, [*keywords, "", None]) == want
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_repeated_and_null_keys_have_each_keyword_once(spark, monkeypatch, most):
+    monkeypatch.setattr(K, "REPEATED_KEYS", most)
+    docs = spark.createDataFrame([(1, "one two"), (1, "TWO three"), (2, "two"), (None, "one"), (None, "one four")], "doc_id long, text string")
+    listed = spark.createDataFrame([("one", 1), ("two", 2), ("three", 3), ("four", 4)], "keyword string, number long")
+    want = [(1, "one", 1), (1, "three", 3), (1, "two", 2), (2, "two", 2), (None, "four", 4), (None, "one", 1)]
+    got = K.keyword_pairs(docs, "doc_id", "text", listed, carry="number")
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    bare = K.keyword_pairs(docs, "doc_id", "text", listed, carry="number", named=False)
+    assert sorted(map(tuple, bare.collect()), key=str) == sorted(((k, n) for k, _, n in want), key=str)
+
+
 def test_texts_in_pieces_and_keywords_in_files(spark, monkeypatch):
     """Keywords over the cuts between pieces, in texts of many pieces and in pieces of many texts; each once."""
     rnd = random.Random(9)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocspark.functions.common import col
-from vocspark.operators.short_keywords import LONGEST, short_pairs
+from vocspark.operators.short_keywords import LONGEST, parts_of, save_parts, short_pairs
 from vocspark.operators.spread_join import SHARE, spread_join
 from vocspark.session import scratch_path
 
@@ -29,6 +29,8 @@ PAD = "\uffff"
 PIECE = 1 << 16
 # Places of a bitmap of grams: a constant of one megabyte, whatever the number of keywords.
 BITS = 1 << 23
+# So many keys that stand in several rows, or fewer, are broadcast; with more, the pairs of all keys meet.
+REPEATED_KEYS = 100_000
 
 
 def _runs(text: Column, pattern: str) -> Column:
@@ -79,7 +81,7 @@ def keyword_pairs(docs: DataFrame, key: str, text: Column | str, keywords: DataF
                   carry: str | None = None, named: bool = True) -> DataFrame:
     """(key, keyword) for every lower-case keyword contained in the lower-case text, each pair once.
 
-    ``key`` must be unique and not null.  Keywords are taken in lower case, equal ones once; null and empty keywords match nothing, as do null texts.
+    ``key`` should be unique and not null; the rows of a repeated key count as one text.  Keywords are taken in lower case, equal ones once; null and empty keywords match nothing, as do null texts.
     ``docs`` is read up to three times and should be a table.  ``carry`` names a column of whole numbers of ``keywords``, one for each keyword in lower case,
     that the pairs have too, so that they need not meet the keywords again.  Without ``named`` the pairs have no column for the keyword.
     """
@@ -87,7 +89,7 @@ def keyword_pairs(docs: DataFrame, key: str, text: Column | str, keywords: DataF
     texts = docs.select(F.col(key).alias("key"), F.lower(col(text)).alias("t")).filter(F.col("t") != "")
     carried = [] if carry is None else [carry]
     own = F.lit(0).cast("long") if carry is None else F.col(carry)
-    keywords.select(F.lower(word).alias("word"), own.alias("carried")).filter(F.col("word") != "").distinct().withColumn(
+    keywords.select(F.lower(word).alias("word"), own.alias("carried")).filter(F.col("word") != "").groupBy("word").agg(F.min("carried").alias("carried")).withColumn(
         "short", (F.length("word") <= LONGEST) & F.col("carried").isNotNull()).write.parquet(f"{folder}/listed")
     listed = spark.read.parquet(f"{folder}/listed")
     counts = listed.groupBy("short", F.least(F.length("word"), F.lit(LONGEST + 1)).alias("size")).count().collect()
@@ -95,13 +97,32 @@ def keyword_pairs(docs: DataFrame, key: str, text: Column | str, keywords: DataF
     found = []
     if sizes:
         given = listed.filter("short").select("word", F.col("carried").cast("long").alias("carried"))
-        found.append(short_pairs(texts, given, sorted(sizes), sum(sizes.values()), named))
+        parts = parts_of(sum(sizes.values()))
+        held = (sorted(sizes), parts, save_parts(given, parts))
+        once, again = _by_key(docs, key, texts)
+        if once is not None:
+            found.append(short_pairs(once, *held, named))
+        if again is not None:
+            found.append(short_pairs(again, *held).dropDuplicates(["key", "word"]))
     if not sizes or not all(r["short"] for r in counts):
         found.append(_window_pairs(texts, listed.filter("NOT short").select("word", "carried"), gram, share, folder))
     kept = [F.col("word").alias("keyword")] * named + [F.col("carried").cast(listed.schema["carried"].dataType).alias(c) for c in carried]
     return reduce(DataFrame.unionByName, [f.select(F.col("key").alias(key), *kept) for f in found])
 
 
+def _by_key(docs: DataFrame, key: str, texts: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The texts of keys that stand in one row, and the others, whose rows may hold the same keyword; None if there are none."""
+    repeated = docs.select(F.col(key).alias("_repeated")).groupBy("_repeated").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_repeated")
+    keys = repeated.limit(REPEATED_KEYS + 1).collect()
+    if not keys:
+        return texts, None
+    if len(keys) > REPEATED_KEYS:
+        return None, texts
+    few = F.broadcast(docs.sparkSession.createDataFrame(keys, repeated.schema))
+    same = F.col("key").eqNullSafe(F.col("_repeated"))
+    return texts.join(few, same, "left_anti"), texts.join(few, same, "left_semi")
+
+
 def _window_pairs(texts: DataFrame, keywords: DataFrame, gram: int, share: int, folder: str) -> DataFrame:
     """(key, word, carried) for every keyword of ``keywords`` (word, carried) in ``texts`` (key, t), each once, by grams and their windows."""
     spark = texts.sparkSession

@@ -175,14 +175,16 @@ def _words(high: np.ndarray, low: np.ndarray) -> list[str]:
     return [joined[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def short_pairs(texts: DataFrame, listed: DataFrame, sizes: list[int], count: int, named: bool = True) -> DataFrame:
-    """(key, word, carried) for every keyword of ``listed`` (word, carried) in ``texts`` (key, t), each once; without ``word`` unless ``named``.
+def parts_of(count: int) -> int:
+    return max(1, -(-count // PART))
 
-    ``sizes`` are the numbers of code points of the ``count`` keywords, none over ``LONGEST``; ``carried`` is a whole number.
+
+def short_pairs(texts: DataFrame, sizes: list[int], parts: int, places: dict[int, str], named: bool = True) -> DataFrame:
+    """(key, word, carried) for every keyword in the files of :func:`save_parts` and row of ``texts`` (key, t) that holds it; without ``word`` unless ``named``.
+
+    ``sizes`` are the numbers of code points of the keywords.
     """
     spark, kind = texts.sparkSession, texts.schema["key"].dataType.simpleString()
-    parts = max(1, -(-count // PART))
-    places = save_parts(listed, parts)
     if spark.conf.get(BATCH_KEY, None) is None:
         spark.conf.set(BATCH_KEY, BATCH_SIZE)
 
